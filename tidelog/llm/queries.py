@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, seen, survivors, tokens
+from tidelog.llm import mixing, seen, stuffing, survivors, tokens
 from tidelog.session import table
 
 
@@ -69,7 +69,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_record": p2_record, "p2_owner": p2_owner, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.non_prose_share(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_record": p2_record, "p2_owner": p2_owner, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivors.UNKNOWN)
 _JSON = " ".join(f"WHEN fld = '{f}' THEN json_extract_string(j, '$.{f}')" for f in survivors.FIELDS)

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pages labelled side by side.
+PAGES = 2000
 PROSE, RECORD, LINKS, TAGS, MENU = range(5)
 LABELS = ("prose", "record", "links", "tags", "menu")
 
@@ -38,13 +40,31 @@ _HASH = r"[#♯][\p{L}■*]"
 _ARTICLE = r"^\W*[AÁÀàa^4][rv][tr][.,·]?\s*[\dlIOSB°i^?|]{3,5}\b"
 _BULLET = r"^\s*(?:[•»›·>~*-]|--)\s*\p{L}"
 _SEPARATOR = r"\p{L}[?!]?\s*(?: [|>/·•»›–-] |[|>•»])\s*[\p{L}#]"
-_NUMBER = r"(?:^|[\s(|>+-])[\dlOSBI■°][\d]*[.,·:]?\d*(?:\s*[smd]\.?)?(?:[\s)|,;]|$)"
 _DIGITS = r"\d"
 
 
+#: A word fills a page if it is one in so many of its longer words, and leads it if it is one in so many.
+FILLS, LEADS = 40, 16
+_STOP = frozenset(FUNCTION_WORDS)
+#: Letters often read for one another in scans, each taken for the first of its group. Fixed values.
+MISREAD = ["ceo0", "lit1j", "unü", "hb6", "sſf5", "rvy", "aáàâä"]
+_FOLD = {ord(c): g[0] for g in MISREAD for c in g}
+_PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"))
+
+
+def _same_as(word: str, known: dict[str, int]) -> int:
+    """Number of the word, alike for words that are easily misread for each other; -1 if it is short, a
+    function word or a number."""
+    if len(word) < 4 or word in _STOP or not any(c.isalpha() for c in word):
+        return -1
+    for pair, one in _PAIRS:
+        word = word.replace(pair, one)
+    return known.setdefault(word.translate(_FOLD), len(known))
+
+
 def line_features(texts) -> dict[str, np.ndarray]:
     """Per line of an Arrow array of texts (no nulls): `page` (its number), counts of what it shows, and
-    `filling`: the share of its longer words that fill the page (3 times and one in 40 at least)."""
+    `filling`, `leading`: the share of its longer words that fill or lead the page."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -54,20 +74,140 @@ def line_features(texts) -> dict[str, np.ndarray]:
     out = {"page": page}
     for name, pattern in (("function", _FUNCTION), ("titles", _TITLE), ("links", _LINK), ("hashes", _HASH), ("article", _ARTICLE), ("bullet", _BULLET), ("separators", _SEPARATOR), ("digits", _DIGITS)):
         out[name] = pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False).astype(np.int32)
+    out["tokens"] = pc.count_substring_regex(lines, r"\S+").to_numpy(zero_copy_only=False).astype(np.int32)
     out["chars"] = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int32)
-    parts = pc.split_pattern_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}]+")
+    parts = pc.split_pattern_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}\p{N}]+")
     line = pc.list_parent_indices(parts).to_numpy()
-    words = pc.list_flatten(parts)
-    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    out["words"] = np.bincount(line[size > 0], minlength=len(page)).astype(np.int32)
-    plain = ~np.asarray(pc.is_in(words, value_set=pa.array(sorted(set(FUNCTION_WORDS))))) & (size >= 4)
-    code = pc.dictionary_encode(words).indices.to_numpy().astype(np.int64)[plain]
-    line = line[plain]
-    at = page[line].astype(np.int64) << 32 | code
-    _, inverse, n = np.unique(at, return_inverse=True, return_counts=True)
-    total = np.bincount(page[line], minlength=len(texts))
-    fills = (n[inverse] >= 3) & (n[inverse] * 40 >= total[page[line]])
+    coded = pc.dictionary_encode(pc.list_flatten(parts))
+    out["words"] = np.bincount(line[np.asarray(pc.utf8_length(coded.dictionary))[coded.indices.to_numpy()] > 0], minlength=len(page)).astype(np.int32)
+    # words that differ only by letters that are misread for each other are the same word
+    same: dict[str, int] = {}
+    number = np.array([_same_as(w, same) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    code = number[coded.indices.to_numpy()]
+    line, code = line[code >= 0], code[code >= 0]
+    _, inverse, n = np.unique(page[line].astype(np.int64) << 32 | code, return_inverse=True, return_counts=True)
+    n, total = n[inverse], np.bincount(page[line], minlength=len(texts))[page[line]]
     content = np.bincount(line, minlength=len(page))
     out["content"] = content
-    out["filling"] = np.bincount(line, weights=fills, minlength=len(page)) / np.maximum(content, 1)
+    out["filling"] = np.bincount(line, weights=(n >= 3) & (n * FILLS >= total), minlength=len(page)) / np.maximum(content, 1)
+    out["leading"] = np.bincount(line, weights=(n >= 4) & (n * LEADS >= total), minlength=len(page)) / np.maximum(content, 1)
     return out
+
+
+def _bins(value: np.ndarray, edges: list[float]) -> np.ndarray:
+    return np.searchsorted(np.array(edges), value, side="left")
+
+
+#: What is seen of a line: per feature the chances of its bins in a line of each label (prose, record,
+#: links, tags, menu). Chosen by reading pages; each row adds up to 1.
+EMISSIONS = {
+    # share of function words: none, up to 0.12, up to 0.25, more
+    "function": [[0.08, 0.17, 0.30, 0.45], [0.75, 0.20, 0.04, 0.01], [0.75, 0.15, 0.07, 0.03], [0.50, 0.20, 0.15, 0.15], [0.60, 0.15, 0.15, 0.10]],
+    # share of longer words that fill the page: up to 0.2, 0.45, 0.7, more, no longer word
+    "filling": [[0.72, 0.13, 0.08, 0.05, 0.02], [0.74, 0.12, 0.05, 0.02, 0.07], [0.25, 0.20, 0.20, 0.25, 0.10], [0.07, 0.10, 0.24, 0.57, 0.02], [0.12, 0.15, 0.25, 0.38, 0.10]],
+    # share of longer words that lead the page: none, up to 0.3, up to 0.6, more, no longer word
+    "leading": [[0.90, 0.07, 0.015, 0.005, 0.01], [0.85, 0.07, 0.03, 0.02, 0.03], [0.35, 0.20, 0.20, 0.15, 0.10], [0.08, 0.12, 0.33, 0.45, 0.02], [0.20, 0.20, 0.30, 0.25, 0.05]],
+    # links: none, one among other text, most of the line
+    "links": [[0.985, 0.013, 0.002], [0.99, 0.008, 0.002], [0.12, 0.28, 0.60], [0.97, 0.025, 0.005], [0.97, 0.025, 0.005]],
+    # share of digits: none, up to 0.06, up to 0.15, more
+    "digits": [[0.75, 0.20, 0.045, 0.005], [0.35, 0.10, 0.20, 0.35], [0.45, 0.35, 0.15, 0.05], [0.72, 0.13, 0.13, 0.02], [0.90, 0.07, 0.02, 0.01]],
+    # titles before names, of the words: none, up to 0.2, more
+    "titles": [[0.85, 0.14, 0.01], [0.75, 0.05, 0.20], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002]],
+    # marks: none, separators or a bullet without digits, the same with digits, tags, article number
+    "marks": [[0.972, 0.015, 0.010, 0.001, 0.002], [0.502, 0.02, 0.475, 0.001, 0.002], [0.85, 0.10, 0.04, 0.008, 0.002], [0.50, 0.18, 0.02, 0.20, 0.10], [0.15, 0.78, 0.06, 0.005, 0.005]],
+}
+START = [0.60, 0.10, 0.10, 0.10, 0.10]
+#: Chance that the next line has the same label; the rest is shared by the other labels.
+STAY = 0.92
+#: A page is flagged from this share of words in link lists, tag lists and menus.
+SHARE = 0.5
+#: Pages of fewer words have next to no text.
+LEAST_WORDS = 8
+
+
+def observed(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Bins of EMISSIONS per line."""
+    words, chars = np.maximum(f["words"], 1), np.maximum(f["chars"], 1)
+    filling, leading = _bins(f["filling"], [0.2, 0.45, 0.7]), _bins(f["leading"], [0, 0.3, 0.6])
+    filling[f["content"] == 0] = leading[f["content"] == 0] = 4
+    marks = np.where((f["separators"] >= 2) | (f["bullet"] > 0), np.where(f["digits"] * 16 > f["chars"], 2, 1), 0)
+    marks[(f["hashes"] >= 2) | (f["hashes"] >= 1) & (f["words"] <= 4)] = 3
+    marks[f["article"] > 0] = 4
+    return {
+        "function": _bins(f["function"] / words, [0, 0.12, 0.25]),
+        "filling": filling,
+        "leading": leading,
+        "links": np.where(f["links"] == 0, 0, np.where(f["links"] * 30 >= f["chars"], 2, 1)),
+        "digits": _bins(f["digits"] / chars, [0, 0.06, 0.15]),
+        "titles": _bins(f["titles"] / words, [0, 0.2]),
+        "marks": marks,
+    }
+
+
+def most_likely(page: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Label of each line by Viterbi: `page` ascending, `score` lines x labels of log chances. All pages go
+    side by side, the longest first, so that each step is over the pages that still have a line."""
+    first = np.nonzero(np.diff(page, prepend=-1))[0]
+    length = np.diff(np.append(first, len(page)))
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    k = score.shape[1]
+    move = np.log(np.where(np.eye(k), STAY, (1 - STAY) / (k - 1)))
+    back = np.zeros(score.shape, dtype=np.int8)
+    best = np.log(START) + score[first]
+    end = np.zeros(len(page), dtype=np.int8)
+    for t in range(1, int(length[0]) if len(length) else 0):
+        on = int(np.searchsorted(-length, -t, side="left"))  # pages longer than t
+        reach = best[:on, :, None] + move
+        back[first[:on] + t] = reach.argmax(1)
+        best[:on] = reach.max(1) + score[first[:on] + t]
+    now = best.argmax(1).astype(np.int8)
+    end[first + length - 1] = now
+    for t in range(int(length[0]) - 1 if len(length) else 0, 0, -1):
+        on = int(np.searchsorted(-length, -t, side="left"))
+        at = first[:on] + t
+        end[at - 1] = back[at, end[at]]
+    return end
+
+
+def label_lines(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, label, words) of each line of an Arrow array of texts without nulls."""
+    f = line_features(texts)
+    seen = observed(f)
+    score = sum(np.log(np.array(EMISSIONS[name]).T)[bins] for name, bins in seen.items())
+    score[f["tokens"] == 0] = 0  # an empty line says nothing
+    return f["page"], most_likely(f["page"], score), f["tokens"]
+
+
+def page_shares(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(words, share of them in link lists, tag lists and menus) of each text."""
+    page, label, words = label_lines(texts)
+    n = len(texts)
+    total = np.bincount(page, weights=words, minlength=n)
+    bad = np.bincount(page, weights=words * (label >= LINKS), minlength=n)
+    return total.astype(np.int64), bad / np.maximum(total, 1)
+
+
+def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep`, `words` and `share` (of words in link lists, tag lists and menus) of every row; words are what
+    blanks separate. A null, empty or blank text has no words and a share of 0. Whole texts; no shuffle."""
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            for start in range(0, b.num_rows, PAGES):
+                part = b.slice(start, PAGES)
+                words, share = page_shares(pc.fill_null(part["_text"], ""))
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(words), pa.array(share)], names=[*keep, "words", "share"])
+
+    return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, words bigint, share double")
+
+
+def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE) -> DataFrame:
+    """`keep` of the pages of at least LEAST_WORDS words of which at least `share` are in link lists, tag
+    lists or menus."""
+    found = non_prose_share(documents, text, keep).where((F.col("words") >= LEAST_WORDS) & (F.col("share") >= share))
+    return found.select(*keep)
