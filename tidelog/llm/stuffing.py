@@ -104,7 +104,7 @@ EMISSIONS = {
     # share of function words: none, up to 0.12, up to 0.25, more
     "function": [[0.08, 0.17, 0.30, 0.45], [0.75, 0.20, 0.04, 0.01], [0.75, 0.15, 0.07, 0.03], [0.50, 0.20, 0.15, 0.15], [0.60, 0.15, 0.15, 0.10]],
     # share of longer words that fill the page: up to 0.2, 0.45, 0.7, more, no longer word
-    "filling": [[0.72, 0.13, 0.08, 0.05, 0.02], [0.74, 0.12, 0.05, 0.02, 0.07], [0.25, 0.20, 0.20, 0.25, 0.10], [0.07, 0.10, 0.24, 0.57, 0.02], [0.12, 0.15, 0.25, 0.38, 0.10]],
+    "filling": [[0.72, 0.13, 0.08, 0.05, 0.02], [0.74, 0.12, 0.05, 0.02, 0.07], [0.25, 0.20, 0.20, 0.25, 0.10], [0.09, 0.10, 0.24, 0.55, 0.02], [0.12, 0.15, 0.25, 0.38, 0.10]],
     # share of longer words that lead the page: none, up to 0.3, up to 0.6, more, no longer word
     "leading": [[0.90, 0.07, 0.015, 0.005, 0.01], [0.85, 0.07, 0.03, 0.02, 0.03], [0.35, 0.20, 0.20, 0.15, 0.10], [0.08, 0.12, 0.33, 0.45, 0.02], [0.20, 0.20, 0.30, 0.25, 0.05]],
     # links: none, one among other text, most of the line
@@ -114,7 +114,7 @@ EMISSIONS = {
     # titles before names, of the words: none, up to 0.2, more
     "titles": [[0.85, 0.14, 0.01], [0.75, 0.05, 0.20], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002]],
     # marks: none, separators or a bullet without digits, the same with digits, tags, article number
-    "marks": [[0.972, 0.015, 0.010, 0.001, 0.002], [0.502, 0.02, 0.475, 0.001, 0.002], [0.85, 0.10, 0.04, 0.008, 0.002], [0.50, 0.18, 0.02, 0.20, 0.10], [0.15, 0.78, 0.06, 0.005, 0.005]],
+    "marks": [[0.9727, 0.015, 0.010, 0.0003, 0.002], [0.5027, 0.02, 0.475, 0.0003, 0.002], [0.85, 0.10, 0.04, 0.008, 0.002], [0.45, 0.18, 0.02, 0.25, 0.10], [0.15, 0.78, 0.06, 0.005, 0.005]],
 }
 START = [0.60, 0.10, 0.10, 0.10, 0.10]
 #: Chance that the next line has the same label; the rest is shared by the other labels.
