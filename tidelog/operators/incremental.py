@@ -7,10 +7,14 @@ anti-join of (key, version) pairs with the ledger of what was taken up removes t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.schema import operation, valid_change
+from tidelog.sources.files import opened, read_whole, write_whole
 
 
 def covered_batches(run_log: DataFrame) -> DataFrame:
@@ -47,3 +51,50 @@ def pending_changes(kv_log: DataFrame, run_log: DataFrame) -> DataFrame:
     new = again.join(ledger, ["k", "seq"], "left_anti")
     new = new.select("seq", "op", "k", F.when(F.col("op") == "P", F.col("v")).alias("v"), "shard")
     return new.dropDuplicates(["k", "seq"])
+
+
+class Increments:
+    """Runs over a growing table of (k, seq) records, each record in one committed run, through failures.
+
+    A run freezes its batch in the folder, hands it to `process` with the run's number, and commits with one
+    small file that is renamed into place. If it dies before that, the next run has the same number and a
+    new batch in its place; `process` must put what it writes under the run's number, so that a
+    repeated run replaces it. The batches of committed runs are the ledger.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def committed(self) -> list[dict]:
+        """[{"run", "low"}] of the runs that ended well."""
+        from pyarrow import fs
+
+        system, path = opened(f"{self.folder}/commits")
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return [json.loads(read_whole(f"{self.folder}/commits/{f.base_name}")) for f in sorted(found, key=lambda f: f.base_name) if f.base_name.endswith(".json") and f.base_name[0] != "."]
+
+    def pending(self, source: DataFrame) -> DataFrame:
+        """Records of `source` (k, seq and any other columns) that no committed run has taken up.
+
+        The source is read again from the oldest record that was open when the last run committed; (k, seq)
+        pairs of the ledger from there on are taken off. Repeated rows of a pair count once.
+        """
+        runs = self.committed()
+        rows = source.where("seq is not null")
+        if runs:
+            low = runs[-1]["low"]
+            rows = rows.where(F.col("seq") >= low) if low is not None else rows
+            ledger = self.spark.read.parquet(*[f"{self.folder}/batches/{r['run']}" for r in runs]).select(F.col("k").alias("_k"), F.col("seq").alias("_seq"))
+            ledger = ledger.where(F.col("_seq") >= low) if low is not None else ledger
+            rows = rows.join(ledger, (F.col("seq") == F.col("_seq")) & F.col("k").eqNullSafe(F.col("_k")), "left_anti")
+        return rows.dropDuplicates(["k", "seq"])
+
+    def run(self, source: DataFrame, process: Callable[[DataFrame, int], None], oldest_open: int | None = None) -> int:
+        """One run; returns its number. `oldest_open`: the least seq at which records may still arrive, after
+        which no run has to look; without it every run looks at the whole table."""
+        number = len(self.committed())
+        batch = f"{self.folder}/batches/{number}"
+        self.pending(source).write.mode("overwrite").parquet(batch)
+        process(self.spark.read.parquet(batch), number)
+        write_whole(f"{self.folder}/commits/{number:012d}.json", [json.dumps({"run": number, "low": oldest_open}).encode()])
+        return number

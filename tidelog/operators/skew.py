@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import checkpoint
+
 #: A key is hot when it holds more than one in so many rows; so there are fewer hot keys than this.
 HOT_SHARE = 256
 #: Ranges into which a hot key is split.
@@ -100,3 +102,21 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, parts: int
     within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = split.withColumn("_in", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(start, [*by, "_part"])
     return out.withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_start", "_in", "_part", "_value")
+
+
+def ranged(df: DataFrame, order: list[str], parts: int = RUN_PARTS) -> DataFrame:
+    """Adds `_part`: rows of a lower part come before those of a higher one in order of `order`, of any
+    type. The parts are kept in the shared folder, as another run would draw the borders elsewhere."""
+    return checkpoint(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_sums(df: DataFrame, order: list[str], values: dict[str, Column], by: list[str], parts: int = RUN_PARTS) -> DataFrame:
+    """As running_sum, for orders of any type and several sums at once; `by` comes first in the order."""
+    split = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), [*by, *order], parts)
+    sums = split.groupBy(*by, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select(*by, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in values])
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = split.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in values}).join(start, [*by, "_part"])
+    out = out.withColumns({n: (F.col(f"_t_{n}") + F.col(f"_i_{n}")).cast("bigint") for n in values})
+    return out.drop("_part", *[f"_{x}_{n}" for n in values for x in "vsti"])

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from tidelog.operators.changes import apply_changes
 from tidelog.operators.compaction import compact_log_files
 from tidelog.operators.incremental import pending_changes
+from tidelog.operators.lsm import healed_manifest
+from tidelog.operators.skew import running_sum
 from tidelog.session import table
+from tidelog.sources.parquet_blocks import compact_parquet
+
+#: Bytes of a file that segments are put into.
+SEGMENT_TARGET = 1 << 16
 
 _VALID = """
   SELECT seq, upper(trim(op)) AS op, k, v, shard, batch_no FROM kv_log
@@ -28,11 +34,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_log_files(table(spark, sf_dir, "wal_file")).sequence_numbers()
 
 
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the table kv_sst, their row groups copied into larger files, read back."""
+    folder, _ = compact_parquet(spark, f"{sf_dir}/kv_sst.parquet")
+    return spark.read.parquet(folder)
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the manifest, sizes mended from their entries, with the file each goes to."""
+    own = healed_manifest(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "kv_sst"))
+    placed = running_sum(own, "sg", F.col("bytes"), "before", by=["lvl"])
+    return placed.select("lvl", "sg", "bytes", "n", F.floor(F.col("before") / SEGMENT_TARGET).alias("file"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_changes(table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "run_log")).select("seq")
 
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_segments": p4_segments, "p5_found": p5_found}
 
 _P1 = f"""
   WITH c AS (SELECT k, CASE WHEN op = 'P' THEN v END AS v, seq FROM ({_VALID}) x
@@ -42,6 +61,12 @@ _P1 = f"""
 SQL = {
     "p1_found": f"{_P1} SELECT k, seq FROM r WHERE rn = 1 AND v IS NOT NULL",
     "p1_state": f"{_P1} SELECT k, v, seq FROM r WHERE rn = 1 AND v IS NOT NULL",
+    "p4_blocks": "SELECT * FROM kv_sst",
+    "p4_segments": f"""
+  WITH s AS (SELECT lvl, sg, CAST(sum(25 + strlen(k) + coalesce(strlen(v), 0)) AS bigint) AS own, count(*) AS n FROM kv_sst GROUP BY lvl, sg),
+       t AS (SELECT lvl, sg, max(bytes) AS said FROM manifest GROUP BY lvl, sg),
+       h AS (SELECT s.lvl, s.sg, coalesce(said, own) AS bytes, n FROM s LEFT JOIN t ON s.lvl = t.lvl AND s.sg = t.sg)
+  SELECT lvl, sg, bytes, n, CAST(coalesce(sum(bytes) OVER (PARTITION BY lvl ORDER BY sg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) // {SEGMENT_TARGET} AS file FROM h""",
     "p5_found": f"""
   WITH ok AS (SELECT DISTINCT r.shard, r.batch_from, r.batch_to FROM run_log r
               WHERE r.run_id IN (SELECT run_id FROM run_log WHERE lower(trim(outcome)) = 'done')),

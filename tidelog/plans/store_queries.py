@@ -1,2 +1,241 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the store's own operators, over the whole tables, and the same as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import wire
+from tidelog.functions.segments import ends_after, segment_name
+from tidelog.operators import kv, lsm
+from tidelog.operators.skew import running_sum
+from tidelog.operators.wal import decode_files, encode_records, file_status
+from tidelog.schema import GET, changes, requests
+from tidelog.session import table
+from tidelog.streaming.replay import stream_apply, stream_replay
+
+#: Offset of the log of the test tables.
+BASE = 1 << 55
+SEGMENT, SMALL_SEGMENT = 65536, 4096
+PRUNE_FROM, RECOVER_FROM = 100_000, BASE + 400_000
+LEVEL_TARGET = 20_000
+
+
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The request log, with repeated deliveries, and the number of rows of its table."""
+    raw = table(spark, sf_dir, "kv_log")
+    return requests(raw), raw.count()
+
+
+def kv_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.latest(_log(spark, sf_dir)[0])
+
+
+def kv_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.tombstones(_log(spark, sf_dir)[0])
+
+
+def kv_prev_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.previous_values(*_log(spark, sf_dir))
+
+
+def kv_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.replay(*_log(spark, sf_dir))
+
+
+def kv_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.merge_on_read(kv.newest(_log(spark, sf_dir)[0]), table(spark, sf_dir, "kv_state"))
+
+
+def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "key_probe").where(F.length("k") > 0).select("k").distinct()
+    return kv.multi_get(keys, kv_merge_on_read(spark, sf_dir))
+
+
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.get(_log(spark, sf_dir)[0], table(spark, sf_dir, "kv_state"), "tree/00000000/root")
+
+
+def kv_recover_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.recover_from(_log(spark, sf_dir)[0], RECOVER_FROM)
+
+
+def kv_recover_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.recover_prefix(_log(spark, sf_dir)[0], F.col("seq") % 4999 == 4998)
+
+
+def wal_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offset of each write in a log without padding."""
+    writes = changes(table(spark, sf_dir, "kv_log"))
+    writes = writes.groupBy("seq", "op", "k", "v").agg(F.lit(1).alias("_")).drop("_")
+    n = kv.record_size(F.col("op"), F.col("k"), F.col("v"))
+    return running_sum(writes.select("seq", n.alias("n")), "seq", F.col("n"), "lsn")
+
+
+def wal_segment_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wal_lsn(spark, sf_dir).select("seq", segment_name(F.col("lsn"), SEGMENT).alias("segment"))
+
+
+def wal_segment_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that recovery from a start has to read, with their numbers of records."""
+    placed = wal_lsn(spark, sf_dir).withColumn("segment", F.floor(F.col("lsn") / SMALL_SEGMENT))
+    ends = placed.groupBy("segment").agg(F.max(F.col("lsn") + F.col("n")).alias("ends"), F.count("*").alias("n"))
+    return ends.where(F.col("ends") > PRUNE_FROM)
+
+
+def wal_name_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of wal_file that can hold records from a start on, by their names alone."""
+    files = table(spark, sf_dir, "wal_file").select("path", F.octet_length("content").alias("size"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(ends_after(name, F.col("size"), 16, F.lit((1 << 54) + 20_000))).select("path", "size")
+
+
+def wal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_files(table(spark, sf_dir, "wal_file"))
+
+
+def wal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_status(table(spark, sf_dir, "wal_file"))
+
+
+def wal_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each write as a record: its bytes and checksum."""
+    return encode_records(changes(table(spark, sf_dir, "kv_log"))).select("seq", F.length("record").alias("n"), "crc")
+
+
+def _flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = kv.newest(_log(spark, sf_dir)[0])
+    return state.select(F.lit(0).alias("lvl"), F.substring("k", 1, 11).alias("sg"), "k", "v", "seq")
+
+
+def sst_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows, tombstones included, as segments by ranges of keys: their manifest."""
+    return lsm.segment_stats(_flushed(spark, sf_dir)).drop("lvl")
+
+
+def sst_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.healed_manifest(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "kv_sst"))
+
+
+def sst_level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.level_stats(table(spark, sf_dir, "manifest"), LEVEL_TARGET)
+
+
+def sst_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.overlaps(table(spark, sf_dir, "manifest"))
+
+
+def sst_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.compact(table(spark, sf_dir, "kv_sst"))
+
+
+def sst_level_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.level_lookup(table(spark, sf_dir, "kv_sst"))
+
+
+def sst_highest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest sequence number of all segments, after which recovery of the log starts."""
+    return table(spark, sf_dir, "kv_sst").agg(F.max("seq").alias("hi"), F.count_distinct("sg").alias("segments"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of each distinct delivery, as its client would send it, valid or not."""
+    raw = table(spark, sf_dir, "kv_log").select("seq", F.upper(F.trim("op")).alias("op"), "k", "v").distinct()
+    return raw.select("seq", wire.encode_request(wire.correlation_id(F.col("seq")), F.col("op"), F.col("k"), F.col("v")).alias("frame"))
+
+
+def wire_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).select("seq", F.hex("frame").alias("frame"))
+
+
+def wire_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _frames(spark, sf_dir).select("seq", wire.decode_request(F.col("frame")).alias("r"))
+    return parsed.select("seq", "r.corr", "r.op", "r.k", "r.v", kv.return_code(F.col("r.error")).alias("rc"))
+
+
+def wire_respond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response to each request of the log, in bytes."""
+    answers = kv_replay(spark, sf_dir)
+    return answers.select("seq", F.hex(wire.encode_response(wire.correlation_id(F.col("seq")), F.col("rc"), F.col("payload"))).alias("response"))
+
+
+def kv_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_replay(spark, f"{sf_dir}/kv_log.parquet")
+
+
+def kv_stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_apply(spark, f"{sf_dir}/kv_log.parquet", table(spark, sf_dir, "kv_state"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        kv_replay, kv_latest, kv_tombstones, kv_prev_value, kv_merge_on_read, kv_multi_get, kv_get, kv_recover_from, kv_recover_prefix,
+        wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded,
+        sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_compact, sst_level_lookup, sst_highest,
+        wire_encode, wire_decode, wire_respond, kv_stream_replay, kv_stream_apply,
+    )
+}
+
+_LOG = f"""
+  WITH log AS (SELECT DISTINCT seq, op, k, CASE WHEN op = 'P' THEN v END AS v
+               FROM (SELECT seq, upper(trim(op)) AS op, k, v FROM kv_log) x
+               WHERE seq IS NOT NULL AND (op = '{GET}' OR length(k) > 0 AND (op = 'P' AND v IS NOT NULL OR op = 'D'))),
+       w AS (SELECT * FROM log WHERE op <> '{GET}'),
+       m AS (SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w) x WHERE rn = 1)"""
+_REPLAY = f"""{_LOG},
+       x AS (SELECT *, max(CASE WHEN op <> '{GET}' THEN seq END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM log),
+       a AS (SELECT x.seq, x.k, x.op, CASE WHEN x.op = '{GET}' AND p.v IS NULL THEN 2 ELSE 0 END AS rc, p.v AS payload FROM x LEFT JOIN w p ON p.seq = x.ps)"""
+_LSN = f"""{_LOG},
+       n AS (SELECT seq, CAST(CASE WHEN op = 'P' THEN 25 + strlen(k) + strlen(v) ELSE 21 + strlen(k) END AS bigint) AS n FROM w),
+       l AS (SELECT seq, n, CAST(coalesce(sum(n) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS lsn FROM n)"""
+_MERGED = """ z AS (SELECT coalesce(m.k, b.k) AS k, CASE WHEN m.k IS NOT NULL THEN m.v ELSE b.v END AS v FROM m FULL OUTER JOIN kv_state b ON m.k = b.k)"""
+_STATS = "min(k) AS mn, max(k) AS mx, max(seq) AS hi, CAST(sum(25 + strlen(k) + coalesce(strlen(v), 0)) AS bigint) AS bytes, count(*) AS n"
+_FRAME = f"""
+  WITH d AS (SELECT DISTINCT seq, upper(trim(op)) AS op, k, v FROM kv_log),
+       f AS (SELECT *, printf('%032x', seq) AS h, CASE op WHEN 'D' THEN 0 WHEN 'G' THEN 1 ELSE 2 END AS t, coalesce(k, '') AS kk FROM d)"""
+_CORR = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+SQL = {
+    "kv_replay": f"{_REPLAY} SELECT seq, k, op, rc, payload FROM a",
+    "kv_stream_replay": f"{_REPLAY} SELECT seq, k, op, rc, payload FROM a",
+    "kv_latest": f"{_LOG} SELECT k, v, seq FROM m WHERE v IS NOT NULL",
+    "kv_tombstones": f"{_LOG} SELECT k, seq FROM m WHERE v IS NULL",
+    "kv_prev_value": f"{_LOG} SELECT seq, k, op, lag(v) OVER (PARTITION BY k ORDER BY seq) AS prev FROM w",
+    "kv_merge_on_read": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE v IS NOT NULL",
+    "kv_multi_get": f"""{_LOG},{_MERGED}, q AS (SELECT DISTINCT k FROM key_probe WHERE length(k) > 0)
+  SELECT q.k, CASE WHEN z.v IS NULL THEN 2 ELSE 0 END AS rc, z.v FROM q LEFT JOIN z ON z.k = q.k""",
+    "kv_get": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE k = 'tree/00000000/root' AND v IS NOT NULL",
+    "kv_recover_from": f"{_LOG} SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w WHERE seq >= {RECOVER_FROM}) x WHERE rn = 1",
+    "kv_recover_prefix": f"""{_LOG}, bad AS (SELECT min(seq) AS b FROM log WHERE seq % 4999 = 4998)
+  SELECT k, v, seq FROM (SELECT w.*, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w, bad WHERE b IS NULL OR seq < b) x WHERE rn = 1""",
+    "kv_stream_apply": f"""{_LOG}, u AS (SELECT k, v, seq FROM w UNION ALL SELECT k, v, seq FROM kv_state)
+  SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) x WHERE rn = 1 AND v IS NOT NULL""",
+    "wal_lsn": f"{_LSN} SELECT seq, n, lsn FROM l",
+    "wal_segment_name": f"{_LSN} SELECT seq, printf('%08x%08x%08x.wal', 0, lsn >> 32, (lsn % 4294967296) // {SEGMENT}) AS segment FROM l",
+    "wal_segment_prune": f"{_LSN} SELECT lsn // {SMALL_SEGMENT} AS segment, max(lsn + n) AS ends, count(*) AS n FROM l GROUP BY 1 HAVING max(lsn + n) > {PRUNE_FROM}",
+    "wal_name_prune": f"""
+  WITH f AS (SELECT path, octet_length(content) AS size, regexp_extract(path, '([^/]*)$', 1) AS name FROM wal_file)
+  SELECT path, size FROM f WHERE regexp_full_match(name, '[0-9a-f]{{24}}\\.wal')
+    AND {(1 << 54) + 20_000} < ('0x' || substr(name, 9, 8))::hugeint * 4294967296 + ('0x' || substr(name, 17, 8))::hugeint * 16 + size""",
+    "sst_flush": f"{_LOG} SELECT substr(k, 1, 11) AS sg, {_STATS} FROM m GROUP BY 1",
+    "sst_manifest": f"""
+  WITH s AS (SELECT lvl, sg, {_STATS} FROM kv_sst GROUP BY lvl, sg), t AS (SELECT lvl, sg, max(bytes) AS said FROM manifest GROUP BY lvl, sg)
+  SELECT s.lvl, s.sg, mn, mx, hi, coalesce(said, bytes) AS bytes, n FROM s LEFT JOIN t ON s.lvl = t.lvl AND s.sg = t.sg""",
+    "sst_level_stats": f"""
+  WITH e AS (SELECT lvl, sg, max(bytes) AS b FROM manifest GROUP BY lvl, sg)
+  SELECT lvl, CAST(coalesce(sum(b), 0) AS bigint) AS bytes, count(*) AS segments, coalesce(sum(b), 0) > {LEVEL_TARGET} * pow({lsm.RATIO}, lvl) AS over FROM e GROUP BY lvl""",
+    "sst_overlap": """
+  WITH e AS (SELECT lvl, sg, min(mn) AS mn, max(mx) AS mx FROM manifest WHERE mn IS NOT NULL AND mx IS NOT NULL GROUP BY lvl, sg)
+  SELECT a.lvl, a.sg, count(b.sg) AS n_next FROM e a LEFT JOIN e b ON b.lvl = a.lvl + 1 AND a.mn <= b.mx AND b.mn <= a.mx GROUP BY a.lvl, a.sg""",
+    "sst_compact": "SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC, lvl, v DESC NULLS LAST) AS rn FROM kv_sst) x WHERE rn = 1 AND v IS NOT NULL",
+    "sst_level_lookup": "SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lvl, seq DESC, v DESC NULLS LAST) AS rn FROM kv_sst) x WHERE rn = 1",
+    "sst_highest": "SELECT max(seq) AS hi, count(DISTINCT sg) AS segments FROM kv_sst",
+    "wire_encode": f"""{_FRAME},
+       b AS (SELECT *, printf('%08X', strlen(kk)) || hex(kk) || CASE WHEN v IS NULL THEN '' ELSE printf('%08X', strlen(v)) || hex(v) END AS body FROM f)
+  SELECT seq, '00000018726B7673' || upper(h) || '00' || printf('%02X', t) || '0000' || printf('%08X', length(body) // 2) || body AS frame FROM b""",
+    "wire_decode": f"""{_FRAME},
+       e AS (SELECT *, CASE WHEN op = 'P' AND v IS NULL THEN 6 WHEN op <> 'P' AND v IS NOT NULL THEN 7 ELSE 0 END AS rc FROM f)
+  SELECT seq, {_CORR} AS corr, op, CASE WHEN rc = 0 THEN kk END AS k, CASE WHEN rc = 0 AND op = 'P' THEN v END AS v, rc FROM e""",
+    "wire_respond": f"{_REPLAY} SELECT seq, printf('%032X', seq) || printf('%02X', rc) || hex(coalesce(payload, '')) AS response FROM a",
+}
