@@ -49,13 +49,13 @@ def encode(op: str, key: str, value: str | None, seq: int) -> bytes:
 
 
 def decode(data: bytes, start: int, size: int) -> tuple[str, str, str | None, int] | None:
-    """(op, key, value, seq) of the record at `start`, None if its inner lengths or texts are wrong.
+    """(op, key, value, seq) of the record at `start`, None if its lengths or texts are wrong.
 
     As in the store that wrote the logs, every operation byte but 1 is a delete, and a value is there
     if there are bytes for it.
     """
     end = start + size
-    if size < LEAST:
+    if size < LEAST or struct.unpack_from("<I", data, start)[0] != size - 4:
         return None
     op, n = struct.unpack_from("<BI", data, start + 8)
     at = start + HEADER

@@ -53,7 +53,9 @@ def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.get(_log(spark, sf_dir)[0], table(spark, sf_dir, "kv_state"), "tree/00000000/root")
+    state = table(spark, sf_dir, "kv_state")
+    key = state.where("v is not null").agg(F.max("k")).first()[0]
+    return kv.get(_log(spark, sf_dir)[0], state, key)
 
 
 def kv_recover_from(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +207,7 @@ SQL = {
     "kv_merge_on_read": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE v IS NOT NULL",
     "kv_multi_get": f"""{_LOG},{_MERGED}, q AS (SELECT DISTINCT k FROM key_probe WHERE length(k) > 0)
   SELECT q.k, CASE WHEN z.v IS NULL THEN 2 ELSE 0 END AS rc, z.v FROM q LEFT JOIN z ON z.k = q.k""",
-    "kv_get": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE k = 'tree/00000000/root' AND v IS NOT NULL",
+    "kv_get": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE k = (SELECT max(k) FROM kv_state WHERE v IS NOT NULL) AND v IS NOT NULL",
     "kv_recover_from": f"{_LOG} SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w WHERE seq >= {RECOVER_FROM}) x WHERE rn = 1",
     "kv_recover_prefix": f"""{_LOG}, bad AS (SELECT min(seq) AS b FROM log WHERE seq % 4999 = 4998)
   SELECT k, v, seq FROM (SELECT w.*, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w, bad WHERE b IS NULL OR seq < b) x WHERE rn = 1""",

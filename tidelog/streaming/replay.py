@@ -20,7 +20,7 @@ from tidelog.session import work_dir
 from tidelog.sources.files import opened
 
 #: Bytes of files in a micro-batch.
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 << 20
 ANSWER = "seq bigint, k string, op string, rc int, payload string"
 
 
