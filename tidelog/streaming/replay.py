@@ -21,7 +21,7 @@ from tidelog.sources.files import opened
 
 #: Bytes of files in a micro-batch.
 BATCH_BYTES = 256 << 20
-ANSWER = "seq bigint, k string, op string, rc int, payload string"
+ANSWER = "seq bigint, k string, op string, rc int, payload string, of bigint"
 
 
 class Replay(StatefulProcessor):
@@ -37,12 +37,12 @@ class Replay(StatefulProcessor):
         for seq, op, v in zip(batch["seq"], batch["op"], batch["v"]):
             late = at is not None and seq <= at
             if op == GET or not late:
-                answers.append((seq, key[0], op, 2 if op == GET and value is None else 0, value))
+                answers.append((seq, key[0], op, 2 if op == GET and value is None else 0, value, at))
             if op != GET and not late:
                 at, value, changed = int(seq), v if op == PUT else None, True
         if changed:
             self.last.update((at, value))
-        yield pd.DataFrame(answers, columns=["seq", "k", "op", "rc", "payload"])
+        yield pd.DataFrame(answers, columns=["seq", "k", "op", "rc", "payload", "of"]).astype({"of": "Int64"})
 
     def close(self) -> None:
         pass
@@ -58,7 +58,8 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def replay_stream(log: DataFrame) -> DataFrame:
-    """ANSWER of each request of a stream of (seq, op, k, v)."""
+    """ANSWER of each request of a stream of (seq, op, k, v); `of`: the seq of the write whose value it is.
+    A request that comes after later writes of its key is answered from those."""
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # a null key has no state of its own and is answered like a key that is missing
@@ -73,10 +74,13 @@ def stream_replay(spark: SparkSession, path: str, folder: str | None = None, fil
     """
     folder = folder or work_dir(spark, "replay")
     log = requests(file_stream(spark, path, files_per_trigger))
-    answers = replay_stream(log).unionByName(log.where("k is null").select("seq", "k", "op", F.lit(2).alias("rc"), F.lit(None).cast("string").alias("payload")))
+    answers = replay_stream(log).unionByName(log.where("k is null").select("seq", "k", "op", F.lit(2).alias("rc"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("bigint").alias("of")))
     query = answers.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(ANSWER).parquet(f"{folder}/answers").dropDuplicates(["seq"])
+    # a request that was delivered again later was answered again, by a later write: the first answer counts
+    given = spark.read.schema(ANSWER).parquet(f"{folder}/answers")
+    first = given.groupBy("seq").agg(F.min_by(F.struct("k", "op", "rc", "payload"), F.coalesce("of", F.lit(-(1 << 62)))).alias("a"))
+    return first.select("seq", "a.*")
 
 
 def stream_apply(spark: SparkSession, path: str, base: DataFrame, folder: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
