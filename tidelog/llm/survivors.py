@@ -52,14 +52,19 @@ def node_records(kv_sst: DataFrame) -> DataFrame:
     return rows.select("k", "seq", "dead", *[known(f, F.col(f"r.{f}")).alias(f) for f in FIELDS])
 
 
-def precedence(rows: DataFrame, key: str, time: str, field: str) -> DataFrame:
-    """(a, b): b follows a more often than a follows b, in rows of the same key in order of time."""
+#: How much more often a value must have followed another than the other way round.
+SUPPORT = 2
+
+
+def precedence(rows: DataFrame, key: str, time: str, field: str, support: int = SUPPORT) -> DataFrame:
+    """(a, b): b follows a more often than a follows b, by `support`, in rows of the same key in order of time.
+    At equal times the order is that of the values."""
     timed = rows.where(F.col(time).isNotNull() & F.col(field).isNotNull()).select(key, time, field).distinct()
     moves = last_before(timed, key, time, F.col(field)).where(F.col("_last") != F.col(field))
     low, high = F.least("_last", field), F.greatest("_last", field)
     balance = moves.groupBy(low.alias("x"), high.alias("y")).agg(F.sum(F.when(F.col("_last") == low, 1).otherwise(-1)).alias("n"))
     up = F.col("n") > 0
-    return balance.where("n <> 0").select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"))
+    return balance.where(F.abs("n") >= support).select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tuple[str, ...] = FIELDS, dead: str | None = "dead") -> DataFrame:
