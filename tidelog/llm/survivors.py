@@ -58,8 +58,8 @@ SUPPORT = 2
 
 def precedence(rows: DataFrame, key: str, time: str, field: str, support: int = SUPPORT) -> DataFrame:
     """(a, b): b follows a more often than a follows b, by `support`, in rows of the same key in order of time.
-    At equal times the order is that of the values."""
-    timed = rows.where(F.col(time).isNotNull() & F.col(field).isNotNull()).select(key, time, field).distinct()
+    Of several values at one time the largest counts."""
+    timed = rows.where(F.col(time).isNotNull() & F.col(field).isNotNull()).groupBy(key, time).agg(F.max(field).alias(field))
     moves = last_before(timed, key, time, F.col(field)).where(F.col("_last") != F.col(field))
     low, high = F.least("_last", field), F.greatest("_last", field)
     balance = moves.groupBy(low.alias("x"), high.alias("y")).agg(F.sum(F.when(F.col("_last") == low, 1).otherwise(-1)).alias("n"))
