@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,12 +72,14 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, part
 
 
-def _list(values: list, lengths: list[int]):
+def _lists(values: list, width: int = 1) -> list:
+    """Arrow lists of integers, `width` of them from lists of tuples."""
     import pyarrow as pa
 
-    at = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))]).astype(np.int32)
-    flat = np.fromiter((x for v in values for x in v), dtype=np.int32, count=int(at[-1]))
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+    at = np.concatenate([[0], np.cumsum([len(v) for v in values], dtype=np.int64)]).astype(np.int32)
+    each = chain.from_iterable(values)
+    flat = np.fromiter(each if width == 1 else chain.from_iterable(each), dtype=np.int32, count=int(at[-1]) * width).reshape(-1, width)
+    return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(flat[:, i]))) for i in range(width)]
 
 
 def encode(documents: DataFrame, text: str = "text", path: str = BYTE_BPE_50K, offsets: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -98,12 +101,9 @@ def encode(documents: DataFrame, text: str = "text", path: str = BYTE_BPE_50K, o
             texts = b["_text"].to_pylist()
             for start, part in chunks(texts):
                 found = call(part, add_special_tokens=False)
-                ids = [x.ids for x in found]
-                n = [len(x) for x in ids]
-                columns = [b[c].slice(start, len(part)) for c in keep] + [_list(ids, n)]
+                columns = [b[c].slice(start, len(part)) for c in keep] + _lists([x.ids for x in found])
                 if offsets:
-                    spans = [x.offsets for x in found]
-                    columns += [_list([[s[i] for s in x] for x in spans], n) for i in (0, 1)]
+                    columns += _lists([x.offsets for x in found], 2)
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *(["starts", "ends"] if offsets else [])])
 
     return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>{extra}")
