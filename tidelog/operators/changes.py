@@ -52,12 +52,12 @@ def apply_changes(kv_state: DataFrame, kv_log: DataFrame, tombstones: bool = Fal
     log = changes(kv_log).select("k", "v", "seq")
     base = kv_state.where(F.length("k") > 0).select("k", "v", "seq")
     images = base.unionByName(log)
-    split, any_hot = hot_split(images, "k", "seq", total)
+    split, hot = hot_split(images, "k", "seq", total)
     split = split.repartition(F.col("k"), F.col("_part"))
     # one image per version; a base row of the same version as a change differs from it in nothing
     once = split.groupBy("k", "_part", "seq", "v").agg(F.lit(1).alias("_one")).drop("_one")
     state = consolidate(once, ["k", "_part"])
-    if any_hot:
+    if hot:
         state = consolidate(state.drop("_part").repartition(F.col("k")), ["k"])
     state = state.select("k", "v", "seq")
     return state if tombstones else state.where(F.col("v").isNotNull())

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.schema import operation, valid_change
+from tidelog.session import small
 from tidelog.sources.files import opened, read_whole, write_whole
 
 
 def covered_batches(run_log: DataFrame) -> DataFrame:
     """(shard, batch_no): distinct batches that a successful run covers. A run is successful if one of
     its rows says done; its shard and batches are those of any of its rows. Rows without one of these,
-    or with batches in the wrong order, cover nothing. Bounded by shards times batches, not by rows."""
+    or with batches in the wrong order, cover nothing. At most shards times batches, however many rows."""
     done = run_log.where(F.lower(F.trim("outcome")) == "done").select("run_id").distinct()
     runs = run_log.where("shard is not null and batch_from <= batch_to").join(done, "run_id", "left_semi")
     return runs.select("shard", F.explode(F.sequence("batch_from", "batch_to")).alias("batch_no")).distinct()
@@ -34,19 +35,16 @@ def pending_changes(kv_log: DataFrame, run_log: DataFrame) -> DataFrame:
     skipped. Rows without seq, shard or batch are not covered by any run; without seq they are no record.
     Without successful runs, all valid changes are pending. Columns of other names are ignored.
     """
-    spark = kv_log.sparkSession
     fields = ["shard", "batch_no"]
-    found = covered_batches(run_log).collect()  # shards x batches, e.g. 4 x 48
-    covered = spark.createDataFrame([(s, b, True) for s, b in found], "shard int, batch_no int, _done boolean")
+    covered = covered_batches(run_log).withColumn("_done", F.lit(True))
     log = kv_log.select("seq", operation(F.col("op")).alias("op"), "k", "v", *fields).where("seq is not null")
-    marked = log.join(F.broadcast(covered), fields, "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+    marked = log.join(small(covered), fields, "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
     valid = valid_change(F.col("op"), F.col("k"), F.col("v"))
     again = marked.where(~F.col("_done") & valid)
-    # the oldest open change of each shard: what is older was taken up altogether, and is not read again
-    low = again.groupBy("shard").agg(F.min("seq").alias("_low")).collect()
-    if not low:
+    # the oldest open change: what is older was taken up altogether, and is not read again
+    oldest = again.agg(F.min("seq")).first()[0]
+    if oldest is None:
         return again.select("seq", "op", "k", "v", "shard")
-    oldest = min(r["_low"] for r in low)
     ledger = marked.where(F.col("_done") & (F.col("seq") >= oldest)).select("k", "seq")
     new = again.join(ledger, ["k", "seq"], "left_anti")
     new = new.select("seq", "op", "k", F.when(F.col("op") == "P", F.col("v")).alias("v"), "shard")

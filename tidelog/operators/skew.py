@@ -40,8 +40,14 @@ def range_among(value: Column, points: list) -> Column:
     return block * step + below(F.slice(F.lit(points), block * step + 1, step))
 
 
-def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) -> tuple[DataFrame, bool]:
-    """Adds `_part`, a range number that is 0 but for hot keys. Second: whether there is a hot key.
+def one_of(key: Column, values: list) -> Column:
+    """Whether the key is one of a few values, which may hold null. Reaches the scan."""
+    named = key.isin([v for v in values if v is not None])
+    return named | key.isNull() if None in values else named
+
+
+def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) -> tuple[DataFrame, list]:
+    """Adds `_part`, a range number that is 0 but for hot keys. Second: the hot keys, fewer than HOT_SHARE.
 
     The table of hot keys has fewer than HOT_SHARE rows of HOT_PARTS numbers whatever the input, hence
     the broadcast. `total` may be any number from the row count upwards to half of it downwards; without
@@ -51,14 +57,12 @@ def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) ->
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE > F.lit(total))
     hot = [r[0] for r in counts.select(key).limit(2 * HOT_SHARE).collect()]
     if not hot:
-        return df.withColumn("_part", F.lit(0)), False
-    named = [k for k in hot if k is not None]
-    some = df.where(F.col(key).isin(named) | (F.col(key).isNull() if None in hot else F.lit(False)))
-    points = split_points(some.where(F.col(order).isNotNull()), order, HOT_PARTS, [key]).collect()
+        return df.withColumn("_part", F.lit(0)), []
+    points = split_points(df.where(one_of(F.col(key), hot)).where(F.col(order).isNotNull()), order, HOT_PARTS, [key]).collect()
     spark = df.sparkSession
     points = spark.createDataFrame(points, f"_hot {df.schema[key].dataType.simpleString()}, _points array<{df.schema[order].dataType.simpleString()}>")
     joined = df.join(F.broadcast(points), F.col(key).eqNullSafe(F.col("_hot")), "left")
-    return joined.withColumn("_part", range_of(F.col(order), F.col("_points"))).drop("_hot", "_points"), True
+    return joined.withColumn("_part", range_of(F.col(order), F.col("_points"))).drop("_hot", "_points"), hot
 
 
 def last_before(df: DataFrame, key: str, order: str, what: Column, total: int | None = None, unique: list[str] | None = None) -> DataFrame:
@@ -67,18 +71,16 @@ def last_before(df: DataFrame, key: str, order: str, what: Column, total: int |
     `unique`: the columns of the rows, of which only distinct ones are to count; they are made distinct
     after the split, so that one shuffle serves both.
     """
-    split, any_hot = hot_split(df, key, order, total)
+    split, hot = hot_split(df, key, order, total)
     split = split.repartition(F.col(key), F.col("_part"))
     if unique is not None:
         split = split.select(*unique, "_part").distinct()
     split = split.withColumn("_what", what)
     w = Window.partitionBy(key, "_part").orderBy(order)
     out = split.withColumn("_last", F.last("_what", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    if any_hot:
+    if hot:
         # one row per range of a hot key: at most HOT_SHARE * HOT_PARTS
-        ends = split.where("_part > 0 or _what is not null").groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
-        hot = split.groupBy(key).agg(F.max("_part").alias("_m")).where("_m > 0").select(F.col(key).alias("_hk"))
-        ends = ends.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left_semi")
+        ends = split.where(one_of(F.col(key), hot)).groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
         v = Window.partitionBy(key).orderBy("_part")
         carry = ends.select(F.col(key).alias("_ck"), F.col("_part").alias("_cp"), F.last("_end", True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry")).where("_carry is not null")
         out = out.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_part") == F.col("_cp")), "left")

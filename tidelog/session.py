@@ -40,3 +40,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder: executors may be lost afterwards."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a few short columns that every executor can hold.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame with a hint to broadcast it, if counting shows that it has few rows; else as it is, for a
+    shuffled join. For narrow frames that are cheap to count."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.hint("broadcast") if few else df
