@@ -150,6 +150,9 @@ def test_tokens_round_trip(spark):
     for i, t in enumerate(ODD):
         r = got[i]
         assert len(r.ids) == len(r.starts) == len(r.ends) and all(0 <= a < b <= len(t) for a, b in zip(r.starts, r.ends))
+    library = tokens.tokenizer(tokens.BYTE_BPE_50K)
+    for i, t in enumerate(ODD):
+        assert list(zip(got[i].starts, got[i].ends)) == library.encode(t or "", add_special_tokens=False).offsets
     plain = {r.doc_id: r.ids for r in tokens.encode(table).collect()}
     assert plain == {i: r.ids for i, r in got.items()}
     assert 50256 not in plain[5]

@@ -72,14 +72,22 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, part
 
 
-def _lists(values: list, width: int = 1) -> list:
-    """Arrow lists of integers, `width` of them from lists of tuples."""
-    import pyarrow as pa
+@cache
+def token_sizes(path: str) -> np.ndarray:
+    return np.array([len(b) for b in token_bytes(path)], dtype=np.int64)
+
 
-    at = np.concatenate([[0], np.cumsum([len(v) for v in values], dtype=np.int64)]).astype(np.int32)
-    each = chain.from_iterable(values)
-    flat = np.fromiter(each if width == 1 else chain.from_iterable(each), dtype=np.int32, count=int(at[-1]) * width).reshape(-1, width)
-    return [pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(flat[:, i]))) for i in range(width)]
+def character_spans(texts: list[str], ids: np.ndarray, lengths: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character, in its text, of each token of all texts: the tokens' bytes are counted on, then
+    each byte is mapped to its character."""
+    data = [t.encode() for t in texts]
+    own = np.frombuffer(b"".join(data), dtype=np.uint8)
+    character = np.cumsum((own & 0xC0) != 0x80) - 1
+    end = np.cumsum(token_sizes(path)[ids])
+    if len(ids) and end[-1] != len(own):
+        raise ValueError("the tokens do not have the bytes of the texts")
+    begin = np.cumsum([0, *map(len, texts)])[:-1].repeat(lengths)
+    return character[end - token_sizes(path)[ids]] - begin, character[end - 1] + 1 - begin
 
 
 def encode(documents: DataFrame, text: str = "text", path: str = BYTE_BPE_50K, offsets: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -96,14 +104,15 @@ def encode(documents: DataFrame, text: str = "text", path: str = BYTE_BPE_50K, o
         import pyarrow as pa
 
         t = tokenizer(path)
-        call = t.encode_batch if offsets else t.encode_batch_fast
         for b in batches:
             texts = b["_text"].to_pylist()
             for start, part in chunks(texts):
-                found = call(part, add_special_tokens=False)
-                columns = [b[c].slice(start, len(part)) for c in keep] + _lists([x.ids for x in found])
-                if offsets:
-                    columns += _lists([x.offsets for x in found], 2)
+                found = [x.ids for x in t.encode_batch_fast(part, add_special_tokens=False)]
+                lengths = np.array([len(x) for x in found], dtype=np.int64)
+                at = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
+                values = [ids, *(character_spans(part, ids, lengths, path) if offsets else ())]
+                columns = [b[c].slice(start, len(part)) for c in keep] + [pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in values]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *(["starts", "ends"] if offsets else [])])
 
     return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>{extra}")
