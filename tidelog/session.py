@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,18 @@ def small(df: DataFrame) -> DataFrame:
     shuffled join. For narrow frames that are cheap to count."""
     few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.hint("broadcast") if few else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once per application, so that they need no
+    installed copy of it."""
+    context = spark.sparkContext
+    if getattr(ship, "to", None) == context.applicationId:
+        return
+    root = Path(__file__).parent
+    archive = f"{tempfile.mkdtemp(prefix='tidelog-')}/tidelog.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    ship.to = context.applicationId
