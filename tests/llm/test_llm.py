@@ -177,7 +177,11 @@ def test_other_library_agrees():
     assert [tokens.token_bytes(tokens.BYTE_BPE_50K)[i] for i in range(50256)] == [b for b, _ in sorted(ranks.items(), key=lambda x: x[1])]
 
 
-def test_split_characters():
+def test_split_characters(spark):
+    cut = tokens.tokenizer(tokens.BYTE_BPE_50K).encode("a🙂", add_special_tokens=False).ids
+    lists = [(0, cut[:2]), (1, None), (2, []), (3, cut), (4, cut[1:]), (5, list(range(50257)) * 40)]
+    got = {r.doc_id: r.text for r in tokens.decode(spark.createDataFrame(lists, "doc_id bigint, ids array<int>")).collect()}
+    assert got == {i: None if x is None else tokens.decode_ids(x) for i, x in lists} and got[3] == "a🙂" and got[0] == "a�"
     ids = tokens.tokenizer(tokens.BYTE_BPE_50K).encode("数🙂", add_special_tokens=False).ids
     assert len(ids) > 2 and tokens.decode_ids(ids) == "数🙂" and tokens.decode_ids(ids[:1]) == "�"
     assert len(tokens.byte_alphabet()) == 256

@@ -135,16 +135,51 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str = BYTE_BPE_
     return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, tokens bigint")
 
 
+@cache
+def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, and where each begins."""
+    sizes = token_sizes(path)
+    return np.frombuffer(b"".join(token_bytes(path)), dtype=np.uint8), np.cumsum(sizes) - sizes
+
+
+def decode_lists(lists, path: str = BYTE_BPE_50K):
+    """Arrow strings of an Arrow array of lists of ids; null for a null list. The bytes of all tokens are
+    gathered at once; only if a list is cut within a character are texts decoded one by one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids = lists.flatten().to_numpy()
+    rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+    data, begin = _byte_table(path)
+    size = token_sizes(path)[ids]
+    end = np.cumsum(size)
+    gathered = data[np.arange(end[-1] if len(end) else 0) + np.repeat(begin[ids] - (end - size), size)]
+    at = np.concatenate([[0], end])[rows].astype(np.int32)
+    raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), pa.py_buffer(gathered)])
+    try:
+        texts = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string())) if lists.null_count else texts
+
+
+#: Ids decoded at a time (one list at least).
+CHUNK_IDS = 1 << 20
+
+
 def decode(encoded: DataFrame, path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and `text` of lists of ids; null for a null list. Exact for lists made by `encode`."""
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            column = b["ids"]
-            texts = [None if x is None else decode_ids(x, path) for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
+            so_far = np.cumsum(pc.fill_null(pc.list_value_length(b["ids"]), 0).to_numpy())
+            cuts = np.unique(np.concatenate([[0], np.nonzero(np.diff(so_far // CHUNK_IDS))[0] + 1, [b.num_rows]]))
+            for start, stop in zip(cuts, cuts[1:]):
+                part = b.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], decode_lists(part["ids"], path)], names=[*keep, "text"])
 
     return encoded.select(*keep, "ids").mapInArrow(run, f"{kinds}, text string")
