@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.tokens import BYTE_BPE_50K, count_tokens
-from tidelog.session import checkpoint
+from tidelog.session import checkpoint, small
 
 
 def sized(documents: DataFrame, mix_target: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
     """(doc_id, source, tokens) of the documents whose source has a share; tokenized once and checkpointed.
 
-    The table of shares has a row per source, not per document; sources without a row or with a null name
-    have none.
+    The table of shares has a row per source, not per document, and is broadcast if it is small, so that
+    texts are not shuffled by source; sources without a row or with a null name have no share.
     """
     named = mix_target.where("source is not null and target_share > 0").select("source").distinct()
-    return checkpoint(count_tokens(documents.join(named, "source", "left_semi"), path=path, keep=("doc_id", "source")))
+    return checkpoint(count_tokens(documents.join(small(named), "source", "left_semi"), path=path, keep=("doc_id", "source")))
 
 
 def rates(sizes: DataFrame, mix_target: DataFrame, total: float | None = None) -> DataFrame:
@@ -37,21 +37,22 @@ def rates(sizes: DataFrame, mix_target: DataFrame, total: float | None = None) -
     target = mix_target.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.min(F.coalesce("max_repeat", F.lit(1))).alias("max_repeat"))
     held = sizes.groupBy("source").agg(F.sum("tokens").alias("held"))
     both = target.join(held, "source", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    most = F.lit(float(total)) if total is not None else F.min(F.when(F.col("held") > 0, F.col("max_repeat") * F.col("held") / F.col("target_share")))
-    size = both.agg(most.alias("size"))
-    rate = F.least(F.col("target_share") * F.col("size") / F.col("held"), F.col("max_repeat").cast("double"))
-    return both.crossJoin(F.broadcast(size)).withColumn("rate", F.when(F.col("held") > 0, rate).otherwise(0.0)).drop("size")  # size is one row
+    if total is None:
+        total = both.where("held > 0").agg(F.min(F.col("max_repeat") * F.col("held") / F.col("target_share"))).first()[0] or 0
+    rate = F.least(F.col("target_share") * F.lit(float(total)) / F.col("held"), F.col("max_repeat").cast("double"))
+    return both.withColumn("rate", F.when(F.col("held") > 0, rate).otherwise(0.0))
 
 
 def mix(sizes: DataFrame, rated: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, source, copy, tokens): each document `copy` = 1.. times. Documents with equal ids are drawn alike.
 
-    `rated` has a row per source and is broadcast; a source that holds most documents needs no shuffle.
+    `rated` has a row per source; if these are few enough to be broadcast, a source that holds most documents needs
+    no shuffle.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
     whole = F.floor("rate")
     copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    used = sizes.join(F.broadcast(rated.select("source", "rate")), "source").withColumn("_copies", copies).where("_copies > 0")
+    used = sizes.join(small(rated.select("source", "rate")), "source").withColumn("_copies", copies).where("_copies > 0")
     return used.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"), "tokens")
 
 
@@ -59,6 +60,5 @@ def shares(mixed: DataFrame, rated: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, pages, rate, max_repeat): what the mix came to."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pages"))
     out = rated.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("pages", F.coalesce("pages", F.lit(0)))
-    total = out.agg(F.sum("tokens").alias("_all"))
-    out = out.crossJoin(F.broadcast(total))  # one row
-    return out.select("source", "target_share", (F.col("tokens") / F.nullif("_all", F.lit(0))).alias("actual_share"), "tokens", "pages", "rate", "max_repeat")
+    total = out.agg(F.sum("tokens")).first()[0] or None
+    return out.select("source", "target_share", (F.col("tokens") / F.lit(total)).cast("double").alias("actual_share"), "tokens", "pages", "rate", "max_repeat")

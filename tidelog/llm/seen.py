@@ -148,7 +148,7 @@ class Seen:
     def report(self) -> DataFrame:
         """One row: keys held and bits a key; keys asked; the rate of false positives in theory and as audited
         against the earlier keys themselves; false negatives."""
-        size = self.held.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("keys_held"), (8 * F.sum(F.length("bits")) / F.sum("n")).alias("bits_per_key"), self.held.theoretical.alias("fp_theory"))
+        size = self.held.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), 8 * F.sum(F.length("bits")) / F.sum("n"), self.held.theoretical).first()
         real = self.first.join(self.confirmed.select("id", F.lit(True).alias("real")), "id", "left").withColumn("real", F.coalesce("real", F.lit(False)))
         audit = real.agg(
             F.count("*").alias("keys_asked"),
@@ -156,7 +156,7 @@ class Seen:
             F.count_if(~F.col("maybe") & F.col("real")).alias("false_negatives"),
             (F.count_if(F.col("maybe") & ~F.col("real")) / F.nullif(F.count_if(~F.col("real")), F.lit(0))).alias("fp_audited"),
         )
-        return audit.crossJoin(F.broadcast(size))  # one row each
+        return audit.withColumns({n: F.lit(v).cast(kind) for n, kind, v in zip(("keys_held", "bits_per_key", "fp_theory"), ("bigint", "double", "double"), size)})
 
 
 def seen_before(earlier: DataFrame, incoming: DataFrame, key: str = "k", order: str = "in_id", fp_bits: int = FP_BITS, audit: bool = False) -> Seen:
@@ -174,5 +174,5 @@ def seen_before(earlier: DataFrame, incoming: DataFrame, key: str = "k", order:
     answers = checkpoint(probe(held, first, "k"))
     to_check = answers if audit else answers.where("maybe")
     confirmed = to_check.join(earlier.where(F.length(key) > 0).select(F.col(key).alias("k")).distinct(), "k", "left_semi")
-    new = answers.select("id").join(confirmed.select("id"), "id", "left_anti").select(F.col("id").alias("_new"))
-    return Seen(held, answers, confirmed, named.join(new, F.col(order) == F.col("_new"), "left_anti"))
+    new = answers.select("id").join(confirmed.select("id"), "id", "left_anti")
+    return Seen(held, answers, confirmed, named.join(new, named[order] == new["id"], "left_anti"))
