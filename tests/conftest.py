@@ -20,6 +20,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tidelog.session import ship
+
+    ship(s)
     yield s
     s.stop()
 

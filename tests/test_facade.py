@@ -13,7 +13,7 @@ KINDS = "ord bigint, op string, k string, v string"
 @pytest.mark.parametrize("flush_at", [1 << 30, 400])
 def test_store_against_a_dict(spark, tmp_path, flush_at, monkeypatch):
     rng, model, log, folder = random.Random(flush_at), {}, {}, f"file://{tmp_path}/store"
-    for batch in range(4):
+    for batch in range(3):
         store = Store(spark, folder, flush_at, level_target=500)  # opened anew each time
         flushed = store.levels.highest()
         log = {k: x for k, x in log.items() if flushed is None or x[1] > flushed}

@@ -82,9 +82,9 @@ class Increments:
         if runs:
             low = runs[-1]["low"]
             rows = rows.where(F.col("seq") >= low) if low is not None else rows
-            ledger = self.spark.read.parquet(*[f"{self.folder}/batches/{r['run']}" for r in runs]).select(F.col("k").alias("_k"), F.col("seq").alias("_seq"))
-            ledger = ledger.where(F.col("_seq") >= low) if low is not None else ledger
-            rows = rows.join(ledger, (F.col("seq") == F.col("_seq")) & F.col("k").eqNullSafe(F.col("_k")), "left_anti")
+            ledger = self.spark.read.parquet(*[f"{self.folder}/batches/{r['run']}" for r in runs]).select("k", "seq")
+            ledger = ledger.where(F.col("seq") >= low) if low is not None else ledger
+            rows = rows.join(ledger, (rows["seq"] == ledger["seq"]) & rows["k"].eqNullSafe(ledger["k"]), "left_anti")
         return rows.dropDuplicates(["k", "seq"])
 
     def run(self, source: DataFrame, process: Callable[[DataFrame, int], None], oldest_open: int | None = None) -> int:

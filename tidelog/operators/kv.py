@@ -72,8 +72,8 @@ def recover_from(log: DataFrame, seq: int) -> DataFrame:
 
 def recover_prefix(log: DataFrame, corrupt: Column) -> DataFrame:
     """State, tombstones included, of the writes before the first corrupt record; all, if none is."""
-    first = log.where(corrupt).agg(F.min("seq").alias("_bad"))  # one row
-    return newest(log.join(F.broadcast(first), F.col("_bad").isNull() | (F.col("seq") < F.col("_bad"))))
+    first = log.where(corrupt).agg(F.min("seq")).first()[0]
+    return newest(log if first is None else log.where(F.col("seq") < first))
 
 
 def return_code(error: Column) -> Column:
