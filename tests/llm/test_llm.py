@@ -252,13 +252,13 @@ def test_viterbi_is_the_best_path():
     lengths = [1, 4, 2, 5, 3]
     page = np.repeat(np.arange(5) * 2, lengths)
     score = np.log(rng.random((len(page), 5)))
-    got = stuffing.most_likely(page, score)
+    got = stuffing.most_likely(page, score, stuffing.prior())
     move = np.log(np.where(np.eye(5), stuffing.STAY, (1 - stuffing.STAY) / 4))
     for p in np.unique(page):
         own = np.nonzero(page == p)[0]
         best = max(itertools.product(range(5), repeat=len(own)), key=lambda x: np.log(stuffing.START[x[0]]) + sum(score[i, s] for i, s in zip(own, x)) + sum(move[a, b] for a, b in zip(x, x[1:])))
         assert tuple(got[own]) == best
-    assert len(stuffing.most_likely(np.zeros(0, int), np.zeros((0, 5)))) == 0
+    assert len(stuffing.most_likely(np.zeros(0, int), np.zeros((0, 5)), stuffing.prior())) == 0
 
 
 def test_chances_add_up():
@@ -266,6 +266,26 @@ def test_chances_add_up():
         assert np.allclose(np.sum(table, axis=1), 1) and len(table) == len(stuffing.LABELS)
 
 
+def test_training(spark):
+    pages = [(i, t) for i, t in enumerate([*STUFFED.values(), *OTHER.values()])]
+    documents = spark.createDataFrame(pages, "doc_id bigint, text string").withColumn("is_spam", F.lit("clash"))
+    kinds = "doc_id bigint, rater string, is_spam int"
+    labels = [(i, "a", int(i < len(STUFFED))) for i, _ in pages] + [(0, "b", None), (1, "b", 0), (None, "a", 1), (999, "a", 1), (2, "c", 7), (6, "b", 0)]
+    base, model = stuffing.prior(), stuffing.fit(documents, spark.createDataFrame(labels, kinds), pages=50)
+    for table in [*model.emissions.values(), model.move, model.start[None]]:
+        assert np.allclose(table.sum(axis=1), 1) and (table > 0).all()
+    assert model.emissions["function"][stuffing.PROSE, 3] > base.emissions["function"][stuffing.PROSE, 3]
+    assert model.emissions["marks"][stuffing.MENU, 1] > base.emissions["marks"][stuffing.MENU, 1]
+    assert {r.doc_id for r in stuffing.stuffed_pages(documents, model=model).collect()} == set(range(len(STUFFED)))
+    none = stuffing.fit(documents, spark.createDataFrame([], kinds))
+    assert all(np.allclose(none.emissions[n], t) for n, t in base.emissions.items()) and np.allclose(none.move, base.move)
+    # a wrong label is passed over, and a page that is no spam is never counted with labels of spam
+    wrong = stuffing.count_lines(pa.array([STUFFED["links"], STUFFED["menu"]]), np.array([0, 1]), base)
+    assert wrong["start"].sum() == 1 and wrong["start"][stuffing.MENU] == 1
+    kept = stuffing.count_lines(pa.array([OTHER["links in an article"]]), np.array([0]), base)
+    assert kept["function"][stuffing.LINKS :].sum() == 0 and kept["links"].sum() == 9
+
+
 def test_labelled_pages(spark):
     """Accuracy against the raters' opinions, some of which are wrong."""
     sf = "/root/testdata/sf0.1"

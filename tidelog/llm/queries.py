@@ -70,11 +70,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return stuffing.stuffed_pages(documents, model=stuffing.fit(documents, table(spark, sf_dir, "page_label")))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.non_prose_share(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return stuffing.non_prose_share(documents, model=stuffing.fit(documents, table(spark, sf_dir, "page_label")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_record": p2_record, "p2_owner": p2_owner, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}

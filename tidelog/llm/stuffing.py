@@ -10,11 +10,14 @@ share of its words in lines of the last three kinds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import checkpoint
+
 #: Pages labelled side by side.
 PAGES = 2000
 PROSE, RECORD, LINKS, TAGS, MENU = range(5)
@@ -99,7 +102,7 @@ def _bins(value: np.ndarray, edges: list[float]) -> np.ndarray:
 
 
 #: What is seen of a line: per feature the chances of its bins in a line of each label (prose, record,
-#: links, tags, menu). Chosen by reading pages; each row adds up to 1.
+#: links, tags, menu), before training. Each row adds up to 1.
 EMISSIONS = {
     # share of function words: none, up to 0.12, up to 0.25, more
     "function": [[0.08, 0.17, 0.30, 0.45], [0.75, 0.20, 0.04, 0.01], [0.75, 0.15, 0.07, 0.03], [0.50, 0.20, 0.15, 0.15], [0.60, 0.15, 0.15, 0.10]],
@@ -117,14 +120,33 @@ EMISSIONS = {
     "marks": [[0.9727, 0.015, 0.010, 0.0003, 0.002], [0.5027, 0.02, 0.475, 0.0003, 0.002], [0.85, 0.10, 0.04, 0.008, 0.002], [0.45, 0.18, 0.02, 0.25, 0.10], [0.15, 0.78, 0.06, 0.005, 0.005]],
 }
 START = [0.60, 0.10, 0.10, 0.10, 0.10]
-#: Chance that the next line has the same label; the rest is shared by the other labels.
+#: Chance that the next line has the same label, before training; the rest is shared by the other labels.
 STAY = 0.92
+#: Labelled pages that training takes at most, in order of a hash of their ids; its rounds; and how many lines of each
+#: label the chances above stand for: about as many as such pages have, as few of them show the rarer kinds of
+#: page that are no spam, such as classified adverts.
+TRAIN_PAGES, TRAIN_ROUNDS, PRIOR_LINES = 2000, 2, 60_000
 #: A page is flagged from this share of words in link lists, tag lists and menus.
 SHARE = 0.5
 #: Pages of fewer words have next to no text.
 LEAST_WORDS = 8
 
 
+@dataclass(frozen=True)
+class Model:
+    """Chances of a hidden Markov model over lines: of what is seen given the label, of the first label, of
+    the next label given this one."""
+
+    emissions: dict[str, np.ndarray]
+    start: np.ndarray
+    move: np.ndarray
+
+
+def prior() -> Model:
+    k = len(LABELS)
+    return Model({n: np.array(t) for n, t in EMISSIONS.items()}, np.array(START), np.where(np.eye(k), STAY, (1 - STAY) / (k - 1)))
+
+
 def observed(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Bins of EMISSIONS per line."""
     words, chars = np.maximum(f["words"], 1), np.maximum(f["chars"], 1)
@@ -144,17 +166,16 @@ def observed(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     }
 
 
-def most_likely(page: np.ndarray, score: np.ndarray) -> np.ndarray:
+def most_likely(page: np.ndarray, score: np.ndarray, model: Model) -> np.ndarray:
     """Label of each line by Viterbi: `page` ascending, `score` lines x labels of log chances. All pages go
     side by side, the longest first, so that each step is over the pages that still have a line."""
     first = np.nonzero(np.diff(page, prepend=-1))[0]
     length = np.diff(np.append(first, len(page)))
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
-    k = score.shape[1]
-    move = np.log(np.where(np.eye(k), STAY, (1 - STAY) / (k - 1)))
+    move = np.log(model.move)
     back = np.zeros(score.shape, dtype=np.int8)
-    best = np.log(START) + score[first]
+    best = np.log(model.start) + score[first]
     end = np.zeros(len(page), dtype=np.int8)
     for t in range(1, int(length[0]) if len(length) else 0):
         on = int(np.searchsorted(-length, -t, side="left"))  # pages longer than t
@@ -170,25 +191,89 @@ def most_likely(page: np.ndarray, score: np.ndarray) -> np.ndarray:
     return end
 
 
-def label_lines(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(page, label, words) of each line of an Arrow array of texts without nulls."""
-    f = line_features(texts)
-    seen = observed(f)
-    score = sum(np.log(np.array(EMISSIONS[name]).T)[bins] for name, bins in seen.items())
+def _scores(f: dict[str, np.ndarray], seen: dict[str, np.ndarray], model: Model) -> np.ndarray:
+    score = sum(np.log(model.emissions[name].T)[bins] for name, bins in seen.items())
     score[f["tokens"] == 0] = 0  # an empty line says nothing
-    return f["page"], most_likely(f["page"], score), f["tokens"]
+    return score
 
 
-def page_shares(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(words, share of them in link lists, tag lists and menus) of each text."""
-    page, label, words = label_lines(texts)
-    n = len(texts)
-    total = np.bincount(page, weights=words, minlength=n)
-    bad = np.bincount(page, weights=words * (label >= LINKS), minlength=n)
+def _shares(f: dict[str, np.ndarray], label: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    total = np.bincount(f["page"], weights=f["tokens"], minlength=pages)
+    bad = np.bincount(f["page"], weights=f["tokens"] * (label >= LINKS), minlength=pages)
     return total.astype(np.int64), bad / np.maximum(total, 1)
 
 
-def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def page_shares(texts, model: Model | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words, share of them in link lists, tag lists and menus) of each text of an Arrow array without nulls."""
+    f = line_features(texts)
+    model = model or prior()
+    return _shares(f, most_likely(f["page"], _scores(f, observed(f), model), model), len(texts))
+
+
+def count_lines(texts, spam: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    """How often each bin was seen with each label, each label came first and followed each other, in the most
+    likely labels of labelled pages. A page that is no spam has only prose and records. Pages whose label the
+    model flatly contradicts, nearly all or nearly none of their words being of the other kind, say nothing:
+    raters err."""
+    f = line_features(texts)
+    seen = observed(f)
+    score = _scores(f, seen, model)
+    _, share = _shares(f, most_likely(f["page"], score, model), len(texts))
+    use = (np.where(spam > 0, share, 1 - share) > 0.1)[f["page"]]
+    score[np.ix_(spam[f["page"]] == 0, np.arange(len(LABELS)) >= LINKS)] = -1e9
+    label = most_likely(f["page"], score, model)
+    k = len(LABELS)
+    out = {}
+    told = use & (f["tokens"] > 0)
+    for name, bins in seen.items():
+        out[name] = np.zeros(model.emissions[name].shape)
+        np.add.at(out[name], (label[told], bins[told]), 1)
+    begins = np.diff(f["page"], prepend=-1) > 0
+    out["start"] = np.bincount(label[begins & use], minlength=k).astype(float)
+    out["move"] = np.zeros((k, k))
+    next_ = np.nonzero(~begins & use)[0]
+    np.add.at(out["move"], (label[next_ - 1], label[next_]), 1)
+    return out
+
+
+def updated(counts: dict[str, np.ndarray], lines: int = PRIOR_LINES) -> Model:
+    """The chances from counts, and from the prior as if it had been seen in so many lines of each label."""
+    base = prior()
+    mean = lambda n, p: (n + lines * p) / (n + lines * p).sum(-1, keepdims=True)
+    return Model({name: mean(counts[name], p) for name, p in base.emissions.items()}, mean(counts["start"], base.start), mean(counts["move"], base.move))
+
+
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", pages: int = TRAIN_PAGES, rounds: int = TRAIN_ROUNDS) -> Model:
+    """Viterbi training on labelled pages: labels (doc_id, is_spam), of one or more raters.
+
+    At most `pages` pages count, those on which the raters are of one mind, in order of a hash of their ids;
+    without any, the model is the one before training. Tasks count, only the counts, a few hundred
+    numbers, reach the driver.
+    """
+    one = labels.where("is_spam in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("is_spam").alias("_spam")).where("_spam in (0, 1)")
+    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pages)
+    sample = checkpoint(documents.select("doc_id", documents[text].alias("_text")).where("_text is not null").join(F.broadcast(some), "doc_id").select("_text", "_spam"))
+    model = prior()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                found = count_lines(b["_text"], b["_spam"].to_numpy(), model)
+                rows = [(name, i, n) for name, table in found.items() for i, n in enumerate(table.ravel().tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["name", "i", "n"])
+
+    for _ in range(rounds):
+        got = sample.mapInArrow(run, "name string, i bigint, n double").groupBy("name", "i").agg(F.sum("n").alias("n")).collect()
+        counts = {name: np.zeros(p.shape) for name, p in [*model.emissions.items(), ("start", model.start), ("move", model.move)]}
+        for r in got:
+            counts[r["name"]].ravel()[r["i"]] = r["n"]
+        model = updated(counts)
+    return model
+
+
+def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
     """`keep`, `words` and `share` (of words in link lists, tag lists and menus) of every row; words are what
     blanks separate. A null, empty or blank text has no words and a share of 0. Whole texts; no shuffle."""
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
@@ -200,14 +285,14 @@ def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, .
         for b in batches:
             for start in range(0, b.num_rows, PAGES):
                 part = b.slice(start, PAGES)
-                words, share = page_shares(pc.fill_null(part["_text"], ""))
+                words, share = page_shares(pc.fill_null(part["_text"], ""), model)
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(words), pa.array(share)], names=[*keep, "words", "share"])
 
     return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, words bigint, share double")
 
 
-def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE) -> DataFrame:
+def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, model: Model | None = None) -> DataFrame:
     """`keep` of the pages of at least LEAST_WORDS words of which at least `share` are in link lists, tag
     lists or menus."""
-    found = non_prose_share(documents, text, keep).where((F.col("words") >= LEAST_WORDS) & (F.col("share") >= share))
+    found = non_prose_share(documents, text, keep, model).where((F.col("words") >= LEAST_WORDS) & (F.col("share") >= share))
     return found.select(*keep)
