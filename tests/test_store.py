@@ -186,6 +186,8 @@ def test_log_source(spark, tmp_path):
     found = read.option("corrupt", "true").load(f"file://{log}").collect()
     bad = next(r for r in found if r.op == "!")
     assert len(repair(f"file://{log}", 256, bad.file.rsplit("/", 1)[1], bad.pos)) > 0
+    with pytest.raises(Exception, match="more than a segment"):
+        spark.read.format("kvwal").option("segmentSize", 128).load(f"file://{log}").collect()
     again = read.load(f"file://{log}").collect()
     assert len(again) == len(found) - 1 and not any(r.op == "!" for r in again)
 

@@ -9,9 +9,10 @@ from tidelog.functions import wire
 from tidelog.functions.segments import ends_after, segment_name
 from tidelog.operators import kv, lsm
 from tidelog.operators.skew import running_sum
-from tidelog.operators.wal import decode_files, encode_records, file_status
+from tidelog.operators.wal import decode_files, encode_records, file_status, truncated
 from tidelog.schema import GET, changes, requests
-from tidelog.session import table
+from tidelog.session import table, work_dir
+from tidelog.sources.kvwal import KvWal
 from tidelog.streaming.replay import stream_apply, stream_replay
 
 #: Offset of the log of the test tables.
@@ -105,6 +106,20 @@ def wal_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_records(changes(table(spark, sf_dir, "kv_log"))).select("seq", F.length("record").alias("n"), "crc")
 
 
+def wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct writes as log folders, one per task, and read back."""
+    spark.dataSource.register(KvWal)
+    folder = work_dir(spark, "logs")
+    writes = changes(table(spark, sf_dir, "kv_log")).select("seq", "op", "k", "v").distinct()
+    writes.sortWithinPartitions("seq").select("op", "k", "v").write.format("kvwal").option("segmentSize", SEGMENT).mode("append").save(folder)
+    return spark.read.format("kvwal").option("segmentSize", SEGMENT).load(folder).select("op", "k", "v")
+
+
+def wal_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes that are left of each file when what cannot be read is cut off."""
+    return truncated(table(spark, sf_dir, "wal_file")).select("path", F.length("content").alias("bytes"))
+
+
 def _flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = kv.newest(_log(spark, sf_dir)[0])
     return state.select(F.lit(0).alias("lvl"), F.substring("k", 1, 11).alias("sg"), "k", "v", "seq")
@@ -127,6 +142,14 @@ def sst_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.overlaps(table(spark, sf_dir, "manifest"))
 
 
+def sst_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each asked key, the segments of the partitioned levels that a lookup has to open."""
+    state = kv.newest(_log(spark, sf_dir)[0])
+    levels = F.when(F.col("seq") % 3 == 0, 1).otherwise(2).alias("lvl")
+    own = lsm.segment_stats(state.select(levels, F.substring("k", 1, 11).alias("sg"), "k", "v", "seq"))
+    return lsm.containing_segments(table(spark, sf_dir, "key_probe").where(F.length("k") > 0), own)
+
+
 def sst_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.compact(table(spark, sf_dir, "kv_sst"))
 
@@ -173,8 +196,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         kv_replay, kv_latest, kv_tombstones, kv_prev_value, kv_merge_on_read, kv_multi_get, kv_get, kv_recover_from, kv_recover_prefix,
-        wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded,
-        sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_compact, sst_level_lookup, sst_highest,
+        wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded, wal_round_trip, wal_repaired,
+        sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_containing, sst_compact, sst_level_lookup, sst_highest,
         wire_encode, wire_decode, wire_respond, kv_stream_replay, kv_stream_apply,
     )
 }
@@ -220,6 +243,7 @@ SQL = {
   WITH f AS (SELECT path, octet_length(content) AS size, regexp_extract(path, '([^/]*)$', 1) AS name FROM wal_file)
   SELECT path, size FROM f WHERE regexp_full_match(name, '[0-9a-f]{{24}}\\.wal')
     AND {(1 << 54) + 20_000} < ('0x' || substr(name, 9, 8))::hugeint * 4294967296 + ('0x' || substr(name, 17, 8))::hugeint * 16 + size""",
+    "wal_round_trip": f"{_LOG} SELECT op, k, v FROM w",
     "sst_flush": f"{_LOG} SELECT substr(k, 1, 11) AS sg, {_STATS} FROM m GROUP BY 1",
     "sst_manifest": f"""
   WITH s AS (SELECT lvl, sg, {_STATS} FROM kv_sst GROUP BY lvl, sg), t AS (SELECT lvl, sg, max(bytes) AS said FROM manifest GROUP BY lvl, sg)
@@ -230,6 +254,10 @@ SQL = {
     "sst_overlap": """
   WITH e AS (SELECT lvl, sg, min(mn) AS mn, max(mx) AS mx FROM manifest WHERE mn IS NOT NULL AND mx IS NOT NULL GROUP BY lvl, sg)
   SELECT a.lvl, a.sg, count(b.sg) AS n_next FROM e a LEFT JOIN e b ON b.lvl = a.lvl + 1 AND a.mn <= b.mx AND b.mn <= a.mx GROUP BY a.lvl, a.sg""",
+    "sst_containing": f"""{_LOG},
+       s AS (SELECT CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END AS lvl, substr(k, 1, 11) AS sg, min(k) AS mn, max(k) AS mx FROM m GROUP BY 1, 2),
+       q AS (SELECT DISTINCT k FROM key_probe WHERE length(k) > 0)
+  SELECT q.k, s.lvl, s.sg FROM q JOIN s ON q.k BETWEEN s.mn AND s.mx""",
     "sst_compact": "SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC, lvl, v DESC NULLS LAST) AS rn FROM kv_sst) x WHERE rn = 1 AND v IS NOT NULL",
     "sst_level_lookup": "SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lvl, seq DESC, v DESC NULLS LAST) AS rn FROM kv_sst) x WHERE rn = 1",
     "sst_highest": "SELECT max(seq) AS hi, count(DISTINCT sg) AS segments FROM kv_sst",

@@ -45,6 +45,8 @@ class KvWalReader(DataSourceReader):
         logs: dict[str, list[tuple[int, str, int]]] = {}
         for f in system.get_file_info(fs.FileSelector(path, recursive=True)):
             base = base_lsn(f.base_name, self.size) if f.is_file else None
+            if base is not None and f.size > self.size:
+                raise ValueError(f"{f.path}: {f.size} bytes are more than a segment of {self.size}")
             # the last segment of a log may be partly filled: its end is its own size
             if base is not None and self.start < base + f.size:
                 logs.setdefault(os.path.dirname(f.path), []).append((base, f.base_name, f.size))
