@@ -301,5 +301,13 @@ def test_misread_words_are_one():
     assert stuffing._same_as("1900", known) == stuffing._same_as("where" if "where" in stuffing.FUNCTION_WORDS else "the", known) == -1
 
 
+def test_parts_of_long_pages():
+    size = stuffing.PAGE_BYTES
+    texts = pa.array(["a", None, "b" * size, "c", "d" * (size // 2), "e" * (size // 2)] + ["f"] * 5000)
+    parts = list(stuffing._parts(texts))
+    assert [p[0] for p in parts] == np.cumsum([0, *[p[1] for p in parts]])[:-1].tolist() and sum(p[1] for p in parts) == len(texts)
+    assert max(p[1] for p in parts) <= stuffing.PAGES and list(stuffing._parts(texts.slice(0, 0))) == []
+
+
 def test_features_of_no_pages():
     assert len(stuffing.line_features(pa.array([], pa.string()))["page"]) == 0

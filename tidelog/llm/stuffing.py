@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidelog.session import checkpoint
 
-#: Pages labelled side by side.
-PAGES = 2000
+#: Pages labelled side by side, and the bytes of them (one page at least).
+PAGES, PAGE_BYTES = 2000, 4 << 20
 PROSE, RECORD, LINKS, TAGS, MENU = range(5)
 LABELS = ("prose", "record", "links", "tags", "menu")
 
@@ -243,6 +243,16 @@ def updated(counts: dict[str, np.ndarray], lines: int = PRIOR_LINES) -> Model:
     return Model({name: mean(counts[name], p) for name, p in base.emissions.items()}, mean(counts["start"], base.start), mean(counts["move"], base.move))
 
 
+def _parts(texts) -> Iterator[tuple[int, int]]:
+    """(start, length) of parts of an Arrow array of texts that are labelled side by side."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(size, dtype=np.int64) // PAGE_BYTES
+    cuts = np.unique(np.concatenate([np.arange(0, len(size), PAGES), np.nonzero(np.diff(block))[0] + 1, [len(size)]]))
+    yield from zip(cuts.tolist(), np.diff(cuts).tolist())
+
+
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", pages: int = TRAIN_PAGES, rounds: int = TRAIN_ROUNDS) -> Model:
     """Viterbi training on labelled pages: labels (doc_id, is_spam), of one or more raters.
 
@@ -259,8 +269,9 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", pages: int
         import pyarrow as pa
 
         for b in batches:
-            if b.num_rows:
-                found = count_lines(b["_text"], b["_spam"].to_numpy(), model)
+            for start, length in _parts(b["_text"]):
+                part = b.slice(start, length)
+                found = count_lines(part["_text"], part["_spam"].to_numpy(), model)
                 rows = [(name, i, n) for name, table in found.items() for i, n in enumerate(table.ravel().tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["name", "i", "n"])
 
@@ -283,8 +294,8 @@ def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, .
         import pyarrow.compute as pc
 
         for b in batches:
-            for start in range(0, b.num_rows, PAGES):
-                part = b.slice(start, PAGES)
+            for start, length in _parts(b["_text"]):
+                part = b.slice(start, length)
                 words, share = page_shares(pc.fill_null(part["_text"], ""), model)
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(words), pa.array(share)], names=[*keep, "words", "share"])
 
