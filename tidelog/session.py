@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.files import write_whole
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,10 +64,11 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(ship, "to", None) == context.applicationId:
         return
-    root = Path(__file__).parent
-    archive = f"{tempfile.mkdtemp(prefix='tidelog-')}/tidelog.zip"
+    root, archive = Path(__file__).parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
-    context.addPyFile(archive)
+    uri = f"{work_dir(spark, 'package')}/tidelog.zip"
+    write_whole(uri, [archive.getvalue()])
+    context.addPyFile(uri)
     ship.to = context.applicationId
