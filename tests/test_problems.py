@@ -204,6 +204,22 @@ def test_order_within_hot_keys(spark):
     assert got == want
 
 
+def test_many_ranges(spark):
+    table = spark.createDataFrame([(i * 3, "hot" if i % 3 else f"k{i % 5}", i) for i in range(4000)], "seq bigint, k string, v bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        want = sorted(map(tuple, skew.last_before(table, "k", "seq", F.col("v")).collect()))
+        sums = sorted(map(tuple, skew.running_sum(table, "seq", F.col("v"), "a").collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", 1200)
+        split, _ = skew.hot_split(table, "k", "seq")
+        assert split.select("_part").distinct().count() > 300
+        spark.conf.set("spark.sql.shuffle.partitions", 1100)
+        assert sorted(map(tuple, skew.last_before(table, "k", "seq", F.col("v")).collect())) == want
+        assert sorted(map(tuple, skew.running_sum(table, "seq", F.col("v"), "a").collect())) == sums
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_running_sums(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("xy"), rng.randrange(9), f"{rng.random():.5f}") for i in rng.sample(range(10**6), 2000)]

@@ -13,10 +13,15 @@ from tidelog.session import checkpoint
 
 #: A key is hot when it holds more than one in so many rows; so there are fewer hot keys than this.
 HOT_SHARE = 256
-#: Ranges into which a hot key is split.
-HOT_PARTS = 48
-#: Ranges of a whole table for running sums.
-RUN_PARTS = 192
+#: Ranges into which a hot key is split, and ranges of a whole table for running sums, at least. More where the
+#: session has more shuffle partitions: a key with a third of the rows gets ranges of a partition's size.
+HOT_PARTS, RUN_PARTS = 48, 192
+#: More ranges than this are drawn by a range partitioning instead of by quantiles.
+MOST_POINTS = 1024
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def split_points(df: DataFrame, order: str, parts: int, by: list[str] | None = None) -> DataFrame:
@@ -25,19 +30,28 @@ def split_points(df: DataFrame, order: str, parts: int, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(F.percentile_approx(order, at, 4 * parts).alias("_points"))
 
 
-def range_of(value: Column, points: Column) -> Column:
-    """Index of the range that holds the value; 0 without points."""
-    return F.coalesce(F.when(points.isNotNull(), F.size(F.filter(points, lambda x: x < value))), F.lit(0))
+def _step(n: int) -> int:
+    return max(1, round(n**0.5))
+
+
+def _below(points: Column, value: Column) -> Column:
+    return F.size(F.filter(points, lambda x: x < value))
+
+
+def range_of(value: Column, points: Column, coarse: Column, step: int) -> Column:
+    """Index of the range among ascending points that holds the value; 0 without points. `coarse` has every
+    `step`-th point: two short scans instead of a long one."""
+    block = _below(coarse, value) * step
+    return F.coalesce(F.when(points.isNotNull(), block + _below(F.slice(points, block + 1, step), value)), F.lit(0))
 
 
 def range_among(value: Column, points: list) -> Column:
-    """As range_of, for points known to the driver; two short scans instead of a long one."""
+    """As range_of, for points known to the driver."""
     if not points:
         return F.lit(0)
-    step = max(1, round(len(points) ** 0.5))
-    below = lambda some: F.size(F.filter(some, lambda x: x < value))
-    block = below(F.lit(points[step - 1 :: step])) if points[step - 1 :: step] else F.lit(0)
-    return block * step + below(F.slice(F.lit(points), block * step + 1, step))
+    step = _step(len(points))
+    coarse = points[step - 1 :: step]
+    return range_of(value, F.lit(points), F.lit(coarse), step)
 
 
 def one_of(key: Column, values: list) -> Column:
@@ -58,44 +72,50 @@ def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) ->
     hot = [r[0] for r in counts.select(key).limit(2 * HOT_SHARE).collect()]
     if not hot:
         return df.withColumn("_part", F.lit(0)), []
-    points = split_points(df.where(one_of(F.col(key), hot)).where(F.col(order).isNotNull()), order, HOT_PARTS, [key]).collect()
-    spark = df.sparkSession
-    points = spark.createDataFrame(points, f"_hot {df.schema[key].dataType.simpleString()}, _points array<{df.schema[order].dataType.simpleString()}>")
-    joined = df.join(F.broadcast(points), F.col(key).eqNullSafe(F.col("_hot")), "left")
-    return joined.withColumn("_part", range_of(F.col(order), F.col("_points"))).drop("_hot", "_points"), hot
+    parts = max(HOT_PARTS, shuffle_partitions(df) // 3)
+    points = split_points(df.where(one_of(F.col(key), hot)).where(F.col(order).isNotNull()), order, parts, [key]).collect()
+    step, kind = _step(parts), df.schema[order].dataType.simpleString()
+    rows = [(k, p, p[step - 1 :: step]) for k, p in points]
+    table = df.sparkSession.createDataFrame(rows, f"_hot {df.schema[key].dataType.simpleString()}, _points array<{kind}>, _coarse array<{kind}>")
+    joined = df.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    return joined.withColumn("_part", range_of(F.col(order), F.col("_points"), F.col("_coarse"), step)).drop("_hot", "_points", "_coarse"), hot
 
 
 def last_before(df: DataFrame, key: str, order: str, what: Column, total: int | None = None, unique: list[str] | None = None) -> DataFrame:
-    """Adds `_last`: the last non-null `what` of the key's rows before the row, in order of `order`.
+    """Adds `_last`: the last non-null `what` of the key's rows before the row, in order of `order` (not null).
 
     `unique`: the columns of the rows, of which only distinct ones are to count; they are made distinct
-    after the split, so that one shuffle serves both.
+    after the split, so that one shuffle serves both. What a range of a hot key hands on to the next one
+    goes there as a row of its own, before the others.
     """
     split, hot = hot_split(df, key, order, total)
-    split = split.repartition(F.col(key), F.col("_part"))
-    if unique is not None:
-        split = split.select(*unique, "_part").distinct()
-    split = split.withColumn("_what", what)
-    w = Window.partitionBy(key, "_part").orderBy(order)
-    out = split.withColumn("_last", F.last("_what", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    names = unique if unique is not None else df.columns
+    rows = split.select(*names, "_part")
     if hot:
-        # one row per range of a hot key: at most HOT_SHARE * HOT_PARTS
-        ends = split.where(one_of(F.col(key), hot)).groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
-        v = Window.partitionBy(key).orderBy("_part")
-        carry = ends.select(F.col(key).alias("_ck"), F.col("_part").alias("_cp"), F.last("_end", True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry")).where("_carry is not null")
-        out = out.join(F.broadcast(carry), F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_part") == F.col("_cp")), "left")
-        out = out.withColumn("_last", F.coalesce("_last", "_carry")).drop("_ck", "_cp", "_carry")
-    return out.drop("_what", "_part")
+        some = split.where(one_of(F.col(key), hot)).withColumn("_what", what)
+        ends = some.groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
+        earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(key, "_part", F.last("_end", True).over(earlier).alias("_carried")).where("_carried is not null")
+        rows = rows.unionByName(carried, allowMissingColumns=True)
+    rows = rows.repartition(F.col(key), F.col("_part"))
+    if unique is not None:
+        rows = rows.distinct()
+    value = F.when(F.col("_carried").isNotNull(), F.col("_carried")).otherwise(what) if hot else what
+    w = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_what", value).withColumn("_last", F.last("_what", True).over(w))
+    return out.where("_carried is null").drop("_carried", "_what", "_part") if hot else out.drop("_what", "_part")
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, parts: int = RUN_PARTS, by: list[str] | None = None) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: Column, name: str, by: list[str] | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows (of the group `by`) before the row in order of
     `order`, from 0.
 
     No task sees more than a range: the sums of the ranges are added up (as many rows as ranges and
     groups), then the rows within each range. `order` is a number, not null, and should be unique.
     """
-    by = by or []
+    by, parts = by or [], max(RUN_PARTS, shuffle_partitions(df))
+    if parts > MOST_POINTS:
+        return running_sums(df, [order], {name: value}, by)
     points = split_points(df, order, parts).collect()[0][0] or []
     split = df.withColumn("_part", range_among(F.col(order), points)).withColumn("_value", value)
     sums = split.groupBy(*by, "_part").agg(F.sum("_value").alias("_sum"))
@@ -106,15 +126,16 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, parts: int
     return out.withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_start", "_in", "_part", "_value")
 
 
-def ranged(df: DataFrame, order: list[str], parts: int = RUN_PARTS) -> DataFrame:
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds `_part`: rows of a lower part come before those of a higher one in order of `order`, of any
     type. The parts are kept in the shared folder, as another run would draw the borders elsewhere."""
+    parts = max(RUN_PARTS, shuffle_partitions(df))
     return checkpoint(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, order: list[str], values: dict[str, Column], by: list[str], parts: int = RUN_PARTS) -> DataFrame:
+def running_sums(df: DataFrame, order: list[str], values: dict[str, Column], by: list[str]) -> DataFrame:
     """As running_sum, for orders of any type and several sums at once; `by` comes first in the order."""
-    split = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), [*by, *order], parts)
+    split = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), [*by, *order])
     sums = split.groupBy(*by, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select(*by, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in values])
