@@ -135,6 +135,20 @@ def test_set_is_kept(spark, tmp_path):
     assert found.where("cast(k as int) < 20000").count() == 10_000 and found.count() < 10_100
 
 
+def test_set_is_extended(spark):
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("k"))
+    held = seen.build(keys(0, 30_000))
+    some = keys(29_990, 30_020).unionByName(spark.createDataFrame([(None,), ("",)], "k string"))
+    more = seen.extended(held, some)
+    assert more.blocks.count() == held.blocks.count() > 2
+    assert more.blocks.agg(F.sum("n")).first()[0] - held.blocks.agg(F.sum("n")).first()[0] in range(18, 21)
+    assert seen.probe(more, keys(0, 30_020)).where("not maybe").count() == 0
+    assert seen.probe(more, keys(40_000, 50_000)).where("maybe").count() < 30
+    first = seen.extended(seen.build(keys(0, 0)), keys(0, 50))
+    assert seen.probe(first, keys(0, 50)).where("maybe").count() == 50
+    assert seen.extended(held, keys(0, 0)).blocks.count() == held.blocks.count()
+
+
 # ---- tokens
 
 ODD = ["", None, " ", "a", "naïve 数据 🙂🙂", "<|endoftext|> is text", "\n\n\t  x", "é", "ﬀ​﻿", "\x00\x01", "word " * 30_000, "x" * 200_000, "🙂" * 3000]

@@ -71,28 +71,34 @@ class GolombSet:
         return GolombSet(blocks.drop("set_bits", "set_block_bits"), *(tuple(first) if first else (8, 0)))
 
 
+def _encoded(block: int, values: np.ndarray, low: int):
+    """One row of BLOCKS: the sorted distinct values of a block, of `low` bits each."""
+    import pyarrow as pa
+
+    rice = max(0, int(math.log2(max(1.0, 0.69 * (1 << low) / len(values)))))
+    unary, bits = encode_block(values, rice)
+    return pa.RecordBatch.from_pydict({"block": [block], "n": pa.array([len(values)], pa.int32()), "rice": pa.array([rice], pa.int32()), "unary": pa.array([unary], pa.int32()), "bits": [bits]})
+
+
+def _hashes(held: GolombSet, keys: DataFrame, key: str) -> DataFrame:
+    """(block, r): distinct reduced hashes of the non-empty keys, r within the block."""
+    r = held.reduced(F.col(key))
+    within = r.bitwiseAND(F.lit((1 << (held.bits - held.block_bits)) - 1))
+    return keys.where(F.length(key) > 0).select(held.block(r).alias("block"), within.alias("r")).distinct()
+
+
 def build(keys: DataFrame, key: str = "k", fp_bits: int = FP_BITS, size: int | None = None) -> GolombSet:
     """The set of the distinct non-empty keys. `size`: about how many; else it is estimated. More keys than that
     are held as well, at a higher rate of false positives (which the set reports)."""
-    some = keys.where(F.length(key) > 0).select(F.col(key).alias("_key"))
     if size is None:
-        size = some.agg(F.approx_count_distinct("_key", 0.02)).first()[0]
+        size = keys.where(F.length(key) > 0).agg(F.approx_count_distinct(key, 0.02)).first()[0]
     bits = min(63, max(8, math.ceil(math.log2(max(size, 1)))) + fp_bits)
     block_bits = max(0, math.ceil(math.log2(max(size, 1) / BLOCK_KEYS)))
     made = GolombSet(None, bits, block_bits)
-    hashes = some.select(made.reduced(F.col("_key")).alias("r")).distinct().withColumn("block", made.block(F.col("r")))
-    sorted_ = hashes.repartition(F.col("block")).sortWithinPartitions("block", "r")
+    sorted_ = _hashes(made, keys, key).repartition(F.col("block")).sortWithinPartitions("block", "r")
     low = bits - block_bits
 
     def encode(batches):
-        import pyarrow as pa
-
-        def row(block: int, values: np.ndarray):
-            mean = (1 << low) / len(values)
-            rice = max(0, int(math.log2(max(1.0, 0.69 * mean))))
-            unary, bits_ = encode_block(values & ((1 << low) - 1), rice)
-            return pa.RecordBatch.from_pydict({"block": [block], "n": pa.array([len(values)], pa.int32()), "rice": pa.array([rice], pa.int32()), "unary": pa.array([unary], pa.int32()), "bits": [bits_]})
-
         now, held = None, []
         for b in batches:
             block, r = b["block"].to_numpy(), b["r"].to_numpy()
@@ -101,17 +107,37 @@ def build(keys: DataFrame, key: str = "k", fp_bits: int = FP_BITS, size: int | N
                 if not len(part):
                     continue
                 if part[0] != now and held:
-                    yield row(now, np.concatenate(held))
+                    yield _encoded(now, np.concatenate(held), low)
                     held = []
                 now = int(part[0])
                 held.append(values)
         if held:
-            yield row(now, np.concatenate(held))
+            yield _encoded(now, np.concatenate(held), low)
 
     made.blocks = checkpoint(sorted_.mapInArrow(encode, BLOCKS))
     return made
 
 
+def extended(held: GolombSet, keys: DataFrame, key: str = "k") -> GolombSet:
+    """The set with more keys, e.g. those that have just come in: only blocks that get some are decoded and
+    coded anew. The range stays, so false positives grow with the keys; build anew with twice the size when the rate
+    that the set reports is too high."""
+    low = held.bits - held.block_bits
+    new = _hashes(held, keys, key)
+
+    def merge(left, right):
+        import pyarrow as pa
+
+        values = [left["r"].to_numpy()]
+        for i in range(right.num_rows):
+            values.append(decode_block(right["bits"][i].as_py(), right["n"][i].as_py(), right["rice"][i].as_py(), right["unary"][i].as_py()))
+        return pa.Table.from_batches([_encoded(left["block"][0].as_py(), np.unique(np.concatenate(values)), low)])
+
+    touched = new.select("block").distinct()
+    merged = new.groupBy("block").cogroup(held.blocks.join(touched, "block", "left_semi").groupBy("block")).applyInArrow(merge, BLOCKS)
+    return GolombSet(checkpoint(held.blocks.join(touched, "block", "left_anti").unionByName(merged)), held.bits, held.block_bits)
+
+
 def probe(held: GolombSet, asked: DataFrame, key: str = "k") -> DataFrame:
     """`asked` (rows of distinct keys) with `maybe`: whether the key is in the set, never wrongly false."""
     low = held.bits - held.block_bits
