@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: First bytes of a frame, and the types of requests by operation. Fixed values of the format.
 MAGIC = "726B7673"
 TYPES = {"D": 0, "G": 1, "P": 2}
 
@@ -29,7 +30,7 @@ def correlation_id(n: Column) -> Column:
 
 def encode_request(corr: Column, op: Column, k: Column, v: Column) -> Column:
     """A frame; a null value is left out, a null key is empty. The value goes in for any operation."""
-    kind = F.when(op == "D", 0).when(op == "G", 1).when(op == "P", 2).otherwise(255)
+    kind = F.coalesce(*[F.when(op == o, n) for o, n in TYPES.items()], F.lit(255))
     key = _bytes(F.coalesce(k, F.lit("")))
     body = F.concat(_u(F.length(key), 4), key)
     body = F.when(v.isNull(), body).otherwise(F.concat(body, _u(F.length(_bytes(v)), 4), _bytes(v)))
@@ -56,22 +57,23 @@ def decode_request(frame: Column) -> Column:
     m = F.when(rest >= 4, _int(frame, payload + 4 + n, 4))
     value = F.when(m + 4 == rest, F.substring(frame, payload + 8 + n, m))
     text_k, text_v = F.try_validate_utf8(key.cast("string")), F.try_validate_utf8(value.cast("string"))
+    put = kind == TYPES["P"]
     whole = F.coalesce((F.length(frame) == 32 + size) & (n + 4 <= size), F.lit(False))
     error = (
         F.when(frame.isNull() | (F.length(frame) < 28), "MalformedPayload")
         .when(~magic, "WrongMagicBytes")
         .when(version > 0, "UnsupportedVersion")
-        .when(kind > 2, "InvalidRequestType")
+        .when(~kind.isin(*TYPES.values()), "InvalidRequestType")
         .when(~whole, "MalformedPayload")
         .when(text_k.isNull(), "InvalidKey")
-        .when((kind == 2) & (rest == 0), "MissingValue")
-        .when((kind != 2) & (rest > 0), "MalformedPayload")
-        .when((kind == 2) & value.isNull(), "MalformedPayload")
-        .when((kind == 2) & text_v.isNull(), "InvalidValue")
+        .when(put & (rest == 0), "MissingValue")
+        .when(~put & (rest > 0), "MalformedPayload")
+        .when(put & value.isNull(), "MalformedPayload")
+        .when(put & text_v.isNull(), "InvalidValue")
     )
     good = error.isNull()
-    op = F.when(kind == 0, "D").when(kind == 1, "G").when(kind == 2, "P")
-    return F.struct(F.when(F.length(frame) >= 24, corr).alias("corr"), op.alias("op"), F.when(good, text_k).alias("k"), F.when(good & (kind == 2), text_v).alias("v"), error.alias("error"))
+    op = F.coalesce(*[F.when(kind == n, o) for o, n in TYPES.items()])
+    return F.struct(F.when(F.length(frame) >= 24, corr).alias("corr"), op.alias("op"), F.when(good, text_k).alias("k"), F.when(good & put, text_v).alias("v"), error.alias("error"))
 
 
 def encode_response(corr: Column, rc: Column, payload: Column) -> Column:
