@@ -304,6 +304,6 @@ def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, .
 
 def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, model: Model | None = None) -> DataFrame:
     """`keep` of the pages of at least LEAST_WORDS words of which at least `share` are in link lists, tag
-    lists or menus."""
+    lists or menus. Null, empty and blank texts are never flagged; equal texts are flagged alike."""
     found = non_prose_share(documents, text, keep, model).where((F.col("words") >= LEAST_WORDS) & (F.col("share") >= share))
     return found.select(*keep)
