@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.changes import apply_changes
 from tidelog.operators.compaction import compact_log_files
-from tidelog.operators.incremental import pending_changes
+from tidelog.operators.incremental import Increments, pending_changes
 from tidelog.operators.lsm import healed_manifest
 from tidelog.operators.skew import running_sum
-from tidelog.session import table
+from tidelog.schema import changes
+from tidelog.session import table, work_dir
 from tidelog.sources.parquet_blocks import compact_parquet
 
 #: Bytes of a file that segments are put into.
 SEGMENT_TARGET = 1 << 16
+#: Last batches of the runs of p5_runs.
+RUN_ENDS = (16, 32, 48)
 
 _VALID = """
   SELECT seq, upper(trim(op)) AS op, k, v, shard, batch_no FROM kv_log
@@ -51,7 +54,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_changes(table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "run_log")).select("seq")
 
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_segments": p4_segments, "p5_found": p5_found}
+def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over the growing log, each with all deliveries up to a batch: the run that took up each change."""
+    log = table(spark, sf_dir, "kv_log")
+    runs, folder = Increments(spark, work_dir(spark, "runs")), work_dir(spark, "taken")
+    for last in RUN_ENDS:
+        arrived = changes(log.where(F.col("batch_no") <= last)).select("k", "seq")
+        runs.run(arrived, lambda batch, n: batch.withColumn("run", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}"))
+    return spark.read.parquet(*[f"{folder}/n={n}" for n in range(len(RUN_ENDS))]).select("seq", "run")
+
+
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_segments": p4_segments, "p5_found": p5_found, "p5_runs": p5_runs}
 
 _P1 = f"""
   WITH c AS (SELECT k, CASE WHEN op = 'P' THEN v END AS v, seq FROM ({_VALID}) x
@@ -67,6 +80,7 @@ SQL = {
        t AS (SELECT lvl, sg, max(bytes) AS said FROM manifest GROUP BY lvl, sg),
        h AS (SELECT s.lvl, s.sg, coalesce(said, own) AS bytes, n FROM s LEFT JOIN t ON s.lvl = t.lvl AND s.sg = t.sg)
   SELECT lvl, sg, bytes, n, CAST(coalesce(sum(bytes) OVER (PARTITION BY lvl ORDER BY sg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) // {SEGMENT_TARGET} AS file FROM h""",
+    "p5_runs": f"SELECT seq, min((batch_no - 1) // 16) AS run FROM ({_VALID}) x GROUP BY seq",
     "p5_found": f"""
   WITH ok AS (SELECT DISTINCT r.shard, r.batch_from, r.batch_to FROM run_log r
               WHERE r.run_id IN (SELECT run_id FROM run_log WHERE lower(trim(outcome)) = 'done')),
