@@ -40,10 +40,11 @@ _TITLE = rf"(?i){_W}(?:{'|'.join(TITLES)})[.·,:;]? \p{{Lu}}"
 _WORD = r"\p{L}[\p{L}\p{M}'’]*"
 _LINK = r"(?i)(?:h[tlfir1]{1,2}[tprd]{1,2}s? ?: ?[/l!I|1]|(?:^|[^\p{L}])[wv]{2,6}[.·, ]{1,2}\p{L}|[\p{L}\p{N}]@ ?[\p{L}\p{N}-]|[.·, ](?:invalid|example|test|com|org|net|info|de|fr|es|uk)\b ?[/?]|[\p{L}\p{N}][.·](?:invalid|[eco]xam[pq]?[l1]e|[tr]est|com|org|net)\b|\?id|/ ?p\d{2,4}[.·]|[.·]h[tr][mn])"
 _HASH = r"[#♯][\p{L}■*]"
-_ARTICLE = r"^\W*[AÁÀàa^4][rv][tr][.,·]?\s*[\dlIOSB°i^?|]{3,5}\b"
-_BULLET = r"^\s*(?:[•»›·>~*-]|--)\s*\p{L}"
-_SEPARATOR = r"\p{L}[?!]?\s*(?: [|>/·•»›–-] |[|>•»])\s*[\p{L}#]"
+_ARTICLE = r"^\W*[AÁÀàa^4][rvn][trl1I|f][.,·;:]?\s*[\dlIOSB°i^?|]{3,5}\b"
+_BULLET = r"^\s*(?:[•»›·>~*\[-]|--)\s*\p{L}"
+_SEPARATOR = r"\p{L}[?!]?\s*(?: [|>/·•»›–-] |[|>•»]|\]\s*\[)\s*[\p{L}#]"
 _DIGITS = r"\d"
+_NUMBER = r"(?:^|[\s(£])\d{1,4}(?:[.,:;)]|\s|$)"
 
 
 #: A word fills a page if it is one in so many of its longer words, and leads it if it is one in so many.
@@ -66,8 +67,8 @@ def _same_as(word: str, known: dict[str, int]) -> int:
 
 
 def line_features(texts) -> dict[str, np.ndarray]:
-    """Per line of an Arrow array of texts (no nulls): `page` (its number), counts of what it shows, and
-    `filling`, `leading`: the share of its longer words that fill or lead the page."""
+    """Per line of an Arrow array of texts (no nulls): `page` (its number), counts of what it shows,
+    `numbered`: the share of the page's lines that have a number, and `filling`, `leading`: the share of its longer words that fill or lead the page."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -75,7 +76,7 @@ def line_features(texts) -> dict[str, np.ndarray]:
     page = pc.list_parent_indices(split).to_numpy()
     lines = pc.list_flatten(split)
     out = {"page": page}
-    for name, pattern in (("function", _FUNCTION), ("titles", _TITLE), ("links", _LINK), ("hashes", _HASH), ("article", _ARTICLE), ("bullet", _BULLET), ("separators", _SEPARATOR), ("digits", _DIGITS)):
+    for name, pattern in (("function", _FUNCTION), ("titles", _TITLE), ("links", _LINK), ("hashes", _HASH), ("article", _ARTICLE), ("bullet", _BULLET), ("separators", _SEPARATOR), ("digits", _DIGITS), ("numbers", _NUMBER)):
         out[name] = pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False).astype(np.int32)
     out["tokens"] = pc.count_substring_regex(lines, r"\S+").to_numpy(zero_copy_only=False).astype(np.int32)
     out["chars"] = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int32)
@@ -93,6 +94,8 @@ def line_features(texts) -> dict[str, np.ndarray]:
     content = np.bincount(line, minlength=len(page))
     out["content"] = content
     out["filling"] = np.bincount(line, weights=(n >= 3) & (n * FILLS >= total), minlength=len(page)) / np.maximum(content, 1)
+    numbered = (out["numbers"] > 0) & (out["article"] == 0)
+    out["numbered"] = (np.bincount(page, weights=numbered, minlength=len(texts)) / np.maximum(np.bincount(page, minlength=len(texts)), 1))[page]
     out["leading"] = np.bincount(line, weights=(n >= 4) & (n * LEADS >= total), minlength=len(page)) / np.maximum(content, 1)
     return out
 
@@ -114,6 +117,8 @@ EMISSIONS = {
     "links": [[0.985, 0.013, 0.002], [0.99, 0.008, 0.002], [0.12, 0.28, 0.60], [0.97, 0.025, 0.005], [0.97, 0.025, 0.005]],
     # share of digits: none, up to 0.06, up to 0.15, more
     "digits": [[0.75, 0.20, 0.045, 0.005], [0.35, 0.10, 0.20, 0.35], [0.45, 0.35, 0.15, 0.05], [0.72, 0.13, 0.13, 0.02], [0.90, 0.07, 0.02, 0.01]],
+    # lines of the page with a number standing alone, but for article numbers: none, up to 0.12, up to 0.25, more
+    "numbered": [[0.30, 0.35, 0.22, 0.13], [0.20, 0.05, 0.05, 0.70], [0.60, 0.25, 0.10, 0.05], [0.50, 0.35, 0.11, 0.04], [0.75, 0.20, 0.04, 0.01]],
     # titles before names, of the words: none, up to 0.2, more
     "titles": [[0.85, 0.14, 0.01], [0.75, 0.05, 0.20], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002]],
     # marks: none, separators or a bullet without digits, the same with digits, tags, article number
@@ -161,6 +166,7 @@ def observed(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "leading": leading,
         "links": np.where(f["links"] == 0, 0, np.where(f["links"] * 30 >= f["chars"], 2, 1)),
         "digits": _bins(f["digits"] / chars, [0, 0.06, 0.15]),
+        "numbered": _bins(f["numbered"], [0, 0.12, 0.25]),
         "titles": _bins(f["titles"] / words, [0, 0.2]),
         "marks": marks,
     }
