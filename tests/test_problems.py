@@ -11,6 +11,9 @@ from tidelog.operators import skew
 from tidelog.operators.changes import apply_changes
 from tidelog.operators.compaction import compact_log_files, footer_of
 from tidelog.operators.incremental import Increments, covered_batches, pending_changes
+from tidelog.operators.lsm import healed_manifest
+from tidelog.plans import p_queries
+from tidelog.plans.p_queries import consolidate
 from tidelog.session import work_dir
 from tidelog.sources.files import read_whole
 from tidelog.sources.parquet_blocks import compact_parquet, merge_files, read_footer
@@ -190,6 +193,24 @@ def test_parquet_blocks(spark, tmp_path):
         compact_parquet(spark, f"file://{tmp_path}/bad")
 
 
+def test_segments_go_into_few_files(spark):
+    rows = [(lvl, sg, f"k{i}", f"v{i}" if i % 5 else None, i) for lvl, sg, n in ((0, 1, 3), (0, 2, 1), (1, 3, 40), (1, 4, 2), (1, 5, 2), (None, 6, 4)) for i in range(n)]
+    entries = spark.createDataFrame(rows * 2, schema.KV_SST)
+    manifest = spark.createDataFrame([(1, 3, "k0", "k9", 1, 500, 40)], schema.MANIFEST)
+    placed, written = consolidate(spark, entries, healed_manifest(manifest, entries), target=1000)
+    files, made = placed.collect(), written.collect()
+    assert sorted((f.sg, f.rows) for f in files) == [(1, 6), (2, 2), (3, 80), (4, 4), (5, 4), (6, 8)]
+    assert sum(m.files for m in made) == len(files) > len(made) and sum(m.n for m in made) == len(rows) * 2
+    back = spark.read.schema(entries.schema).parquet(*[m.file for m in made])
+    assert sorted(map(str, back.collect())) == sorted(map(str, entries.collect()))
+
+
+def test_p4_blocks_merges(spark, sf):
+    counts = p_queries.p4_files(spark, sf).first()
+    assert counts.files_before > 50 and counts.files_after <= 4
+    assert counts.n_before == counts.n_after == spark.read.parquet(f"{sf}/kv_sst.parquet").count()
+
+
 def test_order_within_hot_keys(spark):
     rng = random.Random(9)
     rows = [(s, "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for s in rng.sample(range(10**9), 3000)]

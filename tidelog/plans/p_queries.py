@@ -11,8 +11,8 @@ from tidelog.operators.incremental import Increments, pending_changes
 from tidelog.operators.lsm import healed_manifest
 from tidelog.operators.skew import running_sum
 from tidelog.schema import changes
-from tidelog.session import table, work_dir
-from tidelog.sources.parquet_blocks import compact_parquet
+from tidelog.session import checkpoint, table, work_dir
+from tidelog.sources.parquet_blocks import MOST_GROUPS, TARGET, compact_parquet, write_groups
 
 #: Bytes of a file that segments are put into.
 SEGMENT_TARGET = 1 << 16
@@ -37,17 +37,47 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_log_files(table(spark, sf_dir, "wal_file")).sequence_numbers()
 
 
+def _placed(own: DataFrame, target: int, least: int = 0) -> DataFrame:
+    """Segments with the `file` each goes to, of about `target` bytes, in order of `sg` within a level; each counts `least` bytes at least."""
+    placed = running_sum(own, "sg", F.greatest("bytes", F.lit(least)), "before", by=["lvl"])
+    return placed.withColumn("file", F.floor(F.col("before") / target))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return healed_manifest(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "kv_sst"))
+
+
+def consolidate(spark: SparkSession, entries: DataFrame, segments: DataFrame, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
+    """The entries as one Parquet file per segment, whose blocks are copied into few files: the segments' files
+    (path, lvl, sg, rows, bytes) and the WRITTEN rows of the new ones. A file takes segments of one level."""
+    folder = work_dir(spark, "segments")
+    small_files = write_groups(entries, ["lvl", "sg"], ["k", "seq"], folder)
+    placed = _placed(segments, target, -(-target // MOST_GROUPS)).select(F.col("lvl").alias("_lvl"), F.col("sg").alias("_sg"), "file", "bytes")
+    same = F.col("lvl").eqNullSafe(F.col("_lvl")) & F.col("sg").eqNullSafe(F.col("_sg"))
+    placed = checkpoint(small_files.join(placed, same, "left").drop("_lvl", "_sg"))
+    name = F.concat_ws("-", F.coalesce(F.col("lvl").cast("string"), F.lit("null")), F.lpad(F.coalesce("file", F.lit(0)).cast("string"), 9, "0"))
+    _, written = compact_parquet(spark, folder, placing=placed.select("path", name.alias("name"), F.col("sg").alias("ord")))
+    return placed, written
+
+
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the table kv_sst, their row groups copied into larger files, read back."""
-    folder, _ = compact_parquet(spark, f"{sf_dir}/kv_sst.parquet")
-    return spark.read.parquet(folder)
+    """The segments of kv_sst, a Parquet file each, their column blocks copied into few files, read back."""
+    entries = table(spark, sf_dir, "kv_sst")
+    _, written = consolidate(spark, entries, _segments(spark, sf_dir))
+    files = [r.file for r in written.select("file").collect()]
+    return spark.read.schema(entries.schema).parquet(*files) if files else entries.limit(0)
+
+
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p4_blocks does, in one row: files and entries before and after."""
+    placed, written = consolidate(spark, table(spark, sf_dir, "kv_sst"), _segments(spark, sf_dir))
+    before = placed.agg(F.count("*").alias("files_before"), F.sum("rows").alias("n_before"))
+    return before.crossJoin(written.agg(F.count("*").alias("files_after"), F.sum("n").alias("n_after"), F.sum("bytes").alias("bytes_after")))
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments of the manifest, sizes mended from their entries, with the file each goes to."""
-    own = healed_manifest(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "kv_sst"))
-    placed = running_sum(own, "sg", F.col("bytes"), "before", by=["lvl"])
-    return placed.select("lvl", "sg", "bytes", "n", F.floor(F.col("before") / SEGMENT_TARGET).alias("file"))
+    """The segments of the manifest, sizes mended from their entries, with the file of SEGMENT_TARGET bytes each goes to."""
+    return _placed(_segments(spark, sf_dir), SEGMENT_TARGET).select("lvl", "sg", "bytes", "n", "file")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +94,7 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(*[f"{folder}/n={n}" for n in range(len(RUN_ENDS))]).select("seq", "run")
 
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_segments": p4_segments, "p5_found": p5_found, "p5_runs": p5_runs}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_files": p4_files, "p4_segments": p4_segments, "p5_found": p5_found, "p5_runs": p5_runs}
 
 _P1 = f"""
   WITH c AS (SELECT k, CASE WHEN op = 'P' THEN v END AS v, seq FROM ({_VALID}) x

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 
 def opened(uri: str):
@@ -18,18 +19,25 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_whole(uri: str, pieces: Iterable) -> int:
-    """Writes a file under another name and renames it, so that a lost or repeated task leaves either
-    the whole file or none. Returns its bytes."""
+@contextmanager
+def written_whole(uri: str) -> Iterator:
+    """A stream to a file under another name, renamed at the end, so that a lost or repeated task leaves either
+    the whole file or none."""
     system, path = opened(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
-    n = 0
     with system.open_output_stream(aside, compression=None) as out:
+        yield out
+    system.move(aside, path)
+
+
+def write_whole(uri: str, pieces: Iterable) -> int:
+    """Writes a file as `written_whole` does. Returns its bytes."""
+    n = 0
+    with written_whole(uri) as out:
         for piece in pieces:
             out.write(piece)
             n += len(piece)
-    system.move(aside, path)
     return n
 
 

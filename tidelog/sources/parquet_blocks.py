@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from tidelog.functions.thrift import I16, LIST, STRUCT, read_struct, write_struct
 from tidelog.operators.skew import running_sum
 from tidelog.session import checkpoint, work_dir
-from tidelog.sources.files import opened, write_whole
+from tidelog.sources.files import opened, write_whole, written_whole
 
 MAGIC = b"PAR1"
 FOOTERS = "path string, schema string, row_groups int, n bigint, bytes bigint"
 WRITTEN = "file string, files bigint, row_groups bigint, n bigint, bytes bigint"
+#: Bytes of a consolidated file, and the most row groups in one: its footer is built in memory.
+TARGET, MOST_GROUPS = 128 << 20, 8192
 # fields of the footer's structs
 SCHEMA, ROWS, GROUPS, KEYS = 2, 3, 4, 5
 COLUMNS, GROUP_ROWS, GROUP_OFFSET, ORDINAL = 1, 3, 5, 7
@@ -156,20 +158,68 @@ def _merger(folder: str):
     return run
 
 
-def compact_parquet(spark: SparkSession, folder: str, target: int = 128 << 20, into: str | None = None) -> tuple[str, DataFrame]:
+def _group_writer(folder: str, by: list[str], names: list[str]):
+    def run(batches: Iterator) -> Iterator:
+        import itertools
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        def runs() -> Iterator:
+            for b in batches:
+                keys = list(zip(*[b[f"_{c}"].to_pylist() for c in by]))
+                rows = b.select(names)
+                at = 0
+                for key, same in itertools.groupby(keys):
+                    n = sum(1 for _ in same)
+                    yield key, rows.slice(at, n)
+                    at += n
+
+        for key, pieces in itertools.groupby(runs(), lambda r: r[0]):
+            name = "-".join("null" if x is None else str(x) for x in key)
+            n, first = 0, next(pieces)[1]
+            with written_whole(f"{folder}/{name}.parquet") as out, pq.ParquetWriter(out, first.schema) as writer:
+                for piece in itertools.chain([first], (p for _, p in pieces)):
+                    writer.write_batch(piece)
+                    n += piece.num_rows
+            done = {"path": [f"{folder}/{name}.parquet"]} | {c: [x] for c, x in zip(by, key)} | {"rows": [n]}
+            kinds = [(c, first.schema.field(c).type) for c in by]
+            yield pa.RecordBatch.from_pydict(done, schema=pa.schema([("path", pa.string()), *kinds, ("rows", pa.int64())]))
+
+    return run
+
+
+def write_groups(rows: DataFrame, by: list[str], order: list[str], folder: str) -> DataFrame:
+    """Writes one Parquet file per group of the number columns `by`, sorted by `order`: (path, *by, rows) of each.
+    A group is written batch by batch as it comes, so that none is held whole; a null group has its file."""
+    keys = {f"_{c}": F.col(c) for c in by}
+    sorted_ = rows.withColumns(keys).repartition(*by).sortWithinPartitions(*by, *order)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return checkpoint(sorted_.mapInArrow(_group_writer(folder, by, rows.columns), f"path string, {kinds}, rows bigint"))
+
+
+def compact_parquet(spark: SparkSession, folder: str, target: int = TARGET, into: str | None = None, placing: DataFrame | None = None) -> tuple[str, DataFrame]:
     """Consolidates the Parquet files under `folder` into files of about `target` bytes in a new folder.
 
     Returns the new folder and WRITTEN rows. Files are listed and their footers read by tasks; only a row
     per file is shuffled, then each task copies the bytes of its new files. Files are placed in order of a hash
-    of their path, within files of equal schemas. At the end the rows and row groups written must be those
-    read. The old files are left as they are; an empty folder gives an empty table.
+    of their path, within files of equal schemas; or by `placing`, (path, name, ord) of all files: the new
+    file's name and the place in it, still within equal schemas, and nothing is listed. At the end the rows and
+    row groups written must be those read. The old files are left as they are; an empty folder gives an empty table.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path")
+    if placing is None:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path")
+    else:
+        listed = placing.select("path")
     footers = checkpoint(listed.repartition(F.col("path")).mapInArrow(_footers, FOOTERS))
-    placed = running_sum(footers.where("row_groups > 0").withColumn("_h", F.xxhash64("path")), "_h", F.col("bytes"), "before", by=["schema"])
-    plan = placed.withColumn("bin", F.concat_ws("-", F.substring("schema", 1, 12), F.lpad(F.floor(F.col("before") / target).cast("string"), 9, "0")))
+    prefix, full = F.substring("schema", 1, 12), footers.where("row_groups > 0")
+    if placing is None:
+        placed = running_sum(full.withColumn("ord", F.xxhash64("path")), "ord", F.col("bytes"), "before", by=["schema"])
+        plan = placed.withColumn("bin", F.concat_ws("-", prefix, F.lpad(F.floor(F.col("before") / target).cast("string"), 9, "0")))
+    else:
+        plan = full.join(placing, "path").withColumn("bin", F.concat_ws("-", prefix, "name"))
     into = into or work_dir(spark, "parquet")
-    work = plan.select("bin", "path", "_h").repartition(F.col("bin")).sortWithinPartitions("bin", "_h")
+    work = plan.select("bin", "path", "ord").repartition(F.col("bin")).sortWithinPartitions("bin", "ord")
     work.select("bin", "path").mapInArrow(_merger(into), WRITTEN).write.parquet(f"{into}/_files")
     written = spark.read.schema(WRITTEN).parquet(f"{into}/_files")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
