@@ -209,6 +209,61 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert rows(stream_apply(spark, table, base, folder + "a")) == rows(apply_changes(base, all_))
 
 
+def test_stream_answers_late_requests(spark, tmp_path):
+    rng = random.Random(11)
+    log = [(i * 3, rng.choice("PPDGG"), "hot" if rng.random() < 0.8 else rng.choice(["a", "b", "", None]), f"v{i}") for i in range(2500)]
+    log = [(s, op, k, v if op == "P" else None) for s, op, k, v in log]
+    rng.shuffle(log)
+    table = f"{tmp_path}/kv_log.parquet"
+    for i in range(4):
+        spark.createDataFrame(log[i * 625 : (i + 1) * 625] + log[:40], LOG).coalesce(1).write.mode("append").parquet(table)
+    from tidelog.schema import requests
+
+    want = rows(kv.replay(requests(spark.createDataFrame(log, LOG))), "seq", "k", "op", "rc", "payload")
+    assert rows(stream_replay(spark, table, files_per_trigger=1), "seq", "k", "op", "rc", "payload") == want
+
+
+def test_history_in_small_blocks(monkeypatch):
+    from tidelog.streaming import replay
+
+    class Cell:
+        def __init__(self):
+            self.held = {}
+
+        def exists(self):
+            return "x" in self.held
+
+        def get(self):
+            return self.held["x"]
+
+        def update(self, value):
+            self.held["x"] = tuple(map(tuple, value))
+
+        def getValue(self, key):
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            self.held[key] = value
+
+    monkeypatch.setattr(replay, "BLOCK", 3)
+    monkeypatch.setattr(replay, "KEPT", 2)
+    rng = random.Random(4)
+    for _ in range(60):
+        log = [(s, rng.choice("PGGGD"), f"v{s}") for s in rng.sample(range(300), 80)]
+        log = [(s, op, v if op == "P" else None) for s, op, v in log]
+        index, blocks, given = Cell(), Cell(), {}
+        for at in range(0, 80, 9):
+            history = replay.History(index, blocks)
+            for seq, *answer in history.answers(history.add(sorted({*log[at : at + 9], *log[:3]}, key=lambda r: r[0]))):
+                assert seq not in given or answer[-1] > (-1 if given[seq][-1] is None else given[seq][-1])
+                given[seq] = answer
+        last, want = (None, None), {}
+        for seq, op, v in sorted(log):
+            want[seq] = [op, 2 if op == "G" and last[1] is None else 0, last[1], last[0]]
+            last = (seq, v) if op != "G" else last
+        assert given == want
+
+
 def test_empty_keys_are_refused(spark):
     with pytest.raises(ValueError):
         layout.LogWriter(64).append("P", "", "v")

@@ -1,12 +1,13 @@
 """The store as a stream: requests are answered, changes are applied, as they arrive.
 
-Within a micro-batch rows are in no order; each key's rows are sorted by seq. A key's state is its last write
-(seq, v), so that a restart from the checkpoint goes on where it stopped. Repeated or late writes, with a seq
-that is not above the stored one, are ignored.
+Within a micro-batch rows are in no order; each key's rows are sorted by seq. A key's state is all its requests
+so far, in blocks in order of seq, so that a restart from the checkpoint goes on where it stopped and a late
+request is told from a repeated one. Nothing expires: the state grows with the distinct requests.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,28 +22,107 @@ from tidelog.sources.files import opened
 
 #: Bytes of files in a micro-batch.
 BATCH_BYTES = 256 << 20
+#: Requests in a block of a key's state, doubled before it is split; blocks held in memory; answers handed on at once.
+BLOCK, KEPT, ANSWERS = 512, 8, 10_000
+LOWEST = -(1 << 63)
+COLUMNS = ["seq", "k", "op", "rc", "payload", "of"]
 ANSWER = "seq bigint, k string, op string, rc int, payload string, of bigint"
 
 
+class History:
+    """The requests (seq, op, v) of a key in order of seq. The index has the first seq of each block and whether
+    it holds a write; of the blocks only those asked for are read from the state."""
+
+    def __init__(self, index, blocks):
+        self.index, self.blocks, self.read = index, blocks, {}
+        held = index.get() if index.exists() else ((), ())
+        self.starts, self.writes = list(held[0]), list(held[1])
+
+    def place(self, seq: int) -> int:
+        return max(bisect_right(self.starts, seq) - 1, 0)
+
+    def _keep(self, start: int, rows: list[tuple]) -> None:
+        self.read.pop(start, None)
+        if len(self.read) >= KEPT:
+            self.read.pop(next(iter(self.read)))
+        self.read[start] = rows
+
+    def block(self, i: int) -> list[tuple]:
+        start = self.starts[i]
+        if start not in self.read:
+            self._keep(start, list(zip(*self.blocks.getValue((start,)))))
+        return self.read[start]
+
+    def add(self, rows: list[tuple]) -> set[int]:
+        """Takes up the rows, each seq once and in order, whose seq is not known yet; their seqs."""
+        new, parts = set(), {}
+        for row in rows:
+            parts.setdefault(self.place(row[0]), []).append(row)
+        for i in sorted(parts, reverse=True):
+            held = self.block(i) if self.starts else []
+            known = {r[0] for r in held}
+            fresh = [r for r in parts[i] if r[0] not in known]
+            if not fresh:
+                continue
+            new.update(r[0] for r in fresh)
+            all_ = sorted(held + fresh, key=lambda r: r[0])
+            pieces = [all_[j : j + BLOCK] for j in range(0, len(all_), BLOCK)] if len(all_) > 2 * BLOCK else [all_]
+            # the first block is open downwards: rows that come late may be lower than all
+            starts = [*(self.starts[i : i + 1] or [LOWEST]), *[p[0][0] for p in pieces[1:]]]
+            for start, piece in zip(starts, pieces):
+                self.blocks.updateValue((start,), tuple(list(c) for c in zip(*piece)))
+                self._keep(start, piece)
+            self.starts[i : i + 1] = starts
+            self.writes[i : i + 1] = [any(r[1] != GET for r in p) for p in pieces]
+        if new:
+            self.index.update((self.starts, self.writes))
+        return new
+
+    def before(self, i: int) -> tuple:
+        """(seq, v) of the last write in the blocks before one."""
+        while i > 0:
+            i -= 1
+            if self.writes[i]:
+                return next((seq, v) for seq, op, v in reversed(self.block(i)) if op != GET)
+        return None, None
+
+    def answers(self, new: set[int]) -> Iterator[tuple]:
+        """(seq, op, rc, v, of) of the new requests, and anew of the older ones that follow a new write."""
+        touched = sorted({self.place(seq) for seq in new})
+        among, done = set(touched), -1
+        for i in touched:
+            if i <= done:
+                continue
+            at, value = self.before(i)
+            while i < len(self.starts) and (i in among or at in new):
+                for seq, op, v in self.block(i):
+                    if seq in new or at in new:
+                        yield seq, op, 2 if op == GET and value is None else 0, value, at
+                    if op != GET:
+                        at, value = seq, v
+                done, i = i, i + 1
+
+
 class Replay(StatefulProcessor):
     """Answers the requests of a key from its state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq bigint, v string")
+        self.index = handle.getValueState("index", "starts array<bigint>, writes array<boolean>")
+        self.blocks = handle.getMapState("blocks", "start bigint", "seqs array<bigint>, ops array<string>, vs array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).drop_duplicates("seq").sort_values("seq", kind="stable")
-        held = self.last.get() if self.last.exists() else (None, None)
-        at, value, changed, answers = held[0], held[1], False, []
-        for seq, op, v in zip(batch["seq"], batch["op"], batch["v"]):
-            late = at is not None and seq <= at
-            if op == GET or not late:
-                answers.append((seq, key[0], op, 2 if op == GET and value is None else 0, value, at))
-            if op != GET and not late:
-                at, value, changed = int(seq), v if op == PUT else None, True
-        if changed:
-            self.last.update((at, value))
-        yield pd.DataFrame(answers, columns=["seq", "k", "op", "rc", "payload", "of"]).astype({"of": "Int64"})
+        batch = {int(s): (int(s), op, v if op == PUT else None) for part in rows for s, op, v in zip(part["seq"], part["op"], part["v"])}
+        history, out = History(self.index, self.blocks), []
+        for seq, op, rc, value, at in history.answers(history.add([batch[s] for s in sorted(batch)])):
+            out.append((seq, key[0], op, rc, value, at))
+            if len(out) == ANSWERS:
+                yield self.frame(out)
+                out = []
+        yield self.frame(out)
+
+    @staticmethod
+    def frame(answers: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(answers, columns=COLUMNS).astype({"of": "Int64"})
 
     def close(self) -> None:
         pass
@@ -59,7 +139,8 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 def replay_stream(log: DataFrame) -> DataFrame:
     """ANSWER of each request of a stream of (seq, op, k, v); `of`: the seq of the write whose value it is.
-    A request that comes after later writes of its key is answered from those."""
+    A request is answered from the write before it, in whatever order they arrive: when that write arrives later,
+    the request is answered again, with a higher `of`. A request that is delivered again is not answered again."""
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # a null key has no state of its own and is answered like a key that is missing
@@ -77,10 +158,10 @@ def stream_replay(spark: SparkSession, path: str, folder: str | None = None, fil
     answers = replay_stream(log).unionByName(log.where("k is null").select("seq", "k", "op", F.lit(2).alias("rc"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("bigint").alias("of")))
     query = answers.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    # a request that was delivered again later was answered again, by a later write: the first answer counts
+    # a request that was answered again, as an earlier write of its key came late: the latest write before it counts
     given = spark.read.schema(ANSWER).parquet(f"{folder}/answers")
-    first = given.groupBy("seq").agg(F.min_by(F.struct("k", "op", "rc", "payload"), F.coalesce("of", F.lit(-(1 << 62)))).alias("a"))
-    return first.select("seq", "a.*")
+    last = given.groupBy("seq").agg(F.max_by(F.struct("k", "op", "rc", "payload"), F.coalesce("of", F.lit(-(1 << 62)))).alias("a"))
+    return last.select("seq", "a.*")
 
 
 def stream_apply(spark: SparkSession, path: str, base: DataFrame, folder: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
