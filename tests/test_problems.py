@@ -258,5 +258,12 @@ def test_running_sums(spark):
     assert skew.running_sum(table.limit(0), "i", F.col("n"), "a").collect() == []
 
 
+def test_running_sums_keep_a_null_group(spark):
+    table = spark.createDataFrame([(i, None if i % 3 == 0 else "x", 1) for i in range(90)], "i bigint, g string, n int")
+    want = [(i, i // 3 if i % 3 == 0 else i - i // 3 - 1) for i in range(90)]
+    assert sorted((r.i, r.a) for r in skew.running_sum(table, "i", F.col("n"), "a", by=["g"]).collect()) == want
+    assert sorted((r.i, r.a) for r in skew.running_sums(table, ["i"], {"a": F.col("n")}, ["g"]).collect()) == want
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert work_dir(spark, "x").rsplit("/", 1)[0] == (spark.conf.get("spark.checkpoint.dir", None) or work_dir(spark, "y").rsplit("/", 1)[0]).rstrip("/")

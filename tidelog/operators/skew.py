@@ -106,6 +106,14 @@ def last_before(df: DataFrame, key: str, order: str, what: Column, total: int |
     return out.where("_carried is null").drop("_carried", "_what", "_part") if hot else out.drop("_what", "_part")
 
 
+def _same(other: DataFrame, names: list[str]) -> tuple[DataFrame, Column]:
+    """What to join with for equal `names`, where null equals null; the other's columns are named `_same_` and the name."""
+    on = F.lit(True)
+    for c in names:
+        on &= F.col(c).eqNullSafe(F.col(f"_same_{c}"))
+    return other.withColumnsRenamed({c: f"_same_{c}" for c in names}), on
+
+
 def running_sum(df: DataFrame, order: str, value: Column, name: str, by: list[str] | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows (of the group `by`) before the row in order of
     `order`, from 0.
@@ -122,8 +130,8 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, by: list[st
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = split.withColumn("_in", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(start, [*by, "_part"])
-    return out.withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_start", "_in", "_part", "_value")
+    out = split.withColumn("_in", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(*_same(start, [*by, "_part"]))
+    return out.withColumn(name, (F.col("_start") + F.col("_in")).cast("bigint")).drop("_start", "_in", "_part", "_value", *[f"_same_{c}" for c in [*by, "_part"]])
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -140,6 +148,7 @@ def running_sums(df: DataFrame, order: list[str], values: dict[str, Column], by:
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select(*by, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in values])
     within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = split.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in values}).join(start, [*by, "_part"])
+    out = split.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in values}).join(*_same(start, [*by, "_part"]))
+    out = out.drop(*[f"_same_{c}" for c in [*by, "_part"]])
     out = out.withColumns({n: (F.col(f"_t_{n}") + F.col(f"_i_{n}")).cast("bigint") for n in values})
     return out.drop("_part", *[f"_{x}_{n}" for n in values for x in "vsti"])
