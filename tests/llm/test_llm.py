@@ -84,6 +84,20 @@ def test_currency_of_values_without_a_time(spark):
     assert {("new", "used"), ("used", "sold")} <= order
 
 
+def test_stamped_values_below_a_tombstone_are_gone(spark):
+    rec = lambda **f: "".join(f"{n}={v};" for n, v in f.items())
+    rows = [("gone", rec(owner="old", stamp="2021-01-01T00:00:00Z"), 1), ("gone", None, 2)]
+    rows += [("back", rec(owner="old", size=1, stamp="2022-01-01T00:00:00Z"), 1), ("back", None, 2), ("back", rec(owner="new", stamp="2020-01-01T00:00:00Z"), 3)]
+    # sizes: 5 is followed by 6; without a time 6 is taken
+    for i in range(3):
+        rows += [(f"t{i}", rec(size=5, stamp="2020-01-01T00:00:00Z"), 1), (f"t{i}", rec(size=6, stamp="2021-01-01T00:00:00Z"), 2)]
+    rows += [("u", rec(size=5, stamp="2022-01-01T00:00:00Z"), 1), ("u", rec(size=6), 2)]
+    best = queries.by_stamp(spark.createDataFrame([(0, 0, *r) for r in rows], SST))
+    got = {r.k: r for r in best.collect()}
+    assert "gone" not in got and got["back"].owner.val == "new" and got["back"]["size"] is None
+    assert got["u"]["size"].val == "6" and got["t0"]["size"].val == "6"
+
+
 # ---- seen before
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import mixing, seen, stuffing, survivors, tokens
-from tidelog.session import table
+from tidelog.session import checkpoint, table
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,26 @@ def p2_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir).select("k", *[F.col(f"{f}.val").alias(f) for f in survivors.FIELDS])
 
 
+#: Fields that are ordered by the record's `stamp`.
+STAMPED = ("hash", "parent", "size", "owner")
+
+
+def by_stamp(kv_sst: DataFrame) -> DataFrame:
+    """best_records of STAMPED by the records' own `stamp`, which many lack: those are placed by learned
+    precedence. Rows not newer by `seq` than the key's newest tombstone supply nothing."""
+    rows = survivors.after_tombstones(survivors.node_records(kv_sst))
+    rows = checkpoint(rows.select("k", F.unix_micros(F.try_to_timestamp("stamp")).alias("at"), *STAMPED))
+    return survivors.best_records(rows, "k", "at", STAMPED, None)
+
+
+def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current hash, parent, size and owner of each key by `stamp`; a key of which nothing is left has no row."""
+    return by_stamp(table(spark, sf_dir, "kv_sst")).select("k", *[F.col(f"{f}.val").alias(f) for f in STAMPED])
+
+
 def p2_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current owner by the records' own `stamp`, which many lack: those are placed by learned precedence."""
-    rows = survivors.node_records(table(spark, sf_dir, "kv_sst")).where("not dead")
-    rows = rows.select("k", F.unix_micros(F.try_to_timestamp("stamp")).alias("at"), "owner")
-    best = survivors.best_records(rows, "k", "at", ("owner",), None)
+    """The current owner by `stamp`, and that stamp."""
+    best = by_stamp(table(spark, sf_dir, "kv_sst"))
     return best.where("owner is not null").select("k", F.col("owner.val").alias("owner"), F.timestamp_micros("owner.t").alias("stamp"))
 
 
@@ -79,7 +94,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.non_prose_share(documents, model=stuffing.fit(documents, table(spark, sf_dir, "page_label")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_record": p2_record, "p2_owner": p2_owner, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_record": p2_record, "p2_owner": p2_owner, "p2_current": p2_current, "p3_found": p3_found, "p3_report": p3_report, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivors.UNKNOWN)
 _JSON = " ".join(f"WHEN fld = '{f}' THEN json_extract_string(j, '$.{f}')" for f in survivors.FIELDS)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.skew import last_before
+from tidelog.session import checkpoint, small
 
 FIELDS = ("hash", "parent", "stamp", "size", "owner")
 #: What says that a value is not known, after trimming and in lower case. Fixed values.
@@ -52,6 +53,14 @@ def node_records(kv_sst: DataFrame) -> DataFrame:
     return rows.select("k", "seq", "dead", *[known(f, F.col(f"r.{f}")).alias(f) for f in FIELDS])
 
 
+def after_tombstones(rows: DataFrame, key: str = "k", order: str = "seq", dead: str = "dead") -> DataFrame:
+    """The rows above their key's newest dead row in order of `order`; those of a key without one are all kept,
+    as are rows without `order`."""
+    tombs = small(rows.where(F.col(dead)).groupBy(F.col(key).alias("_k")).agg(F.max(order).alias("_tomb")))
+    joined = rows.join(tombs, F.col(key).eqNullSafe(F.col("_k")), "left").where(~F.coalesce(F.col(dead), F.lit(False)))
+    return joined.where(F.col("_tomb").isNull() | F.col(order).isNull() | (F.col(order) > F.col("_tomb"))).drop("_k", "_tomb")
+
+
 #: How much more often a value must have followed another than the other way round.
 SUPPORT = 2
 
@@ -89,6 +98,7 @@ def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tup
     untimed = rows.where(~timed)
     if not untimed.limit(1).count():
         return best
+    best = checkpoint(best)  # read twice for each field: else the plan doubles with every one
     for f in fields:
         loose = untimed.where(F.col(f).isNotNull()).groupBy(key, F.col(f).alias("val")).agg(F.count("*").alias("c"))
         held = best.where(F.col(f).isNotNull()).select(key, F.col(f"{f}.val").alias("val"), F.col(f"{f}.t").alias("t"), F.lit(0).alias("c"))
@@ -99,7 +109,7 @@ def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tup
         ranked = all_.join(beaten, F.col(key).eqNullSafe(F.col("_k")) & (F.col("val") == F.col("_a")), "left")
         order = F.struct(F.col("_beaten").isNull(), F.col("t").isNotNull(), F.col("c"), F.col("val"))
         pick = ranked.groupBy(F.col(key).alias("_pk")).agg(F.max_by(F.struct("t", "val"), order).alias("_pick"))
-        best = best.join(pick, F.col(key).eqNullSafe(F.col("_pk")), "left").withColumn(f, F.coalesce("_pick", f)).drop("_pk", "_pick")
+        best = checkpoint(best.join(pick, F.col(key).eqNullSafe(F.col("_pk")), "left").withColumn(f, F.coalesce("_pick", f)).drop("_pk", "_pick"))
     return best
 
 
