@@ -1,14 +1,17 @@
 """Keyword-stuffed and link-list pages (problem 8): lines labelled by a hidden Markov model.
 
-Each line of a page is prose, a record (a row of a table or timetable, names), a link list, a tag list
-(keywords, search phrases, tags, articles) or a menu. What a line shows (function words, links, numbers,
-titles, separators, words that fill the page) depends on its label; labels tend to stay from line to line.
-The most likely labels of the whole page are found with the Viterbi algorithm; a page is flagged by the
-share of its words in lines of the last three kinds.
+Each line of a page is prose, a record (a row of a table or timetable, names), a notice (what else is no spam, such
+as adverts), a link list, a tag list (keywords, search phrases, tags, articles) or a menu. What a line shows depends
+on its label: the shares of function words, digits, signs, capitals and joined words, words that fill the page, the
+shapes of its tokens and its words. What each label shows is learned from labelled pages, as is how labels follow
+each other. The most
+likely labels of the whole page are found with the Viterbi algorithm; a page is flagged by the share of its
+words in lines of the last three kinds.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +23,8 @@ from tidelog.session import checkpoint
 
 #: Pages labelled side by side, and the bytes of them (one page at least).
 PAGES, PAGE_BYTES = 2000, 4 << 20
-PROSE, RECORD, LINKS, TAGS, MENU = range(5)
-LABELS = ("prose", "record", "links", "tags", "menu")
+PROSE, RECORD, NOTICE, LINKS, TAGS, MENU = range(6)
+LABELS = ("prose", "record", "notice", "links", "tags", "menu")
 
 #: Frequent function words of the languages of the pages (en, de, fr, es). Fixed values.
 FUNCTION_WORDS = """
@@ -30,21 +33,22 @@ der die das den dem des und ein eine einen einem einer ist war wird wurde werden
 le la les l d de du des un une et est était été sera à au aux en dans par pour sur que qui ne pas plus n il elle on ce cette son sa ses se a ont avec mais si fut ou
 el los las del y e al lo una unos que es fue ser ha sido por para con no se su sus como más pero si cuando desde hacía muy sin este esta había
 """.split()
-#: Titles before names, in lists of persons. Fixed values.
-TITLES = "mr mrs miss dr rev sir capt col prof herr frau fräulein mme mlle m don doña sr sra señor señora".split()
 
 # patterns of RE2, counted by Arrow over all lines of a batch
 _W = r"(?:^|[^\p{L}\p{N}])"
 _FUNCTION = rf"(?i){_W}(?:{'|'.join(dict.fromkeys(FUNCTION_WORDS))})\b"
-_TITLE = rf"(?i){_W}(?:{'|'.join(TITLES)})[.·,:;]? \p{{Lu}}"
-_WORD = r"\p{L}[\p{L}\p{M}'’]*"
-_LINK = r"(?i)(?:h[tlfir1]{1,2}[tprd]{1,2}s? ?: ?[/l!I|1]|(?:^|[^\p{L}])[wv]{2,6}[.·, ]{1,2}\p{L}|[\p{L}\p{N}]@ ?[\p{L}\p{N}-]|[.·, ](?:invalid|example|test|com|org|net|info|de|fr|es|uk)\b ?[/?]|[\p{L}\p{N}][.·](?:invalid|[eco]xam[pq]?[l1]e|[tr]est|com|org|net)\b|\?id|/ ?p\d{2,4}[.·]|[.·]h[tr][mn])"
-_HASH = r"[#♯][\p{L}■*]"
-_ARTICLE = r"^\W*[AÁÀàa^4][rvn][trl1I|f][.,·;:]?\s*[\dlIOSB°i^?|]{3,5}\b"
-_BULLET = r"^\s*(?:[•»›·>~*\[-]|--)\s*\p{L}"
-_SEPARATOR = r"\p{L}[?!]?\s*(?: [|>/·•»›–-] |[|>•»]|\]\s*\[)\s*[\p{L}#]"
 _DIGITS = r"\d"
+_SIGNS = r"[^\p{L}\p{M}\p{N}\s]"
+_CAPITAL = rf"{_W}\p{{Lu}}"
 _NUMBER = r"(?:^|[\s(£])\d{1,4}(?:[.,:;)]|\s|$)"
+#: The parts of a token's shape, in this order: capitalised and other words, numbers, repeated signs.
+_SHAPE = ((r"\p{Lu}[\p{L}\p{M}]*", "A"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}][\p{L}\p{M}]*", "a"), (r"\p{N}+", "9"))
+#: Shapes longer than SHAPE_CHARS are told apart by these first ones; shapes are hashed to so many numbers.
+SHAPE_CHARS, SHAPES = 8, 1024
+#: Words of at least so many letters are hashed to so many numbers.
+WORD_CHARS, WORDS = 3, 4096
+#: What tokens tell one by one, and its numbers.
+SYMBOLS = {"shape": SHAPES, "word": WORDS}
 
 
 #: A word fills a page if it is one in so many of its longer words, and leads it if it is one in so many.
@@ -66,9 +70,33 @@ def _same_as(word: str, known: dict[str, int]) -> int:
     return known.setdefault(word.translate(_FOLD), len(known))
 
 
+def _shapes(tokens) -> np.ndarray:
+    """Number below SHAPES of each token's shape; -1 for an empty one. Tokens: an Arrow array of strings."""
+    import pyarrow.compute as pc
+
+    shape = tokens
+    for pattern, one in _SHAPE:
+        shape = pc.replace_substring_regex(shape, pattern, one)
+    shape = pc.dictionary_encode(pc.utf8_slice_codeunits(shape, 0, SHAPE_CHARS))
+    number = np.array([zlib.crc32(x.encode()) % SHAPES if x else -1 for x in shape.dictionary.to_pylist()], dtype=np.int64)
+    return number[shape.indices.to_numpy()]
+
+
+def _words(words: list[str]) -> np.ndarray:
+    """Number below WORDS of each word in lower case, alike for those easily misread for each other; -1 if it tells nothing."""
+    out = np.full(len(words), -1, dtype=np.int64)
+    for i, w in enumerate(words):
+        if len(w) >= WORD_CHARS and any(c.isalpha() for c in w):
+            for pair, one in _PAIRS:
+                w = w.replace(pair, one)
+            out[i] = zlib.crc32(w.translate(_FOLD).encode()) % WORDS
+    return out
+
+
 def line_features(texts) -> dict[str, np.ndarray]:
-    """Per line of an Arrow array of texts (no nulls): `page` (its number), counts of what it shows,
-    `numbered`: the share of the page's lines that have a number, and `filling`, `leading`: the share of its longer words that fill or lead the page."""
+    """Per line of an Arrow array of texts (no nulls): `page` (its number), counts of what it shows, `numbered`: the
+    share of the page's lines that have a number, and `filling`, `leading`: the share of its longer words that fill or
+    lead the page. Per token: `shape` and `shape_line`, its shape and line."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -76,14 +104,22 @@ def line_features(texts) -> dict[str, np.ndarray]:
     page = pc.list_parent_indices(split).to_numpy()
     lines = pc.list_flatten(split)
     out = {"page": page}
-    for name, pattern in (("function", _FUNCTION), ("titles", _TITLE), ("links", _LINK), ("hashes", _HASH), ("article", _ARTICLE), ("bullet", _BULLET), ("separators", _SEPARATOR), ("digits", _DIGITS), ("numbers", _NUMBER)):
+    for name, pattern in (("function", _FUNCTION), ("digits", _DIGITS), ("signs", _SIGNS), ("capitals", _CAPITAL), ("numbers", _NUMBER)):
         out[name] = pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False).astype(np.int32)
-    out["tokens"] = pc.count_substring_regex(lines, r"\S+").to_numpy(zero_copy_only=False).astype(np.int32)
     out["chars"] = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int32)
+    tokens = pc.split_pattern_regex(lines, r"\s+")
+    line, coded = pc.list_parent_indices(tokens).to_numpy(), pc.dictionary_encode(pc.list_flatten(tokens))
+    shape = _shapes(coded.dictionary)[coded.indices.to_numpy()]
+    inner = np.asarray(pc.match_substring_regex(coded.dictionary, r"[\p{L}\p{N}][^\p{L}\p{M}\p{N}\s'’-]+[\p{L}\p{N}]"))[coded.indices.to_numpy()]
+    out["tokens"] = np.bincount(line[shape >= 0], minlength=len(page)).astype(np.int32)
+    out["joined"] = np.bincount(line, weights=inner, minlength=len(page)).astype(np.int32)
+    out["shape"], out["shape_line"] = shape[shape >= 0], line[shape >= 0]
     parts = pc.split_pattern_regex(pc.utf8_lower(lines), r"[^\p{L}\p{M}\p{N}]+")
     line = pc.list_parent_indices(parts).to_numpy()
     coded = pc.dictionary_encode(pc.list_flatten(parts))
     out["words"] = np.bincount(line[np.asarray(pc.utf8_length(coded.dictionary))[coded.indices.to_numpy()] > 0], minlength=len(page)).astype(np.int32)
+    word = _words(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    out["word"], out["word_line"] = word[word >= 0], line[word >= 0]
     # words that differ only by letters that are misread for each other are the same word
     same: dict[str, int] = {}
     number = np.array([_same_as(w, same) for w in coded.dictionary.to_pylist()], dtype=np.int64)
@@ -94,9 +130,13 @@ def line_features(texts) -> dict[str, np.ndarray]:
     content = np.bincount(line, minlength=len(page))
     out["content"] = content
     out["filling"] = np.bincount(line, weights=(n >= 3) & (n * FILLS >= total), minlength=len(page)) / np.maximum(content, 1)
-    numbered = (out["numbers"] > 0) & (out["article"] == 0)
-    out["numbered"] = (np.bincount(page, weights=numbered, minlength=len(texts)) / np.maximum(np.bincount(page, minlength=len(texts)), 1))[page]
     out["leading"] = np.bincount(line, weights=(n >= 4) & (n * LEADS >= total), minlength=len(page)) / np.maximum(content, 1)
+    # different longer words of the page, and function words, of all its words
+    firsts = np.unique(page[line].astype(np.int64) << 32 | code) >> 32
+    of_page = lambda x: np.bincount(page, weights=x, minlength=len(texts))
+    out["variety"] = (np.bincount(firsts, minlength=len(texts)) / np.maximum(of_page(content), 1))[page]
+    out["fluency"] = (of_page(out["function"]) / np.maximum(of_page(out["words"]), 1))[page]
+    out["numbered"] = (np.bincount(page, weights=out["numbers"] > 0, minlength=len(texts)) / np.maximum(np.bincount(page, minlength=len(texts)), 1))[page]
     return out
 
 
@@ -105,32 +145,38 @@ def _bins(value: np.ndarray, edges: list[float]) -> np.ndarray:
 
 
 #: What is seen of a line: per feature the chances of its bins in a line of each label (prose, record,
-#: links, tags, menu), before training. Each row adds up to 1.
+#: notice, links, tags, menu), as a first guess. Each row adds up to 1. They stand for PRIOR_LINES lines and only tell training which
+#: label is which; shapes and words start out the same for all labels.
 EMISSIONS = {
     # share of function words: none, up to 0.12, up to 0.25, more
-    "function": [[0.08, 0.17, 0.30, 0.45], [0.75, 0.20, 0.04, 0.01], [0.75, 0.15, 0.07, 0.03], [0.50, 0.20, 0.15, 0.15], [0.60, 0.15, 0.15, 0.10]],
+    "function": [[0.1, 0.2, 0.3, 0.4], [0.7, 0.2, 0.05, 0.05], [0.3, 0.3, 0.2, 0.2], [0.7, 0.2, 0.05, 0.05], [0.5, 0.2, 0.15, 0.15], [0.6, 0.2, 0.1, 0.1]],
     # share of longer words that fill the page: up to 0.2, 0.45, 0.7, more, no longer word
-    "filling": [[0.72, 0.13, 0.08, 0.05, 0.02], [0.74, 0.12, 0.05, 0.02, 0.07], [0.25, 0.20, 0.20, 0.25, 0.10], [0.09, 0.10, 0.24, 0.55, 0.02], [0.12, 0.15, 0.25, 0.38, 0.10]],
+    "filling": [[0.7, 0.15, 0.05, 0.05, 0.05], [0.7, 0.15, 0.05, 0.05, 0.05], [0.4, 0.2, 0.15, 0.2, 0.05], [0.3, 0.2, 0.2, 0.2, 0.1], [0.1, 0.1, 0.25, 0.5, 0.05], [0.1, 0.1, 0.25, 0.45, 0.1]],
     # share of longer words that lead the page: none, up to 0.3, up to 0.6, more, no longer word
-    "leading": [[0.90, 0.07, 0.015, 0.005, 0.01], [0.85, 0.07, 0.03, 0.02, 0.03], [0.35, 0.20, 0.20, 0.15, 0.10], [0.08, 0.12, 0.33, 0.45, 0.02], [0.20, 0.20, 0.30, 0.25, 0.05]],
-    # links: none, one among other text, most of the line
-    "links": [[0.985, 0.013, 0.002], [0.99, 0.008, 0.002], [0.12, 0.28, 0.60], [0.97, 0.025, 0.005], [0.97, 0.025, 0.005]],
+    "leading": [[0.85, 0.05, 0.03, 0.02, 0.05], [0.85, 0.05, 0.03, 0.02, 0.05], [0.6, 0.1, 0.1, 0.1, 0.1], [0.4, 0.2, 0.2, 0.1, 0.1], [0.15, 0.1, 0.3, 0.4, 0.05], [0.2, 0.2, 0.3, 0.2, 0.1]],
+    # share of tokens that are joined by signs: none, up to 0.2, up to 0.5, more
+    "joined": [[0.85, 0.1, 0.03, 0.02], [0.6, 0.15, 0.15, 0.1], [0.8, 0.1, 0.05, 0.05], [0.1, 0.1, 0.2, 0.6], [0.7, 0.15, 0.1, 0.05], [0.7, 0.15, 0.1, 0.05]],
     # share of digits: none, up to 0.06, up to 0.15, more
-    "digits": [[0.75, 0.20, 0.045, 0.005], [0.35, 0.10, 0.20, 0.35], [0.45, 0.35, 0.15, 0.05], [0.72, 0.13, 0.13, 0.02], [0.90, 0.07, 0.02, 0.01]],
-    # lines of the page with a number standing alone, but for article numbers: none, up to 0.12, up to 0.25, more
-    "numbered": [[0.30, 0.35, 0.22, 0.13], [0.20, 0.05, 0.05, 0.70], [0.60, 0.25, 0.10, 0.05], [0.50, 0.35, 0.11, 0.04], [0.75, 0.20, 0.04, 0.01]],
-    # titles before names, of the words: none, up to 0.2, more
-    "titles": [[0.85, 0.14, 0.01], [0.75, 0.05, 0.20], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002], [0.99, 0.008, 0.002]],
-    # marks: none, separators or a bullet without digits, the same with digits, tags, article number
-    "marks": [[0.9727, 0.015, 0.010, 0.0003, 0.002], [0.5027, 0.02, 0.475, 0.0003, 0.002], [0.85, 0.10, 0.04, 0.008, 0.002], [0.45, 0.18, 0.02, 0.25, 0.10], [0.15, 0.78, 0.06, 0.005, 0.005]],
+    "digits": [[0.7, 0.2, 0.08, 0.02], [0.3, 0.1, 0.2, 0.4], [0.5, 0.2, 0.2, 0.1], [0.4, 0.3, 0.2, 0.1], [0.7, 0.1, 0.15, 0.05], [0.85, 0.1, 0.03, 0.02]],
+    # lines of the page with a number standing alone: none, up to 0.12, up to 0.25, more
+    "numbered": [[0.3, 0.3, 0.2, 0.2], [0.2, 0.05, 0.05, 0.7], [0.2, 0.2, 0.2, 0.4], [0.6, 0.2, 0.1, 0.1], [0.5, 0.2, 0.1, 0.2], [0.7, 0.2, 0.05, 0.05]],
+    # share of signs: up to 0.03, 0.06, 0.12, more
+    "variety": [[0.2] * 5] * 6,
+    "fluency": [[0.2] * 5] * 6,
+    "signs": [[0.4, 0.4, 0.15, 0.05], [0.1, 0.2, 0.3, 0.4], [0.3, 0.3, 0.2, 0.2], [0.05, 0.1, 0.35, 0.5], [0.3, 0.3, 0.2, 0.2], [0.1, 0.2, 0.4, 0.3]],
+    # share of words with a capital: none, up to 0.2, up to 0.5, more
+    "capitals": [[0.25, 0.45, 0.25, 0.05], [0.1, 0.1, 0.2, 0.6], [0.15, 0.35, 0.35, 0.15], [0.5, 0.2, 0.2, 0.1], [0.4, 0.2, 0.2, 0.2], [0.6, 0.15, 0.15, 0.1]],
 }
-START = [0.60, 0.10, 0.10, 0.10, 0.10]
-#: Chance that the next line has the same label, before training; the rest is shared by the other labels.
+#: Features whose bins are learned together, as one tells something else beside the other.
+JOINED = (("function", "filling"), ("numbered", "leading"))
+START = [0.50, 0.10, 0.10, 0.10, 0.10, 0.10]
+#: Chance that the next line has the same label, as a first guess; the rest is shared by the other labels.
 STAY = 0.92
-#: Labelled pages that training takes at most, in order of a hash of their ids; its rounds; and how many lines of each
-#: label the chances above stand for: about as many as such pages have, as few of them show the rarer kinds of
-#: page that are no spam, such as classified adverts.
-TRAIN_PAGES, TRAIN_ROUNDS, PRIOR_LINES = 2000, 2, 60_000
+#: Labelled pages that training takes at most, in order of a hash of their ids; its rounds; how many lines of each label
+#: the chances above stand for, and how many of each shape or word.
+TRAIN_PAGES, TRAIN_ROUNDS, PRIOR_LINES, PRIOR_SYMBOL = 2000, 8, 30, 0.5
+#: The weight of a shape or word beside the line's features (those of a line are alike), and the most that all of a line tell.
+SYMBOL_WEIGHT, SYMBOL_MOST = 0.5, 8.0
 #: A page is flagged from this share of words in link lists, tag lists and menus.
 SHARE = 0.5
 #: Pages of fewer words have next to no text.
@@ -149,26 +195,30 @@ class Model:
 
 def prior() -> Model:
     k = len(LABELS)
-    return Model({n: np.array(t) for n, t in EMISSIONS.items()}, np.array(START), np.where(np.eye(k), STAY, (1 - STAY) / (k - 1)))
+    each = {n: np.array(t) for n, t in EMISSIONS.items()}
+    for a, b in JOINED:
+        x, y = each.pop(a), each.pop(b)
+        each[f"{a} {b}"] = (x[:, :, None] * y[:, None, :]).reshape(k, -1)
+    each |= {name: np.full((k, n), 1 / n) for name, n in SYMBOLS.items()}
+    return Model(each, np.array(START), np.where(np.eye(k), STAY, (1 - STAY) / (k - 1)))
 
 
 def observed(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Bins of EMISSIONS per line."""
-    words, chars = np.maximum(f["words"], 1), np.maximum(f["chars"], 1)
+    words, chars, tokens = np.maximum(f["words"], 1), np.maximum(f["chars"], 1), np.maximum(f["tokens"], 1)
     filling, leading = _bins(f["filling"], [0.2, 0.45, 0.7]), _bins(f["leading"], [0, 0.3, 0.6])
     filling[f["content"] == 0] = leading[f["content"] == 0] = 4
-    marks = np.where((f["separators"] >= 2) | (f["bullet"] > 0), np.where(f["digits"] * 16 > f["chars"], 2, 1), 0)
-    marks[(f["hashes"] >= 2) | (f["hashes"] >= 1) & (f["words"] <= 4)] = 3
-    marks[f["article"] > 0] = 4
+    function, numbered = _bins(f["function"] / words, [0, 0.12, 0.25]), _bins(f["numbered"], [0, 0.12, 0.25])
     return {
-        "function": _bins(f["function"] / words, [0, 0.12, 0.25]),
-        "filling": filling,
-        "leading": leading,
-        "links": np.where(f["links"] == 0, 0, np.where(f["links"] * 30 >= f["chars"], 2, 1)),
+        # what fills a page tells something else of lines with function words, and what leads it of pages with numbers
+        "function filling": function * 5 + filling,
+        "numbered leading": numbered * 5 + leading,
+        "joined": _bins(f["joined"] / tokens, [0, 0.2, 0.5]),
         "digits": _bins(f["digits"] / chars, [0, 0.06, 0.15]),
-        "numbered": _bins(f["numbered"], [0, 0.12, 0.25]),
-        "titles": _bins(f["titles"] / words, [0, 0.2]),
-        "marks": marks,
+        "variety": _bins(f["variety"], [0.1, 0.2, 0.3, 0.45]),
+        "fluency": _bins(f["fluency"], [0.02, 0.08, 0.16, 0.24]),
+        "signs": _bins(f["signs"] / chars, [0.03, 0.06, 0.12]),
+        "capitals": _bins(f["capitals"] / words, [0, 0.2, 0.5]),
     }
 
 
@@ -199,6 +249,13 @@ def most_likely(page: np.ndarray, score: np.ndarray, model: Model) -> np.ndarray
 
 def _scores(f: dict[str, np.ndarray], seen: dict[str, np.ndarray], model: Model) -> np.ndarray:
     score = sum(np.log(model.emissions[name].T)[bins] for name, bins in seen.items())
+    # what a symbol tells is how much more often it comes with a label than on the whole
+    for name in SYMBOLS:
+        table = model.emissions[name]
+        told = np.log(table / table.mean(0)).T
+        for i in range(len(LABELS)):
+            each = np.bincount(f[f"{name}_line"], weights=told[f[name], i], minlength=len(score))
+            score[:, i] += np.clip(SYMBOL_WEIGHT * each, -SYMBOL_MOST, SYMBOL_MOST)
     score[f["tokens"] == 0] = 0  # an empty line says nothing
     return score
 
@@ -218,35 +275,37 @@ def page_shares(texts, model: Model | None = None) -> tuple[np.ndarray, np.ndarr
 
 def count_lines(texts, spam: np.ndarray, model: Model) -> dict[str, np.ndarray]:
     """How often each bin was seen with each label, each label came first and followed each other, in the most
-    likely labels of labelled pages. A page that is no spam has only prose and records. Pages whose label the
-    model flatly contradicts, nearly all or nearly none of their words being of the other kind, say nothing:
-    raters err."""
+    likely labels of labelled pages. A page that is no spam has only prose, records and notices, one that is spam no records
+    or notices. Raters err, so that a few pages are forced into labels that do not fit; right pages outweigh them."""
     f = line_features(texts)
     seen = observed(f)
     score = _scores(f, seen, model)
-    _, share = _shares(f, most_likely(f["page"], score, model), len(texts))
-    use = (np.where(spam > 0, share, 1 - share) > 0.1)[f["page"]]
-    score[np.ix_(spam[f["page"]] == 0, np.arange(len(LABELS)) >= LINKS)] = -1e9
+    ordinary, kinds = spam[f["page"]] == 0, np.arange(len(LABELS))
+    score[np.ix_(ordinary, kinds >= LINKS)] = -1e9
+    score[np.ix_(~ordinary, np.isin(kinds, (RECORD, NOTICE)))] = -1e9
     label = most_likely(f["page"], score, model)
     k = len(LABELS)
     out = {}
-    told = use & (f["tokens"] > 0)
+    told = f["tokens"] > 0
     for name, bins in seen.items():
         out[name] = np.zeros(model.emissions[name].shape)
         np.add.at(out[name], (label[told], bins[told]), 1)
+    for name, n in SYMBOLS.items():
+        out[name] = np.bincount(label[f[f"{name}_line"]].astype(np.int64) * n + f[name], minlength=k * n).reshape(k, n).astype(float)
     begins = np.diff(f["page"], prepend=-1) > 0
-    out["start"] = np.bincount(label[begins & use], minlength=k).astype(float)
+    out["start"] = np.bincount(label[begins], minlength=k).astype(float)
     out["move"] = np.zeros((k, k))
-    next_ = np.nonzero(~begins & use)[0]
+    next_ = np.nonzero(~begins)[0]
     np.add.at(out["move"], (label[next_ - 1], label[next_]), 1)
     return out
 
 
-def updated(counts: dict[str, np.ndarray], lines: int = PRIOR_LINES) -> Model:
-    """The chances from counts, and from the prior as if it had been seen in so many lines of each label."""
+def updated(counts: dict[str, np.ndarray], lines: float = PRIOR_LINES) -> Model:
+    """The chances from counts, and from the first guess as if it had been seen in so many lines of each label."""
     base = prior()
-    mean = lambda n, p: (n + lines * p) / (n + lines * p).sum(-1, keepdims=True)
-    return Model({name: mean(counts[name], p) for name, p in base.emissions.items()}, mean(counts["start"], base.start), mean(counts["move"], base.move))
+    mean = lambda n, p, w: (n + w * p) / (n + w * p).sum(-1, keepdims=True)
+    weight = {name: PRIOR_SYMBOL * SYMBOLS[name] if name in SYMBOLS else lines for name in base.emissions}
+    return Model({name: mean(counts[name], p, weight[name]) for name, p in base.emissions.items()}, mean(counts["start"], base.start, lines), mean(counts["move"], base.move, lines))
 
 
 def _parts(texts) -> Iterator[tuple[int, int]]:
@@ -259,15 +318,34 @@ def _parts(texts) -> Iterator[tuple[int, int]]:
     yield from zip(cuts.tolist(), np.diff(cuts).tolist())
 
 
+def agreed(labels: DataFrame) -> DataFrame:
+    """(doc_id, _spam): the pages on which all raters that say something are of one mind."""
+    return labels.where("is_spam in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("is_spam").alias("_spam")).where("_spam in (0, 1)")
+
+
+def held_out(documents: DataFrame, labels: DataFrame, parts: int = 4) -> dict[str, float]:
+    """Recall, precision and number of labelled pages, each judged by a model that has not seen it: the pages are put
+    into `parts` by a hash of the id, and each part is judged by what was learned from the others."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(parts))
+    told = checkpoint(documents.where("text is not null").select("doc_id", "text").join(agreed(labels), "doc_id").withColumn("_part", part))
+    judged = None
+    for i in range(parts):
+        model = fit(documents, labels.where(part != i))
+        own = non_prose_share(told.where(F.col("_part") == i), keep=("doc_id", "_spam"), model=model)
+        judged = own if judged is None else judged.unionByName(own)
+    hit, spam = (F.col("words") >= LEAST_WORDS) & (F.col("share") >= SHARE), F.col("_spam") == 1
+    n, real, flagged, both = judged.agg(F.count("*"), F.count_if(spam), F.count_if(hit), F.count_if(hit & spam)).first()
+    return {"pages": n, "recall": both / max(real, 1), "precision": both / max(flagged, 1)}
+
+
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", pages: int = TRAIN_PAGES, rounds: int = TRAIN_ROUNDS) -> Model:
     """Viterbi training on labelled pages: labels (doc_id, is_spam), of one or more raters.
 
     At most `pages` pages count, those on which the raters are of one mind, in order of a hash of their ids;
-    without any, the model is the one before training. Tasks count, only the counts, a few hundred
-    numbers, reach the driver.
+    without any, the model is the first guess. Tasks count, only the counts, some ten thousand
+    numbers whatever the input, reach the driver.
     """
-    one = labels.where("is_spam in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("is_spam").alias("_spam")).where("_spam in (0, 1)")
-    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pages)
+    some = agreed(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(pages)
     sample = checkpoint(documents.select("doc_id", documents[text].alias("_text")).where("_text is not null").join(F.broadcast(some), "doc_id").select("_text", "_spam"))
     model = prior()
 
@@ -278,8 +356,9 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", pages: int
             for start, length in _parts(b["_text"]):
                 part = b.slice(start, length)
                 found = count_lines(part["_text"], part["_spam"].to_numpy(), model)
-                rows = [(name, i, n) for name, table in found.items() for i, n in enumerate(table.ravel().tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["name", "i", "n"])
+                for name, table in found.items():
+                    at = np.nonzero(table.ravel())[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(table.ravel()[at])], names=["name", "i", "n"])
 
     for _ in range(rounds):
         got = sample.mapInArrow(run, "name string, i bigint, n double").groupBy("name", "i").agg(F.sum("n").alias("n")).collect()
@@ -308,8 +387,8 @@ def non_prose_share(documents: DataFrame, text: str = "text", keep: tuple[str, .
     return documents.select(*keep, documents[text].alias("_text")).mapInArrow(run, f"{kinds}, words bigint, share double")
 
 
-def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, model: Model | None = None) -> DataFrame:
-    """`keep` of the pages of at least LEAST_WORDS words of which at least `share` are in link lists, tag
+def stuffed_pages(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, model: Model | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
+    """`keep` of the pages of at least `least_words` words of which at least `share` are in link lists, tag
     lists or menus. Null, empty and blank texts are never flagged; equal texts are flagged alike."""
-    found = non_prose_share(documents, text, keep, model).where((F.col("words") >= LEAST_WORDS) & (F.col("share") >= share))
+    found = non_prose_share(documents, text, keep, model).where((F.col("words") >= least_words) & (F.col("share") >= share))
     return found.select(*keep)
