@@ -27,6 +27,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session", autouse=True)
+def keys_are_split():
+    """Ranges of hot keys are as small as test tables are."""
+    from tidelog.operators import skew
+
+    skew.RANGE_ROWS = 20
+
+
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"

@@ -216,7 +216,7 @@ def test_order_within_hot_keys(spark):
     rows = [(s, "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for s in rng.sample(range(10**9), 3000)]
     table = spark.createDataFrame(rows, "seq bigint, k string, v string")
     split, hot = skew.hot_split(table, "k", "seq")
-    assert "hot" in hot and split.where("k = 'hot'").select("_part").distinct().count() > 20
+    assert hot and split.where("k = 'hot'").select("_part").distinct().count() > 20
     got = {r.seq: r._last for r in skew.last_before(table, "k", "seq", F.col("v")).collect()}
     last, want = {}, {}
     for s, k, v in sorted(rows, key=lambda r: r[0]):
@@ -231,16 +231,32 @@ def test_many_ranges(spark):
     try:
         want = sorted(map(tuple, skew.last_before(table, "k", "seq", F.col("v")).collect()))
         sums = sorted(map(tuple, skew.running_sum(table, "seq", F.col("v"), "a").collect()))
-        spark.conf.set("spark.sql.shuffle.partitions", 1200)
-        split, _ = skew.hot_split(table, "k", "seq")
-        assert split.select("_part").distinct().count() > 300
-        spark.conf.set("spark.sql.shuffle.partitions", 1100)
+        spark.conf.set("spark.sql.shuffle.partitions", 560)
+        assert len(skew.split_points(table.withColumn("_all", F.lit(0)), "_all", "seq", {0: 1200})[0]) > 1000
+        spark.conf.set("spark.sql.shuffle.partitions", 530)
         assert sorted(map(tuple, skew.last_before(table, "k", "seq", F.col("v")).collect())) == want
         assert sorted(map(tuple, skew.running_sum(table, "seq", F.col("v"), "a").collect())) == sums
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranges_follow_the_rows_of_a_key(spark, monkeypatch):
+    # one key in 300, one with a third of the rows, and many small ones
+    n = 60_000
+    table = spark.range(n).select((F.col("id") * 7).alias("seq"), F.expr("CASE WHEN id % 3 = 0 THEN 'third' WHEN id % 300 = 1 THEN 'some' ELSE concat('k', id % 30000) END").alias("k"))
+    parts = lambda: {r.k: r.n for r in skew.hot_split(table, "k", "seq", n)[0].groupBy("k").agg(F.count_distinct("_part").alias("n")).collect()}
+    got = parts()
+    assert got["some"] >= 3 and got["third"] >= 256 and max(v for k, v in got.items() if k.startswith("k")) == 1
+    monkeypatch.setattr(skew, "RANGE_ROWS", 500)
+    got = parts()
+    assert got["some"] == 1 and 32 <= got["third"] <= 80
+    monkeypatch.setattr(skew, "COARSE", 4)
+    two_steps = {k: p for k, p in skew.split_points(table, "k", "seq", {"third": 64, "some": 2}).items()}
+    assert len(two_steps["some"]) == 1 and len(two_steps["third"]) == 63 and two_steps["third"] == sorted(two_steps["third"])
+    gaps = [b - a for a, b in zip(two_steps["third"], two_steps["third"][1:])]
+    assert max(gaps) < 3 * 7 * n / 64
+
+
 def test_running_sums(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("xy"), rng.randrange(9), f"{rng.random():.5f}") for i in rng.sample(range(10**6), 2000)]

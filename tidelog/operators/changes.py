@@ -22,7 +22,7 @@ def consolidate(images: DataFrame, by: list[str]) -> DataFrame:
     The before-image of an image is the one before it in the group. `by` is the partitioning of the
     input, so that neither the window nor the sum shuffles.
     """
-    before = F.lag(F.struct("v", "seq")).over(Window.partitionBy(*by).orderBy("seq"))
+    before = F.lag(F.struct("v", "seq")).over(Window.partitionBy(*by).orderBy("seq", "v"))
     signed = images.withColumn("_before", before).select(
         *by,
         F.inline(

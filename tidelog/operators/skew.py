@@ -6,28 +6,30 @@ order column; ranges keep the order, so that what crosses a border is one row pe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import checkpoint
 
-#: A key is hot when it holds more than one in so many rows; so there are fewer hot keys than this.
-HOT_SHARE = 256
-#: Ranges into which a hot key is split, and ranges of a whole table for running sums, at least. More where the
-#: session has more shuffle partitions: a key with a third of the rows gets ranges of a partition's size.
-HOT_PARTS, RUN_PARTS = 48, 192
-#: More ranges than this are drawn by a range partitioning instead of by quantiles.
-MOST_POINTS = 1024
+#: Rows that one task sorts of a key, at least: a key with fewer is never split.
+RANGE_ROWS = 50_000
+#: A range of a hot key has at most a shuffle partition's share of all rows, or one in so many where there are fewer partitions.
+LEAST_RANGES = 1024
+#: Ranges of a whole table for running sums, at least; more where the session has more shuffle partitions.
+RUN_PARTS = 192
+#: More ranges of a group than these are drawn in two steps, so that no task holds the digest of all of them.
+COARSE = 512
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_points(df: DataFrame, order: str, parts: int, by: list[str] | None = None) -> DataFrame:
-    """One row of `parts - 1` ascending quantiles of `order` per group (or for all rows)."""
-    at = [i / parts for i in range(1, parts)]
-    return df.groupBy(*(by or [])).agg(F.percentile_approx(order, at, 4 * parts).alias("_points"))
+def range_rows(df: DataFrame, total: int) -> int:
+    """Rows of a range, about, given the number of all rows."""
+    return max(RANGE_ROWS, -(-total // max(LEAST_RANGES, shuffle_partitions(df))))
 
 
 def _step(n: int) -> int:
@@ -38,47 +40,62 @@ def _below(points: Column, value: Column) -> Column:
     return F.size(F.filter(points, lambda x: x < value))
 
 
-def range_of(value: Column, points: Column, coarse: Column, step: int) -> Column:
+def range_of(value: Column, points: Column, coarse: Column, step: Column) -> Column:
     """Index of the range among ascending points that holds the value; 0 without points. `coarse` has every
     `step`-th point: two short scans instead of a long one."""
     block = _below(coarse, value) * step
     return F.coalesce(F.when(points.isNotNull(), block + _below(F.slice(points, block + 1, step), value)), F.lit(0))
 
 
-def range_among(value: Column, points: list) -> Column:
-    """As range_of, for points known to the driver."""
-    if not points:
-        return F.lit(0)
-    step = _step(len(points))
-    coarse = points[step - 1 :: step]
-    return range_of(value, F.lit(points), F.lit(coarse), step)
+def _table(df: DataFrame, by: str, order: str, points: dict) -> DataFrame:
+    """One row per group with its points, for _ranged."""
+    kind = df.schema[order].dataType.simpleString()
+    rows = [(k, p, p[_step(len(p)) - 1 :: _step(len(p))], _step(len(p))) for k, p in points.items()]
+    return df.sparkSession.createDataFrame(rows, f"_group {df.schema[by].dataType.simpleString()}, _points array<{kind}>, _coarse array<{kind}>, _step int")
+
+
+def _ranged(df: DataFrame, by: str, order: str, points: dict, name: str) -> DataFrame:
+    """Adds `name`, the range of `order` within the row's group, 0 for groups without points; and `_hot`, whether it has some."""
+    joined = df.join(F.broadcast(_table(df, by, order, points)), F.col(by).eqNullSafe(F.col("_group")), "left")
+    out = joined.withColumn(name, range_of(F.col(order), F.col("_points"), F.col("_coarse"), F.col("_step"))).withColumn("_hot", F.col("_points").isNotNull())
+    return out.drop("_group", "_points", "_coarse", "_step")
+
+
+def split_points(df: DataFrame, by: str, order: str, ranges: dict) -> dict:
+    """{group: ascending quantiles of `order`}; `ranges`: into how many ranges each group goes, a power of two or the same
+    for all. As many numbers as ranges reach the driver. Other groups are left out."""
+    sizes = df.sparkSession.createDataFrame(list(ranges.items()), f"_group {df.schema[by].dataType.simpleString()}, _n int")
+    own = df.where(F.col(order).isNotNull()).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_group"))).select(by, order, "_n")
 
+    def quantiles(rows: DataFrame, groups: list[str], size: Column, some: set[int]) -> list:
+        each = [F.percentile_approx(F.when(size == n, F.col(order)), [i / n for i in range(1, n)], 4 * n) for n in sorted(some) if n > 1]
+        return rows.groupBy(*groups).agg(F.coalesce(*each).alias("_points")).collect() if each else []
 
-def one_of(key: Column, values: list) -> Column:
-    """Whether the key is one of a few values, which may hold null. Reaches the scan."""
-    named = key.isin([v for v in values if v is not None])
-    return named | key.isNull() if None in values else named
+    first = quantiles(own, [by], F.least("_n", F.lit(COARSE)), {min(n, COARSE) for n in ranges.values()})
+    points = {r[0]: list(r[1]) for r in first if r[1] is not None}
+    finer = {-(-n // COARSE) for n in ranges.values() if n > COARSE}
+    if finer:
+        parts = _ranged(own.where(F.col("_n") > COARSE), by, order, points, "_r")
+        for r in quantiles(parts, [by, "_r"], F.ceil(F.col("_n") / COARSE), finer):
+            points[r[0]] += r[2] or []
+        points = {k: sorted(p) for k, p in points.items()}
+    return points
 
 
-def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) -> tuple[DataFrame, list]:
-    """Adds `_part`, a range number that is 0 but for hot keys. Second: the hot keys, fewer than HOT_SHARE.
+def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) -> tuple[DataFrame, bool]:
+    """Adds `_part`, a range number that is 0 but for hot keys, and `_hot`. Second: whether there are hot keys.
 
-    The table of hot keys has fewer than HOT_SHARE rows of HOT_PARTS numbers whatever the input, hence
-    the broadcast. `total` may be any number from the row count upwards to half of it downwards; without
-    it the rows are counted.
+    A key is hot if it has more rows than a range is to have (range_rows); it is split into ranges in proportion to its
+    rows. So there are fewer hot keys than the larger of LEAST_RANGES and the shuffle partitions, and at most two ranges for
+    each of these, whatever the input: hence the broadcast. `total` may be any number from the row count upwards
+    to half of it downwards; without it the rows are counted.
     """
-    total = df.count() if total is None else total
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_SHARE > F.lit(total))
-    hot = [r[0] for r in counts.select(key).limit(2 * HOT_SHARE).collect()]
-    if not hot:
-        return df.withColumn("_part", F.lit(0)), []
-    parts = max(HOT_PARTS, shuffle_partitions(df) // 3)
-    points = split_points(df.where(one_of(F.col(key), hot)).where(F.col(order).isNotNull()), order, parts, [key]).collect()
-    step, kind = _step(parts), df.schema[order].dataType.simpleString()
-    rows = [(k, p, p[step - 1 :: step]) for k, p in points]
-    table = df.sparkSession.createDataFrame(rows, f"_hot {df.schema[key].dataType.simpleString()}, _points array<{kind}>, _coarse array<{kind}>")
-    joined = df.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_hot")), "left")
-    return joined.withColumn("_part", range_of(F.col(order), F.col("_points"), F.col("_coarse"), step)).drop("_hot", "_points", "_coarse"), hot
+    most = range_rows(df, df.count() if total is None else total)
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(most)).collect()
+    if not counts:
+        return df.withColumn("_part", F.lit(0)).withColumn("_hot", F.lit(False)), False
+    points = split_points(df, key, order, {r[0]: 1 << max(1, math.ceil(math.log2(r[1] / most))) for r in counts})
+    return _ranged(df, key, order, points, "_part"), True
 
 
 def last_before(df: DataFrame, key: str, order: str, what: Column, total: int | None = None, unique: list[str] | None = None) -> DataFrame:
@@ -92,7 +109,7 @@ def last_before(df: DataFrame, key: str, order: str, what: Column, total: int |
     names = unique if unique is not None else df.columns
     rows = split.select(*names, "_part")
     if hot:
-        some = split.where(one_of(F.col(key), hot)).withColumn("_what", what)
+        some = split.where("_hot").withColumn("_what", what)
         ends = some.groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
         earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(key, "_part", F.last("_end", True).over(earlier).alias("_carried")).where("_carried is not null")
@@ -118,14 +135,12 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, by: list[st
     """Adds `name`: the sum of `value` over all rows (of the group `by`) before the row in order of
     `order`, from 0.
 
-    No task sees more than a range: the sums of the ranges are added up (as many rows as ranges and
-    groups), then the rows within each range. `order` is a number, not null, and should be unique.
+    No task sees more than a range, a shuffle partition's share of the rows: the sums of the ranges are added up (as many
+    rows as ranges and groups), then the rows within each range. `order` is a number, not null, and should be unique.
     """
-    by, parts = by or [], max(RUN_PARTS, shuffle_partitions(df))
-    if parts > MOST_POINTS:
-        return running_sums(df, [order], {name: value}, by)
-    points = split_points(df, order, parts).collect()[0][0] or []
-    split = df.withColumn("_part", range_among(F.col(order), points)).withColumn("_value", value)
+    by, all_ = by or [], df.withColumn("_all", F.lit(0))
+    points = split_points(all_, "_all", order, {0: max(RUN_PARTS, shuffle_partitions(df))})
+    split = _ranged(all_, "_all", order, points, "_part").drop("_all", "_hot").withColumn("_value", value)
     sums = split.groupBy(*by, "_part").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
