@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, queries, seen, stuffing, survivors, tokens
+from tidelog.llm import mixing, queries, ranking, seen, stuffing, survivors, tokens
 
 SST = "lvl int, sg int, k string, v string, seq bigint"
 DOC = "doc_id bigint, text string, source string"
@@ -73,15 +73,54 @@ def test_best_records_against_brute_force(spark):
 
 
 def test_currency_of_values_without_a_time(spark):
-    # new -> used -> sold is learned from timed rows; then groups where times are missing
-    rows = [(f"t{i}", t, v) for i in range(5) for t, v in ((1, "new"), (2, "used"), (3, "sold"))] + [("t0", 9, "new")]
-    rows += [("g", None, "used"), ("g", None, "new"), ("h", 5, "used"), ("h", None, "sold"), ("i", 5, "sold"), ("i", None, "new"), ("j", None, "odd"), ("j", None, "odd"), ("j", None, "zzz"), ("l", None, None), (None, None, "new")]
+    # z_new -> used -> a_sold is learned from timed rows; then groups where times are missing
+    rows = [(f"t{i}", t, v) for i in range(5) for t, v in ((1, "z_new"), (2, "used"), (3, "a_sold"))] + [("t0", 9, "z_new")]
+    rows += [("g", None, "used"), ("g", None, "z_new"), ("h", 5, "used"), ("h", None, "a_sold"), ("i", 5, "a_sold"), ("i", None, "z_new"), ("j", None, "odd"), ("j", None, "odd"), ("j", None, "zzz"), ("l", None, None), (None, None, "z_new")]
+    # not direct successors; nothing known of the other value
+    rows += [("m", None, "z_new"), ("m", None, "a_sold"), ("n", 5, "z_new"), ("n", None, "a_sold"), ("o", 5, "odd"), ("o", None, "a_sold"), ("p", None, "odd"), ("p", None, "a_sold")]
     table = spark.createDataFrame(rows, "k string, at bigint, owner string")
     got = {r.k: r.owner and tuple(r.owner) for r in survivors.best_records(table, "k", "at", ("owner",), None).collect()}
-    assert got["g"] == (None, "used") and got["h"] == (None, "sold") and got["i"] == (5, "sold") and got["j"] == (None, "odd")
-    assert got["l"] is None and got[None] == (None, "new") and got["t0"] == (9, "new") and got["t1"] == (3, "sold")
-    order = {tuple(r) for r in survivors.precedence(table, "k", "at", "owner").collect()}
-    assert {("new", "used"), ("used", "sold")} <= order
+    assert got["g"] == (None, "used") and got["h"] == (None, "a_sold") and got["i"] == (5, "a_sold") and got["j"] == (None, "odd")
+    assert got["l"] is None and got[None] == (None, "z_new") and got["t0"] == (9, "z_new") and got["t1"] == (3, "a_sold")
+    assert got["m"] == got["n"] == (None, "a_sold") and got["o"] == (5, "odd") and got["p"] == (None, "a_sold")
+    order = {tuple(r) for r in survivors.precedence(table, "k", "at", ("owner",)).collect()}
+    assert {("owner", "z_new", "used"), ("owner", "used", "a_sold")} <= order
+    numbers = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 5), (2, 2, 6), (3, None, 6), (3, None, 5)], "id int, at int, num int")
+    assert {r.id: r.num.val for r in survivors.best_records(numbers, "id", "at", ("num",), None).collect()} == {1: "6", 2: "6", 3: "6"}
+
+
+def brute_ranks(edges):
+    nodes = sorted({x for e in edges for x in e})
+    reach = {v: {b for a, b in edges if a == v} for v in nodes}
+    while any(reach[v] != (new := reach[v].union(*(reach[w] for w in reach[v]))) and reach.update({v: new}) is None for v in nodes):
+        pass
+    same = lambda a, b: a == b or b in reach[a] and a in reach[b]
+
+    def depth(v):
+        return max((1 + depth(u) for u in nodes if v in reach[u] and not same(u, v)), default=0)
+
+    part = {v: v for v in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    return {v: (depth(v), part[v]) for v in nodes}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from("abcdefgh")), max_size=14))
+def test_ranks_against_brute_force(edges):
+    assert ranking.rank_graph(edges) == brute_ranks(edges)
+
+
+def test_ranks_by_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(f, rng.choice("abcdefghij"), rng.choice("abcdefghij")) for f in "xy" for _ in range(11)] + [("z", str(i), str(i + 1)) for i in range(4)] + [("z", None, "1"), (None, "a", "b")]
+    table = spark.createDataFrame(edges, "fld string, a string, b string")
+    want = {(f, v): r for f in "xyz" for v, r in brute_ranks([e[1:] for e in edges if e[0] == f and None not in e]).items()}
+    assert {(r.fld, r.val): (r["rank"], r.part) for r in ranking.ranks(table).collect()} == want
+    monkeypatch.setattr(ranking, "GRAPH_EDGES", 0)
+    assert {(r.fld, r.val): (r["rank"], r.part) for r in ranking.ranks(table).collect()} == want
+    assert ranking.ranks(table.limit(0)).collect() == []
 
 
 def test_stamped_values_below_a_tombstone_are_gone(spark):

@@ -2,9 +2,10 @@
 
 A group is all rows of a key. Each field takes its most current known value. Rows with a time are
 ordered by it. For rows without a time, precedence between values is learned from all rows that have
-one: how often a value was followed by another in the same key and field. Within a group this gives a
-partial order of the values without a time and the latest one with a time; the value that none of the
-others follows is taken.
+one: how often a value was followed by another in the same key and field. Taken together these make a graph
+of values; values in a cycle are one, and the longest chain of precedence up to a value is its rank, so that a
+value ranks above all those it follows, directly or not. In a group the values without a time and the
+latest one with a time are in this order, and the topologically latest is taken.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.ranking import ranks
 from tidelog.operators.skew import last_before
 from tidelog.session import checkpoint, small
 
@@ -65,15 +67,23 @@ def after_tombstones(rows: DataFrame, key: str = "k", order: str = "seq", dead:
 SUPPORT = 2
 
 
-def precedence(rows: DataFrame, key: str, time: str, field: str, support: int = SUPPORT) -> DataFrame:
-    """(a, b): b follows a more often than a follows b, by `support`, in rows of the same key in order of time.
-    Of several values at one time the largest counts."""
-    timed = rows.where(F.col(time).isNotNull() & F.col(field).isNotNull()).groupBy(key, time).agg(F.max(field).alias(field))
-    moves = last_before(timed, key, time, F.col(field)).where(F.col("_last") != F.col(field))
-    low, high = F.least("_last", field), F.greatest("_last", field)
-    balance = moves.groupBy(low.alias("x"), high.alias("y")).agg(F.sum(F.when(F.col("_last") == low, 1).otherwise(-1)).alias("n"))
+def long(rows: DataFrame, key: str, time: str, fields: tuple[str, ...]) -> DataFrame:
+    """(_k, _t, fld, val): a row per known value."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).cast("string").alias("val")) for f in fields]))
+    return rows.select(F.col(key).alias("_k"), F.col(time).alias("_t"), each).where("val is not null")
+
+
+def precedence(rows: DataFrame, key: str, time: str, fields: tuple[str, ...], support: int = SUPPORT) -> DataFrame:
+    """(fld, a, b): b follows a more often than a follows b, by `support`, in rows of the same key in order of time.
+    Of several values at one time the largest counts. All fields are learned in one pass; a key that holds many rows is split."""
+    timed = long(rows, key, time, fields).where("_t is not null").groupBy("_k", "fld", "_t").agg(F.max("val").alias("val"))
+    one = F.concat_ws("/", "fld", F.when(F.col("_k").isNull(), "null").otherwise(F.concat(F.lit("key "), F.col("_k").cast("string"))))
+    timed = checkpoint(timed.select("fld", "_t", "val", one.alias("_one")))  # read for its hot keys, their ranges, and the moves
+    moves = last_before(timed, "_one", "_t", F.col("val")).where(F.col("_last") != F.col("val"))
+    low, high = F.least("_last", "val"), F.greatest("_last", "val")
+    balance = moves.groupBy("fld", low.alias("x"), high.alias("y")).agg(F.sum(F.when(F.col("_last") == low, 1).otherwise(-1)).alias("n"))
     up = F.col("n") > 0
-    return balance.where(F.abs("n") >= support).select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"))
+    return balance.where(F.abs("n") >= support).select("fld", F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tuple[str, ...] = FIELDS, dead: str | None = "dead") -> DataFrame:
@@ -81,36 +91,34 @@ def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tup
 
     val is the known value (non-null) at the highest time; at equal times the largest value. Rows not
     newer than the newest dead row supply nothing. Where rows without a time know the field, their
-    values and the timed one are compared by the learned precedence: values that another of the group
-    follows are left out, of the rest the timed one comes first, then the one with more rows, then the
-    largest; in a cycle, where all are followed, the same order decides. t is null if the value has no
+    values and the timed one are compared by their rank in the learned precedence. Values that nothing learned connects
+    with the timed one can't be told from it and give way to it; of the others the one of the highest rank is taken, at equal ranks
+    the timed one first, then the one with more rows, then the largest. t is null if the value has no
     time. Rows without a time are never dead. A null key is a group like any other. Extra columns are
     ignored; an empty table gives an empty one.
 
-    The groups are aggregated before the shuffle, so that a hot key costs one row per task; untimed
-    values are joined by (key, value), not by key alone.
+    The groups are aggregated before the shuffle, so that a hot key costs one row per task; values without a time are
+    joined with one rank each, by value.
     """
     timed = F.col(time).isNotNull()
     tomb = F.max(F.when(F.col(dead), F.col(time))) if dead else F.max(F.when(F.lit(False), F.col(time)))
-    tops = [F.max(F.when(timed & F.col(f).isNotNull(), F.struct(F.col(time).alias("t"), F.col(f).alias("val")))).alias(f) for f in fields]
+    tops = [F.max(F.when(timed & F.col(f).isNotNull(), F.struct(F.col(time).alias("t"), F.col(f).cast("string").alias("val")))).alias(f) for f in fields]
     best = rows.groupBy(key).agg(F.count("*").alias("n"), tomb.alias("_tomb"), *tops)
     best = best.select(key, "n", *[F.when(F.col("_tomb").isNull() | (F.col(f"{f}.t") > F.col("_tomb")), F.col(f)).alias(f) for f in fields])
-    untimed = rows.where(~timed)
-    if not untimed.limit(1).count():
-        return best
-    best = checkpoint(best)  # read twice for each field: else the plan doubles with every one
-    for f in fields:
-        loose = untimed.where(F.col(f).isNotNull()).groupBy(key, F.col(f).alias("val")).agg(F.count("*").alias("c"))
-        held = best.where(F.col(f).isNotNull()).select(key, F.col(f"{f}.val").alias("val"), F.col(f"{f}.t").alias("t"), F.lit(0).alias("c"))
-        held = held.join(loose.select(key, F.lit(True).alias("_x")).distinct().withColumnRenamed(key, "_lk"), F.col(key).eqNullSafe(F.col("_lk")), "left_semi")
-        all_ = held.unionByName(loose.withColumn("t", F.lit(None).cast(rows.schema[time].dataType))).groupBy(key, "val").agg(F.max("t").alias("t"), F.sum("c").alias("c"))
-        after = all_.select(key, "val").join(precedence(rows, key, time, f), F.col("val") == F.col("a")).select(F.col(key).alias("_k"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        beaten = after.join(all_.select(F.col(key).alias("_g"), F.col("val").alias("_v")), F.col("_k").eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_v"))).select("_k", "_a").distinct().withColumn("_beaten", F.lit(True))
-        ranked = all_.join(beaten, F.col(key).eqNullSafe(F.col("_k")) & (F.col("val") == F.col("_a")), "left")
-        order = F.struct(F.col("_beaten").isNull(), F.col("t").isNotNull(), F.col("c"), F.col("val"))
-        pick = ranked.groupBy(F.col(key).alias("_pk")).agg(F.max_by(F.struct("t", "val"), order).alias("_pick"))
-        best = checkpoint(best.join(pick, F.col(key).eqNullSafe(F.col("_pk")), "left").withColumn(f, F.coalesce("_pick", f)).drop("_pk", "_pick"))
-    return best
+    ranked = small(ranks(precedence(rows, key, time, fields))).withColumnsRenamed({"fld": "_f", "val": "_v"})
+    with_rank = lambda d: d.join(ranked, (F.col("fld") == F.col("_f")) & (F.col("val") == F.col("_v")), "left").drop("_f", "_v")
+    loose = with_rank(long(rows.where(~timed), key, time, fields).groupBy("_k", "fld", "val").agg(F.count("*").alias("c")))
+    held = long(best.select(key, F.lit(None).alias("_no"), *[F.col(f"{f}.val").alias(f) for f in fields]), key, "_no", fields).select("_k", "fld", "val")
+    held = with_rank(held).select(F.col("_k").alias("_hk"), F.col("fld").alias("_hf"), F.col("val").alias("_hv"), F.col("part").alias("_hp"), F.col("rank").alias("_hr"))
+    both = loose.join(held, F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("fld") == F.col("_hf")), "left")
+    # a value without a time takes the place of the timed one only if it is known to be later
+    later = F.col("_hv").isNull() | (F.col("part") == F.col("_hp")) & (F.col("rank") > F.col("_hr"))
+    order = F.struct(F.coalesce("rank", F.lit(0)), "c", "val")
+    pick = both.where(later).groupBy("_k", "fld").agg(F.max_by("val", order).alias("val"))
+    wide = pick.groupBy("_k").agg(*[F.max(F.when(F.col("fld") == f, F.col("val"))).alias(f"_{f}") for f in fields])
+    out = best.join(wide, F.col(key).eqNullSafe(F.col("_k")), "left")
+    none = F.lit(None).cast(rows.schema[time].dataType)
+    return out.select(key, "n", *[F.when(F.col(f"_{f}").isNotNull(), F.struct(none.alias("t"), F.col(f"_{f}").alias("val"))).otherwise(F.col(f)).alias(f) for f in fields])
 
 
 def by_field(best: DataFrame, key: str = "k", fields: tuple[str, ...] = FIELDS, time: str = "seq") -> DataFrame:
