@@ -12,6 +12,7 @@ from tidelog.operators.changes import apply_changes
 from tidelog.operators.compaction import compact_log_files, footer_of
 from tidelog.operators.incremental import Increments, covered_batches, pending_changes
 from tidelog.operators.lsm import healed_manifest
+from tidelog.operators.membership import may_be_among
 from tidelog.plans import p_queries
 from tidelog.plans.p_queries import consolidate
 from tidelog.session import work_dir
@@ -257,6 +258,15 @@ def test_ranges_follow_the_rows_of_a_key(spark, monkeypatch):
     assert max(gaps) < 3 * 7 * n / 64
 
 
+def test_rows_that_may_be_among_members(spark):
+    table = spark.range(200_000).select(F.col("id").cast("string").alias("k"), F.lit("clash").alias("_word"))
+    some = table.where("k % 500 = 7").unionByName(spark.createDataFrame([(None, None)], "k string, _word string"))
+    hash_ = lambda: F.when(F.col("k").isNotNull(), F.xxhash64("k"))
+    got = may_be_among(table.unionByName(some), hash_(), some, hash_())
+    assert got.where("k % 500 = 7").count() == 800 and got.count() < 850 and got.columns == table.columns
+    assert may_be_among(table, hash_(), some.limit(0), hash_()).count() == 0
+
+
 def test_running_sums(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("xy"), rng.randrange(9), f"{rng.random():.5f}") for i in rng.sample(range(10**6), 2000)]
