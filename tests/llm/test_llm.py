@@ -171,6 +171,8 @@ def test_seen_against_brute_force(spark):
     report = out.report().first()
     assert report.false_negatives == 0 and report.false_positives > 0 and report.keys_held <= 500
     assert 0.2 * report.fp_theory < report.fp_audited < 4 * report.fp_theory and report.bits_per_key < 16
+    told = {r.in_id for r in out.told.collect()}
+    assert told >= want and len(told - want) == report.false_positives
     few = seen.seen_before(left, right)
     assert sorted(r.in_id for r in few.rows.collect()) == sorted(want)
     nothing = seen.seen_before(left.limit(0), right)
@@ -202,6 +204,35 @@ def test_set_is_extended(spark):
     assert seen.extended(held, keys(0, 0)).blocks.count() == held.blocks.count()
 
 
+def test_groups_of_asked_keys_are_bounded(spark, monkeypatch):
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("k"))
+    held = seen.build(keys(0, 5000))
+    monkeypatch.setattr(seen, "ASK_ROWS", 4000)
+    groups, subs = seen.asked_groups(held, keys(0, 200_000), "k")
+    assert held.blocks.count() == 1 and subs == 50
+    assert groups.groupBy("_block", "_sub").count().agg(F.max("count")).first()[0] < 4600
+    found = seen.probe(held, keys(0, 200_000)).where("maybe")
+    assert found.where("cast(k as int) < 5000").count() == 5000 and found.count() < 5200
+    # an extension by many keys is cut into more blocks
+    more = seen.extended(held, keys(5000, 120_000))
+    assert more.block_bits > held.block_bits and more.blocks.agg(F.max("n")).first()[0] < 2 * seen.BLOCK_KEYS
+    assert seen.probe(more, keys(0, 120_000)).where("not maybe").count() == 0
+    same = seen.divided(held, 3)
+    assert same.blocks.count() == 8 and same.blocks.agg(F.sum("n")).first()[0] == held.blocks.agg(F.sum("n")).first()[0]
+    assert seen.probe(same, keys(0, 5000)).where("not maybe").count() == 0
+
+
+def test_check_shuffles_no_unasked_keys(spark, monkeypatch):
+    left = spark.range(100_000).select(F.col("id").cast("string").alias("k"))
+    right = spark.range(50).select(F.col("id").alias("in_id"), (F.col("id") + 99_975).cast("string").alias("k"))
+    out = seen.seen_before(left, right)
+    assert sorted(r.in_id for r in out.rows.collect()) == list(range(25))
+    plan = out.confirmed._jdf.queryExecution().executedPlan().toString()
+    scan = [x for x in plan.splitlines() if "Range (0, 100000" in x][0].index("Range")
+    above = [x.strip(" :+-*()0123456789") for x in plan[: plan.index("Range (0, 100000")].splitlines()]
+    assert scan and [x.split()[0] for x in above if x.startswith(("BroadcastHashJoin", "Exchange"))][-1] == "BroadcastHashJoin"
+
+
 # ---- tokens
 
 ODD = ["", None, " ", "a", "naïve 数据 🙂🙂", "<|endoftext|> is text", "\n\n\t  x", "é", "ﬀ​﻿", "\x00\x01", "word " * 30_000, "x" * 200_000, "🙂" * 3000]

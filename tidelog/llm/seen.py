@@ -4,7 +4,8 @@ Hashes of the earlier keys are reduced to a range of about 2^fp_bits times their
 range into blocks of some thousand; a block holds the gaps between its hashes, Golomb-Rice coded (the
 quotients in unary, then the remainders in fixed bits): about fp_bits + 1.5 bits a key. An incoming key's
 hash names its block, only blocks that are asked for are decoded. A key that was there is always found; a
-new one is taken for seen at a rate of about 2^-fp_bits.
+new one is taken for seen at a rate of about 2^-fp_bits. No task holds more than a few blocks, and ASK_ROWS keys that are
+asked of one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators.membership import may_be_among
 from tidelog.session import checkpoint
 
 FP_BITS = 12
 #: Hashes in a block, about.
 BLOCK_KEYS = 8192
+#: Keys asked of a block in one task, about; a block that more are asked of goes to several tasks.
+ASK_ROWS = 65_536
 BLOCKS = "block bigint, n int, rice int, unary int, bits binary"
 
 
@@ -93,7 +97,7 @@ def build(keys: DataFrame, key: str = "k", fp_bits: int = FP_BITS, size: int | N
     if size is None:
         size = keys.where(F.length(key) > 0).agg(F.approx_count_distinct(key, 0.02)).first()[0]
     bits = min(63, max(8, math.ceil(math.log2(max(size, 1)))) + fp_bits)
-    block_bits = max(0, math.ceil(math.log2(max(size, 1) / BLOCK_KEYS)))
+    block_bits = _block_bits(size)
     made = GolombSet(None, bits, block_bits)
     sorted_ = _hashes(made, keys, key).repartition(F.col("block")).sortWithinPartitions("block", "r")
     low = bits - block_bits
@@ -118,19 +122,45 @@ def build(keys: DataFrame, key: str = "k", fp_bits: int = FP_BITS, size: int | N
     return made
 
 
+def _block_bits(size: int) -> int:
+    """Bits of a block's number for so many keys."""
+    return max(0, math.ceil(math.log2(max(size, 1) / BLOCK_KEYS)))
+
+
+def _decoded(blocks, i: int) -> np.ndarray:
+    return decode_block(blocks["bits"][i].as_py(), blocks["n"][i].as_py(), blocks["rice"][i].as_py(), blocks["unary"][i].as_py())
+
+
+def divided(held: GolombSet, block_bits: int) -> GolombSet:
+    """The same set in more blocks: each is cut by the upper bits of its hashes. No shuffle."""
+    more, low = block_bits - held.block_bits, held.bits - block_bits
+
+    def cut(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                values, block = _decoded(b, i), b["block"][i].as_py()
+                at = np.searchsorted(values, np.arange(1, 1 << more) << low)
+                for j, part in enumerate(np.split(values, at)):
+                    if len(part):
+                        yield _encoded((block << more) + j, part - (j << low), low)
+
+    return GolombSet(held.blocks.mapInArrow(cut, BLOCKS), held.bits, block_bits) if more > 0 else held
+
+
 def extended(held: GolombSet, keys: DataFrame, key: str = "k") -> GolombSet:
     """The set with more keys, e.g. those that have just come in: only blocks that get some are decoded and
-    coded anew. The range stays, so false positives grow with the keys; build anew with twice the size when the rate
-    that the set reports is too high."""
+    coded anew, in more blocks if they grow too large. The range stays, so false positives grow with the keys; build anew
+    with twice the size when the rate that the set reports is too high."""
+    keys = checkpoint(keys.where(F.length(key) > 0).select(key).distinct())
+    size = keys.count() + (held.blocks.agg(F.sum("n")).first()[0] or 0)
+    held = divided(held, max(held.block_bits, min(_block_bits(size), held.bits - 1)))
     low = held.bits - held.block_bits
     new = _hashes(held, keys, key)
 
     def merge(left, right):
         import pyarrow as pa
 
-        values = [left["r"].to_numpy()]
-        for i in range(right.num_rows):
-            values.append(decode_block(right["bits"][i].as_py(), right["n"][i].as_py(), right["rice"][i].as_py(), right["unary"][i].as_py()))
+        values = [left["r"].to_numpy(), *[_decoded(right, i) for i in range(right.num_rows)]]
         return pa.Table.from_batches([_encoded(left["block"][0].as_py(), np.unique(np.concatenate(values)), low)])
 
     touched = new.select("block").distinct()
@@ -138,12 +168,22 @@ def extended(held: GolombSet, keys: DataFrame, key: str = "k") -> GolombSet:
     return GolombSet(checkpoint(held.blocks.join(touched, "block", "left_anti").unionByName(merged)), held.bits, held.block_bits)
 
 
-def probe(held: GolombSet, asked: DataFrame, key: str = "k") -> DataFrame:
-    """`asked` (rows of distinct keys) with `maybe`: whether the key is in the set, never wrongly false."""
-    low = held.bits - held.block_bits
+def asked_groups(held: GolombSet, asked: DataFrame, key: str, size: int | None = None) -> tuple[DataFrame, int]:
+    """`asked` with `_block`, `_r`, the place in it, and `_sub` below the number returned: with `size` keys or fewer about
+    ASK_ROWS have the same _block and _sub."""
+    size = asked.count() if size is None else size
+    subs = max(1, -(-size // (ASK_ROWS << held.block_bits)))
     reduced = held.reduced(F.col(key))
+    within = reduced.bitwiseAND(F.lit((1 << (held.bits - held.block_bits)) - 1))
+    sub = F.pmod(F.xxhash64(key, F.lit("sub")), F.lit(subs)).cast("int") if subs > 1 else F.lit(0)
+    return asked.withColumn("_r", within).withColumn("_block", held.block(reduced)).withColumn("_sub", sub), subs
+
+
+def probe(held: GolombSet, asked: DataFrame, key: str = "k", size: int | None = None) -> DataFrame:
+    """`asked` (rows of distinct keys) with `maybe`: whether the key is in the set, never wrongly false. `size`: how many rows at
+    most, else they are counted."""
     names = asked.columns
-    asked = asked.withColumn("_r", reduced.bitwiseAND(F.lit((1 << low) - 1))).withColumn("_block", held.block(reduced))
+    groups, subs = asked_groups(held, asked, key, size)
     kinds = ", ".join(f"`{n}` {asked.schema[n].dataType.simpleString()}" for n in names)
 
     def look(left, right):
@@ -152,24 +192,26 @@ def probe(held: GolombSet, asked: DataFrame, key: str = "k") -> DataFrame:
         n = left.num_rows
         hit = np.zeros(n, dtype=bool)
         if n and right.num_rows:
-            values = decode_block(right["bits"][0].as_py(), right["n"][0].as_py(), right["rice"][0].as_py(), right["unary"][0].as_py())
-            r = left["_r"].to_numpy()
+            values, r = _decoded(right, 0), left["_r"].to_numpy()
             at = np.minimum(np.searchsorted(values, r), len(values) - 1)
             hit = values[at] == r
         return left.select(names).append_column("maybe", pa.array(hit))
 
-    return asked.groupBy("_block").cogroup(held.blocks.groupBy("block")).applyInArrow(look, f"{kinds}, maybe boolean")
+    blocks = held.blocks.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))) if subs > 1 else F.lit(0))
+    return groups.groupBy("_block", "_sub").cogroup(blocks.groupBy("block", "sub")).applyInArrow(look, f"{kinds}, maybe boolean")
 
 
 @dataclass
 class Seen:
     """held: the set of the earlier keys. first: (k, id, maybe), the first row of each incoming key, with the
-    set's answer. confirmed: those of them that did occur. rows: every incoming row that was seen before."""
+    set's answer. confirmed: those of them that did occur. rows: every incoming row that was seen before. told: every row
+    that the set alone takes for seen: all of `rows`, and others at the rate that it reports."""
 
     held: GolombSet
     first: DataFrame
     confirmed: DataFrame
     rows: DataFrame
+    told: DataFrame
 
     def report(self) -> DataFrame:
         """One row: keys held and bits a key; keys asked; the rate of false positives in theory and as audited
@@ -190,15 +232,19 @@ def seen_before(earlier: DataFrame, incoming: DataFrame, key: str = "k", order:
     (unique, not null). Null and empty keys are never seen. Keys are compared byte by byte.
 
     Of each incoming key, aggregated before the shuffle, only the first row is asked of the set; all later
-    ones are seen. What the set finds is then checked against the earlier keys, so the answer is exact; with
-    `audit`, all first rows are checked, to count the set's wrong answers. The rows that are new, one per
-    key, are taken off by their unique id, so that a hot key is never shuffled to one task.
+    ones are seen: incoming keys are grouped anyway, so the set need not hold them. What the set finds is then checked against
+    the earlier keys, so the answer is exact; with `audit`, all first rows are checked, to count the set's wrong answers. The
+    check reads the earlier keys once more and shuffles only those whose hash is among the hashes to check. The rows that are
+    new, one per key, are taken off by their unique id, so that a hot key is never shuffled to one task.
     """
     held = build(earlier, key, fp_bits)
     named = incoming.where(F.length(key) > 0)
     first = named.groupBy(F.col(key).alias("k")).agg(F.min(order).alias("id"))
-    answers = checkpoint(probe(held, first, "k"))
+    answers = checkpoint(probe(held, first, "k", incoming.count()))
     to_check = answers if audit else answers.where("maybe")
-    confirmed = to_check.join(earlier.where(F.length(key) > 0).select(F.col(key).alias("k")).distinct(), "k", "left_semi")
+    known = earlier.where(F.length(key) > 0).select(F.col(key).alias("k"))
+    near = may_be_among(known, F.xxhash64("k"), to_check, F.xxhash64("k"))
+    confirmed = to_check.join(near.distinct(), "k", "left_semi")
     new = answers.select("id").join(confirmed.select("id"), "id", "left_anti")
-    return Seen(held, answers, confirmed, named.join(new, named[order] == new["id"], "left_anti"))
+    without = lambda some: named.join(some, named[order] == some["id"], "left_anti")
+    return Seen(held, answers, confirmed, without(new), without(answers.where("not maybe").select("id")))
