@@ -51,7 +51,7 @@ def test_store_against_a_dict(spark, tmp_path, flush_at, monkeypatch):
     def dies(*_):
         raise OSError("lost")
 
-    monkeypatch.setattr(module, "write_whole", dies)
+    monkeypatch.setattr(module, "write_new", dies)
     with pytest.raises(OSError):
         again.write(spark.createDataFrame([(0, "P", "a", "never")], KINDS))
     monkeypatch.undo()

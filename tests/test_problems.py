@@ -3,14 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidelog import schema
 from tidelog.functions.records import encode
 from tidelog.operators import skew
 from tidelog.operators.changes import apply_changes
-from tidelog.operators.compaction import compact_log_files, footer_of
-from tidelog.operators.incremental import Increments, covered_batches, pending_changes
+from tidelog.operators.compaction import compact_log_files, first_seq, footer_of
+from tidelog.operators.incremental import Increments, covered_batches, maybe_open, pending_changes
 from tidelog.operators.lsm import healed_manifest
 from tidelog.operators.membership import may_be_among
 from tidelog.plans import p_queries
@@ -108,7 +109,7 @@ def test_runs_survive_failures(spark, tmp_path):
     table = lambda some: spark.createDataFrame(some, "k string, seq bigint").withColumn("low", F.lit("clash"))
     with pytest.raises(OSError):
         runs.run(table(rows), dies)
-    assert runs.committed() == []
+    assert runs.last() is None
     assert runs.run(table([*rows, rows[0]]), process, oldest_open=3) == 0
     assert runs.run(table([*rows, ("d", 3), ("e", 9)]), process, oldest_open=9) == 1
     assert runs.run(table([*rows, ("d", 3), ("e", 9)]), process) == 2
@@ -116,6 +117,36 @@ def test_runs_survive_failures(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, table([*rows, ("d", 3), ("e", 9)]).select("k", "seq").collect()))
 
 
+def test_runs_read_from_the_oldest_open_record(spark, tmp_path, monkeypatch):
+    source = f"file://{tmp_path}/source"
+    spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("seq")).repartitionByRange(10, "seq").write.parquet(source)
+    runs, taken = Increments(spark, f"file://{tmp_path}/runs"), []
+    run = lambda upto, low: runs.run(spark.read.parquet(source).where(F.col("seq") < upto), lambda b, n: taken.append(b.count()), low)
+    run(300, 250)
+    run(700, 650)
+    plan = runs.pending(spark.read.parquet(source))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(seq,650)") >= 2
+    assert [p["path"][:9] for p in runs.last()["ledger"]] == ["batches/1"]
+    monkeypatch.setattr("tidelog.operators.incremental.LEDGER_BATCHES", 1)
+    run(900, 650)
+    assert [p["path"] for p in runs.last()["ledger"]] == ["ledger/2"]
+    run(1000, 650)
+    run(1000, 650)
+    assert taken == [300, 400, 200, 100, 0]
+    other = Increments(spark, runs.folder)
+    with pytest.raises(FileExistsError):
+        other.run(spark.read.parquet(source), lambda b, n: runs.run(spark.read.parquet(source), lambda *_: None, 650), 650)
+
+
+def test_covered_batches_are_not_read(spark):
+    runs = [(1, 0, 1, 4, "done"), (2, 1, 1, 6, "done"), (3, 0, 6, 7, "done")]
+    covered = covered_batches(spark.createDataFrame(runs, RUN))
+    log = spark.createDataFrame([(s, b) for s in (0, 1, 2, None) for b in (0, 1, 3, 4, 5, 7, None)], "shard int, batch_no int")
+    left = {tuple(r) for r in log.where(~maybe_open(covered)).collect()}
+    assert left == {(s, b) for s in (0, 1) for b in (1, 3, 4)}
+    assert log.where(maybe_open(covered.limit(0))).count() == log.count()
+
+
 def wal_rows(rng):
     """Files with copies of records, torn and damaged ones; the records that can be read from them."""
     seq, files, want, pool = 0, [], {}, []
@@ -157,6 +188,36 @@ def test_compaction_against_brute_force(spark):
     assert all(b <= 4096 + max(len(c or b"") for _, _, c in files) for b in records)
 
 
+def test_first_sequence_number(spark):
+    good = encode("P", "k", "v", 12345) + encode("P", "k", "w", 99)
+    cases = [(good, 12345), (good[:-3], 12345), (b"", 0), (None, 0), (b"\x07", 0), (bytes(64), 0), (b"\xff" * 64, 0), (b"\x09\0\0\0" + b"\xff" * 9, 0)]
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary").select("i", first_seq(F.col("content")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: x for i, (_, x) in enumerate(cases)}
+
+
+def test_contents_are_shuffled_once(spark, monkeypatch):
+    """Without any broadcast by size: one exchange of contents, and no join of them by file."""
+    files, want = wal_rows(random.Random(5))
+    table = spark.createDataFrame(files + [(f"logs/s1/copy{i}.wal", None, files[0][2]) for i in range(200)], schema.WAL_FILE)
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def seen(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = compact_log_files(table, target=2048)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.seq for r in out.sequence_numbers().collect()) == sorted(want)
+    # the other exchange is of the table of bits that is broadcast
+    assert plans[-1].count("Exchange hashpartitioning(bin#") == 1 and plans[-1].count("Exchange hashpartitioning") == 2
+    assert "SortMergeJoin" not in plans[-1]
+
+
 def test_compaction_of_nothing(spark):
     empty = spark.createDataFrame([], schema.WAL_FILE)
     assert compact_log_files(empty).sequence_numbers().collect() == []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.skew import running_sums
 from tidelog.session import work_dir
-from tidelog.sources.files import opened, read_whole, write_whole
+from tidelog.sources.files import opened, read_whole, write_new
 
 #: Size of the next level, in sizes of the one above.
 RATIO = 10
@@ -123,7 +123,7 @@ class Levels:
         return json.loads(read_whole(f"{self.folder}/versions/{version:012d}.json")) if version else []
 
     def _commit(self, parts: list[dict]) -> None:
-        write_whole(f"{self.folder}/versions/{self.version() + 1:012d}.json", [json.dumps(parts).encode()])
+        write_new(f"{self.folder}/versions/{self.version() + 1:012d}.json", json.dumps(parts).encode())
 
     def entries(self, version: int | None = None) -> DataFrame:
         parts = self.live(version)

@@ -84,13 +84,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_changes(table(spark, sf_dir, "kv_log"), table(spark, sf_dir, "run_log")).select("seq")
 
 
+def open_marks(log: DataFrame, ends: tuple[int, ...]) -> list[int]:
+    """For each of the batches `ends`, the least seq of a change that first arrives after it, as the source that has the open
+    changes would tell it; beyond the last change where none does."""
+    first = log.groupBy("seq").agg(F.min("batch_no").alias("batch_no"))
+    own = first.agg(*[F.coalesce(F.min(F.when(F.col("batch_no") > end, F.col("seq"))), F.max("seq") + 1) for end in ends]).first()
+    return [x or 0 for x in own]
+
+
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three runs over the growing log, each with all deliveries up to a batch: the run that took up each change."""
+    """Three runs over the growing log, each with all deliveries up to a batch, from the oldest change that was open when
+    the run before it ended: the run that took up each change."""
     log = table(spark, sf_dir, "kv_log")
+    valid = changes(log, "batch_no").select("k", "seq", "batch_no")
     runs, folder = Increments(spark, work_dir(spark, "runs")), work_dir(spark, "taken")
-    for last in RUN_ENDS:
-        arrived = changes(log.where(F.col("batch_no") <= last)).select("k", "seq")
-        runs.run(arrived, lambda batch, n: batch.withColumn("run", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}"))
+    for last, low in zip(RUN_ENDS, open_marks(valid, RUN_ENDS)):
+        arrived = valid.where(F.col("batch_no") <= last).select("k", "seq")
+        runs.run(arrived, lambda batch, n: batch.withColumn("run", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}"), low)
     return spark.read.parquet(*[f"{folder}/n={n}" for n in range(len(RUN_ENDS))]).select("seq", "run")
 
 

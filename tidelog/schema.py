@@ -24,16 +24,16 @@ def valid_change(op: Column, k: Column, v: Column) -> Column:
     return F.coalesce((F.length(k) > 0) & ((op == PUT) & v.isNotNull() | (op == DELETE)), F.lit(False))
 
 
-def requests(kv_log: DataFrame) -> DataFrame:
+def requests(kv_log: DataFrame, *more: str) -> DataFrame:
     """(seq, op, k, v) of every delivery that asks for something: valid changes, and gets of any key.
 
-    A delete's value is dropped. Rows without `seq` have no place in the log and are left out.
+    A delete's value is dropped. `more`: other columns to keep. Rows without `seq` have no place in the log and are left out.
     """
-    r = kv_log.select("seq", operation(F.col("op")).alias("op"), "k", "v")
+    r = kv_log.select("seq", operation(F.col("op")).alias("op"), "k", "v", *more)
     r = r.where(F.col("seq").isNotNull() & (valid_change(F.col("op"), F.col("k"), F.col("v")) | (F.col("op") == GET)))
     return r.withColumn("v", F.when(F.col("op") == PUT, F.col("v")))
 
 
-def changes(kv_log: DataFrame) -> DataFrame:
+def changes(kv_log: DataFrame, *more: str) -> DataFrame:
     """(seq, op, k, v) of every delivery of a valid change."""
-    return requests(kv_log).where(F.col("op") != GET)
+    return requests(kv_log, *more).where(F.col("op") != GET)

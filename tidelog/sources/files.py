@@ -41,6 +41,28 @@ def write_whole(uri: str, pieces: Iterable) -> int:
     return n
 
 
+def write_new(uri: str, data: bytes) -> None:
+    """Writes a file that is not there yet, whole or not at all; FileExistsError if another has written it. On a local
+    disk a link decides, elsewhere a renaming that does not replace, as in HDFS; where renaming replaces, one writer at a time."""
+    from pyarrow import fs
+
+    system, path = opened(uri)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    aside = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside, compression=None) as out:
+        out.write(data)
+    if isinstance(system, fs.LocalFileSystem):
+        try:
+            os.link(aside, path)
+        finally:
+            os.unlink(aside)
+    elif system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_file(aside)
+        raise FileExistsError(uri)
+    else:
+        system.move(aside, path)
+
+
 def read_whole(uri: str) -> bytes:
     system, path = opened(uri)
     with system.open_input_file(path) as f:

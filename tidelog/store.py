@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import kv, lsm
 from tidelog.operators.skew import running_sum
 from tidelog.schema import GET, operation, valid_change
-from tidelog.sources.files import opened, read_whole, write_whole
+from tidelog.sources.files import opened, read_whole, write_new
 
 #: Bytes of log after which a write flushes.
 FLUSH_AT = 1 << 30
@@ -68,7 +68,7 @@ class Store:
         written = self.spark.read.schema(f"ord bigint, {LOG}").parquet(staged)
         size = written.agg(F.coalesce(F.sum(kv.record_size(F.col("op"), F.col("k"), F.col("v"))), F.lit(0))).first()[0]
         older = kv.newest(self.log())
-        write_whole(f"{self.folder}/commits/{part}.json", [json.dumps({"part": part, "end": end + size}).encode()])
+        write_new(f"{self.folder}/commits/{part}.json", json.dumps({"part": part, "end": end + size}).encode())
         gets = r.where(F.coalesce(F.col("op") == GET, F.lit(False)))
         answers = self._answers(written.select("ord", "seq", "op", "k", "v").unionByName(gets.select("ord", F.lit(None).cast("bigint").alias("seq"), "op", "k", F.lit(None).cast("string").alias("v"))), older)
         bad = r.where(~valid_change(F.col("op"), F.col("k"), F.col("v")) & ~F.coalesce(F.col("op") == GET, F.lit(False)))
