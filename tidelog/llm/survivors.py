@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.ranking import ranks
+from tidelog.operators.membership import may_be_among
 from tidelog.operators.skew import last_before
 from tidelog.session import checkpoint, small
 
@@ -101,14 +102,21 @@ def best_records(rows: DataFrame, key: str = "k", time: str = "seq", fields: tup
     joined with one rank each, by value.
     """
     timed = F.col(time).isNotNull()
-    tomb = F.max(F.when(F.col(dead), F.col(time))) if dead else F.max(F.when(F.lit(False), F.col(time)))
-    tops = [F.max(F.when(timed & F.col(f).isNotNull(), F.struct(F.col(time).alias("t"), F.col(f).cast("string").alias("val")))).alias(f) for f in fields]
-    best = rows.groupBy(key).agg(F.count("*").alias("n"), tomb.alias("_tomb"), *tops)
-    best = best.select(key, "n", *[F.when(F.col("_tomb").isNull() | (F.col(f"{f}.t") > F.col("_tomb")), F.col(f)).alias(f) for f in fields])
+
+    def newest(some: DataFrame) -> DataFrame:
+        tomb = F.max(F.when(F.col(dead), F.col(time))) if dead else F.max(F.when(F.lit(False), F.col(time)))
+        tops = [F.max(F.when(timed & F.col(f).isNotNull(), F.struct(F.col(time).alias("t"), F.col(f).cast("string").alias("val")))).alias(f) for f in fields]
+        top = some.groupBy(key).agg(F.count("*").alias("n"), tomb.alias("_tomb"), *tops)
+        return top.select(key, "n", *[F.when(F.col("_tomb").isNull() | (F.col(f"{f}.t") > F.col("_tomb")), F.col(f)).alias(f) for f in fields])
+
+    best = newest(rows)
     ranked = small(ranks(precedence(rows, key, time, fields))).withColumnsRenamed({"fld": "_f", "val": "_v"})
     with_rank = lambda d: d.join(ranked, (F.col("fld") == F.col("_f")) & (F.col("val") == F.col("_v")), "left").drop("_f", "_v")
     loose = with_rank(long(rows.where(~timed), key, time, fields).groupBy("_k", "fld", "val").agg(F.count("*").alias("c")))
-    held = long(best.select(key, F.lit(None).alias("_no"), *[F.col(f"{f}.val").alias(f) for f in fields]), key, "_no", fields).select("_k", "fld", "val")
+    # the timed values that they meet: of keys without such values nothing is shuffled once more
+    named = lambda k: F.xxhash64(k.cast("string"))
+    met = newest(may_be_among(rows, named(F.col(key)), rows.where(~timed), named(F.col(key))))
+    held = long(met.select(key, F.lit(None).alias("_no"), *[F.col(f"{f}.val").alias(f) for f in fields]), key, "_no", fields).select("_k", "fld", "val")
     held = with_rank(held).select(F.col("_k").alias("_hk"), F.col("fld").alias("_hf"), F.col("val").alias("_hv"), F.col("part").alias("_hp"), F.col("rank").alias("_hr"))
     both = loose.join(held, F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("fld") == F.col("_hf")), "left")
     # a value without a time takes the place of the timed one only if it is known to be later
