@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import layout
 from tidelog.functions.crc32c import BLOCK, crc32c, crc32c_ranges
-from tidelog.functions.records import CLEAN, CORRUPTED, CUT_OFF, PADDING, decode, encode, ranges_of, scan
+from tidelog.functions.records import CLEAN, CORRUPTED, CUT_OFF, PADDING, decode, decode_batch, encode, encode_batch, ranges_of, scan
 from tidelog.functions.segments import ends_after, segment_name
 
 # records as bytes: operation, key, value, sequence number, hex. Fixed values.
@@ -175,6 +175,45 @@ def test_too_large_for_a_segment():
     assert w.next_lsn == 0
 
 
+OPS = st.lists(st.tuples(st.text(min_size=1, max_size=8), st.none() | st.text(max_size=300), st.integers(0, (1 << 63) - 1)), max_size=30)
+
+
+@settings(max_examples=60, deadline=None)
+@given(OPS)
+def test_batches_are_as_single_records(ops):
+    columns = [["D" if v is None else "P" for _, v, _ in ops], *([x[i] for x in ops] for i in range(3))]
+    arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))]
+    records, crc = encode_batch(*arrays)
+    want = [encode(*r) for r in zip(*columns)]
+    assert records.to_pylist() == want and crc.tolist() == [struct.unpack_from("<I", r, 4)[0] for r in want]
+    buffer, begin, size = ranges_of(records)
+    good, op, k, v, seq = decode_batch(buffer, begin, size)
+    assert good.all() and [op.to_pylist(), k.to_pylist(), v.to_pylist(), seq.tolist()] == columns
+    # any damage: what is no record is told, the others are as they are
+    raw = bytearray(b"".join(want))
+    for i in range(0, len(raw), 7):
+        raw[i] ^= 0x81
+    good, op, k, v, seq = decode_batch(np.frombuffer(bytes(raw), np.uint8), begin, size)
+    single = [decode(bytes(raw), a, n) for a, n in zip(begin.tolist(), size.tolist())]
+    assert good.tolist() == [x is not None for x in single]
+    rows = list(zip(op.to_pylist(), k.to_pylist(), v.to_pylist(), [x % (1 << 64) for x in seq.tolist()]))
+    assert [r for r, g in zip(rows, good) if g] == [x for x in single if x]
+
+
+@pytest.mark.parametrize("bad", [("P", "", "v", 0), ("P", None, "v", 0), ("P", "k", None, 0), ("D", "k", "v", 0), (None, "k", None, 0), ("P", "k", "v", None)])
+def test_not_a_batch(bad):
+    with pytest.raises(ValueError):
+        encode_batch(*(pa.array([x], t) for x, t in zip(bad, (pa.string(), pa.string(), pa.string(), pa.int64()))))
+
+
+def test_long_values_in_batches(monkeypatch):
+    monkeypatch.setattr("tidelog.functions.records.PIECE", 100)
+    values = ["x" * n for n in (0, 1, 99, 100, 101, 1000, 3, 5)]
+    records, _ = encode_batch(*(pa.array(c, t) for c, t in ((["P"] * 8, pa.string()), (list("abcdefgh"), pa.string()), (values, pa.string()), (range(8), pa.int64()))))
+    assert records.to_pylist() == [encode("P", k, v, i) for i, (k, v) in enumerate(zip("abcdefgh", values))]
+    assert decode_batch(*ranges_of(records))[3].to_pylist() == values
+
+
 def test_names_and_bounds(spark):
     for lsn, size, name in NAMES:
         assert layout.segment_name(lsn, size) == name

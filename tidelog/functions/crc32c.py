@@ -71,5 +71,19 @@ def crc32c_ranges(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
     return state ^ np.uint32(0xFFFFFFFF)
 
 
+#: Bytes up to which one checksum is taken byte by byte.
+SHORT = 2048
+
+
+@cache
+def _table() -> list[int]:
+    return byte_table().tolist()
+
+
 def crc32c(data: bytes) -> int:
-    return int(crc32c_ranges(np.frombuffer(data, dtype=np.uint8), np.array([0]), np.array([len(data)]))[0])
+    if len(data) > SHORT:
+        return int(crc32c_ranges(np.frombuffer(data, dtype=np.uint8), np.array([0]), np.array([len(data)]))[0])
+    state, table = 0xFFFFFFFF, _table()
+    for byte in data:
+        state = table[(state ^ byte) & 0xFF] ^ (state >> 8)
+    return state ^ 0xFFFFFFFF

@@ -12,8 +12,10 @@ import struct
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-from tidelog.functions.crc32c import crc32c
-from tidelog.functions.records import HEADER, LEAST, decode, encode
+import numpy as np
+
+from tidelog.functions.crc32c import crc32c_ranges
+from tidelog.functions.records import HEADER, LEAST, decode_batch, encode_batch, ranges_of
 
 LOG_BYTES = 1 << 32
 _NAME = re.compile(r"[0-9a-f]{24}\.wal")
@@ -51,17 +53,39 @@ class LogWriter:
 
     def append(self, op: str, key: str, value: str | None) -> int:
         """The record's LSN. A record larger than a segment is refused and changes nothing."""
-        lsn = self.next_lsn
-        record = encode(op, key, value, lsn)
-        if len(record) > self.size:
-            raise ValueError(f"a record of {len(record)} bytes does not fit a segment of {self.size}")
-        free = self.size - len(self.now)
-        if len(record) > free:
-            if free >= HEADER:
-                self.now += record[:HEADER]
-                record = record[HEADER:]
-            self._rotate()
-        self.now += record
+        import pyarrow as pa
+
+        return int(self.extend(*(pa.array([x], pa.string()) for x in (op, key, value)))[0])
+
+    def extend(self, op, k, v) -> np.ndarray:
+        """Appends many records, Arrow arrays; their LSNs. If one is refused nothing changes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        length = lambda x: pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = LEAST + length(k) + np.where(np.asarray(v.is_valid()), 4 + length(v), 0)
+        if (size > self.size).any():
+            raise ValueError(f"a record of {size.max()} bytes does not fit a segment of {self.size}")
+        lsn, at = np.zeros(len(size), np.int64), self.next_lsn
+        for i, n in enumerate(size.tolist()):
+            lsn[i] = at
+            free = self.size - at % self.size
+            if n > free:
+                # the header stays in this segment if it fits, the rest begins the next one
+                at += free + (n - HEADER if free >= HEADER else n)
+            else:
+                at += n
+        records, _ = encode_batch(op, k, v, pa.array(lsn))
+        buffer, begin, _ = ranges_of(records)
+        data, starts = memoryview(buffer), begin.tolist()
+        for begin, n in zip(starts, size.tolist()):
+            record, free = data[begin : begin + n], self.size - len(self.now)
+            if n > free:
+                if free >= HEADER:
+                    self.now += record[:HEADER]
+                    record = record[HEADER:]
+                self._rotate()
+            self.now += record
         return lsn
 
     def take(self) -> list[tuple[str, bytes]]:
@@ -70,6 +94,17 @@ class LogWriter:
         return out + ([(segment_name(self.base, self.size, self.timeline), bytes(self.now))] if self.now else [])
 
 
+class Records(NamedTuple):
+    """Records of a log: numpy arrays and, of op, k and v, Arrow ones."""
+
+    file: list[str]
+    pos: np.ndarray
+    seq: np.ndarray
+    op: object
+    k: object
+    v: object
+
+
 class Entry(NamedTuple):
     file: str
     pos: int
@@ -87,8 +122,17 @@ class Corruption(NamedTuple):
 
 
 def read_log(files: Iterable[tuple[str, bytes]], offset: int = 0) -> Iterator[Entry | Corruption]:
-    """Records of a log's segments in order, from a byte offset in the first; at the first corrupt record a
-    Corruption comes out and reading ends. `pos` is where a record's header lies, in its own file.
+    """As read_segments, record by record."""
+    for x in read_segments(files, offset):
+        if isinstance(x, Corruption):
+            yield x
+        else:
+            yield from map(Entry._make, zip(x.file, x.pos.tolist(), x.seq.tolist(), x.op.to_pylist(), x.k.to_pylist(), x.v.to_pylist()))
+
+
+def read_segments(files: Iterable[tuple[str, bytes]], offset: int = 0) -> Iterator[Records | Corruption]:
+    """Records of a log's segments in order, those of a segment at a time, from a byte offset in the first; at the first
+    corrupt record a Corruption comes out and reading ends. `pos` is where a record's header lies, in its own file.
 
     A header at the end of a segment whose record goes on in the next one is carried over. Zeros up to the end of a
     segment are padding; a header at the very end of the log is a torn tail: corrupt, to be cut off.
@@ -98,27 +142,42 @@ def read_log(files: Iterable[tuple[str, bytes]], offset: int = 0) -> Iterator[En
         data, at = carried + content[offset:], 0
         shift = offset - len(carried)
         offset = 0
+        starts, ends, stop = [], [], None
+
+        def where(p: int, name=name, shift=shift, carried=carried, at_file=at_file, at_pos=at_pos) -> Corruption:
+            return Corruption(at_file, at_pos) if carried and p == 0 else Corruption(name, p + shift)
+
         while len(data) - at >= HEADER:
             (n,) = struct.unpack_from("<I", data, at)
-            where = Corruption(at_file, at_pos) if carried and at == 0 else Corruption(name, at + shift)
             if n == 0 and not any(data[at:]):
                 at = len(data)
                 break
             if n + 4 < LEAST:
-                yield where
-                return
-            end = at + 4 + n
-            if end > len(data):
+                stop = where(at)
+                break
+            if at + 4 + n > len(data):
                 break
-            record = decode(data, at, n + 4) if struct.unpack_from("<I", data, at + 4)[0] == crc32c(data[at + 8 : end]) else None
-            if record is None:
-                yield where
-                return
-            op, k, v, seq = record
-            yield Entry(where.file, where.pos, seq, op, k, v)
-            at = end
+            starts.append(at)
+            at += 4 + n
+            ends.append(at)
+        buffer, start = np.frombuffer(data, dtype=np.uint8), np.array(starts, dtype=np.int64)
+        size = np.array(ends, dtype=np.int64) - start
+        good, op, k, v, seq = decode_batch(buffer, start, size)
+        if len(start):
+            said = np.ascontiguousarray(buffer[start[:, None] + np.arange(4, 8)]).view("<u4").ravel()
+            good &= crc32c_ranges(buffer, start + 8, size - 8) == said
+        m = len(start)
+        if not good.all():
+            m = int(np.argmin(good))
+            stop = where(starts[m])
+        if m:
+            places = [where(p) for p in starts[:m]]
+            yield Records([p.file for p in places], np.array([p.pos for p in places]), seq[:m], op[:m], k[:m], v[:m])
+        if stop is not None:
+            yield stop
+            return
         if len(data) - at >= HEADER:
-            at_file, at_pos = (at_file, at_pos) if carried and at == 0 else (name, at + shift)
+            at_file, at_pos = where(at)
             carried, last = data[at : at + HEADER], Corruption(at_file, at_pos)
         else:
             last = Corruption(name, at + shift) if any(data[at:]) else None

@@ -17,10 +17,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-from tidelog.functions.layout import Corruption, LogWriter, base_lsn, read_log
+from tidelog.functions.layout import Corruption, LogWriter, base_lsn, read_segments
 from tidelog.sources.files import opened, read_whole, write_whole
 
 SCHEMA = "file string, pos bigint, seq bigint, op string, k string, v string"
@@ -57,14 +57,18 @@ class KvWalReader(DataSourceReader):
             out.append(Log([(n, f"{prefix}{at}/{n}") for _, n, _ in files], max(0, self.start - files[0][0])))
         return out
 
-    def read(self, log: Log) -> Iterator[tuple]:
-        names = dict(log.files)
-        for x in read_log(((n, read_whole(uri)) for n, uri in log.files), log.offset):
-            if isinstance(x, Corruption):
-                if self.corrupt:
-                    yield (names[x.file], x.pos, None, "!", None, None)
+    def read(self, log: Log) -> Iterator:
+        import pyarrow as pa
+
+        names, kinds = dict(log.files), [("file", pa.string()), ("pos", pa.int64()), ("seq", pa.int64()), ("op", pa.string()), ("k", pa.string()), ("v", pa.string())]
+        for x in read_segments(((n, read_whole(uri)) for n, uri in log.files), log.offset):
+            if not isinstance(x, Corruption):
+                columns = [[names[f] for f in x.file], x.pos, x.seq, x.op, x.k, x.v]
+            elif self.corrupt:
+                columns = [[names[x.file]], [x.pos], [None], ["!"], [None], [None]]
             else:
-                yield (names[x.file], x.pos, x.seq, x.op, x.k, x.v)
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) if not isinstance(c, pa.Array) else c.cast(kind) for c, (_, kind) in zip(columns, kinds)], schema=pa.schema(kinds))
 
 
 @dataclass
@@ -73,7 +77,7 @@ class Written(WriterCommitMessage):
     records: int
 
 
-class KvWalWriter(DataSourceWriter):
+class KvWalWriter(DataSourceArrowWriter):
     """Each task writes a log of its own; LSNs are given anew, in the order of the rows. A log is written aside
     and appears when the whole job commits."""
 
@@ -83,16 +87,14 @@ class KvWalWriter(DataSourceWriter):
         self.folder, self.size, self.names = options["path"].rstrip("/"), int(options.get("segmentsize", SEGMENT_SIZE)), schema.names
         self.job = uuid.uuid4().hex
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator) -> Written:
         log, n, own = LogWriter(self.size), 0, f"{self.job}-{uuid.uuid4().hex}"
-        for row in rows:
-            r = row.asDict()
-            log.append(r["op"], r["k"], r["v"])
-            n += 1
-            if log.full:
-                for name, data in log.full:
-                    write_whole(f"{self.folder}/.{own}/{name}", [data])
-                log.full = []
+        for b in batches:
+            log.extend(*(b[c] for c in ("op", "k", "v")))
+            n += b.num_rows
+            for name, data in log.full:
+                write_whole(f"{self.folder}/.{own}/{name}", [data])
+            log.full = []
         for name, data in log.take():
             write_whole(f"{self.folder}/.{own}/{name}", [data])
         return Written(own, n)
@@ -121,7 +123,7 @@ class KvWal(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return KvWalReader(self.options)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return KvWalWriter(self.options, schema, overwrite)
 
 
