@@ -46,6 +46,12 @@ def test_store_against_a_dict(spark, tmp_path, flush_at, monkeypatch):
     assert {r.k: (r.rc, r.v) for r in found} == {k: (0, model[k]) if model.get(k) is not None else (2, None) for k in "abz"}
     if flush_at == 400:
         assert again.levels.highest() is not None
+        # parts of the log that were flushed and can be no longer read by answers are gone
+        again.flush()
+        again.flush()
+        parts = again._parts()
+        assert len(parts) == 1 and parts[0]["part"] == f"{2:012d}" and len(list((tmp_path / "store" / "log").iterdir())) == 1
+        assert {r.k: r.v for r in again.state().collect()} == {k: v for k, v in model.items() if v is not None}
     before = again.state().collect()
 
     def dies(*_):

@@ -70,7 +70,9 @@ def containing_segments(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     """(k, lvl, sg) of the segments of levels 1 and below whose range holds the key: ranges of a level do not
     overlap, so it is the one with the last `mn` up to the key. Found by order, not by pairs."""
     own = manifest.where("lvl >= 1 and mn is not null and mx is not null").groupBy("lvl", "sg").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"))
-    levels = [r[0] for r in own.select("lvl").distinct().limit(MOST_LEVELS).collect()]
+    levels = [r[0] for r in own.select("lvl").distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels")
     asked = keys.select("k").distinct().select("k", F.explode(F.lit(levels) if levels else F.array().cast("array<int>")).alias("lvl"))
     starts = own.select("lvl", F.col("mn").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("one"), "sg", "mx")
     rows = starts.unionByName(asked.select("lvl", F.col("k").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("one")), True)

@@ -10,6 +10,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.sources.files import write_whole
 
@@ -47,14 +49,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a few short columns that every executor can hold.
-BROADCAST_ROWS = 200_000
+#: Bytes that every executor can hold beside its work.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The frame with a hint to broadcast it, if counting shows that it has few rows; else as it is, for a
-    shuffled join. For narrow frames that are cheap to count."""
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a hint to broadcast it, if its bytes, counted, are few; else as it is, for a shuffled join.
+    For frames that are cheap to count, such as aggregated or checkpointed ones. A value counts 16 bytes and its length."""
+    var = (T.StringType, T.BinaryType, T.ArrayType, T.MapType)
+    length = {f.name: F.octet_length(f.name) if isinstance(f.dataType, T.StringType | T.BinaryType) else 16 * F.size(f.name) for f in df.schema if isinstance(f.dataType, var)}
+    size = sum((F.coalesce(n, F.lit(0)) for n in length.values()), F.lit(16 * len(df.columns))).cast("bigint")
+    # counting stops at as many rows as there is room for
+    few = df.select(size.alias("n")).limit(most // 16 + 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= most
     return df.hint("broadcast") if few else df
 
 

@@ -57,7 +57,7 @@ class Store:
         """
         parts = self._parts()
         end = parts[-1]["end"] if parts else 0
-        part = f"{len(parts):012d}"
+        part = f"{int(parts[-1]['part']) + 1 if parts else 0:012d}"
         r = requests.select("ord", operation(F.col("op")).alias("op"), "k", "v")
         # puts and deletes with the log's bytes before them
         good = r.where(valid_change(F.col("op"), F.col("k"), F.col("v"))).withColumn("v", F.when(F.col("op") == "P", F.col("v")))
@@ -105,8 +105,22 @@ class Store:
         return kv.multi_get(keys, self.state())
 
     def flush(self) -> None:
-        """The unflushed log as a new part of level 0; recovery then starts after it."""
+        """The unflushed log as a new part of level 0; recovery then starts after it. Parts of the log that were flushed
+        before are removed: those that this flush has taken may still be read by answers that were given."""
+        old = self.levels.highest()
         self.levels.flush(kv.newest(self.log()))
+        self.drop(old)
+
+    def drop(self, seq: int | None) -> int:
+        """Removes the parts of the log that hold nothing above `seq`, the last one excepted; how many. A part goes before its
+        commit, which, if this is cut short, names a part that is no longer read."""
+        system, path = opened(self.folder)
+        gone = [p for p in self._parts()[:-1] if seq is not None and p["end"] <= seq]
+        for p in gone:
+            if system.get_file_info(f"{path}/log/{p['part']}").type.name == "Directory":
+                system.delete_dir(f"{path}/log/{p['part']}")
+            system.delete_file(f"{path}/commits/{p['part']}.json")
+        return len(gone)
 
     def compact(self) -> None:
         self.levels.compact(self.level_target)
