@@ -304,6 +304,9 @@ def test_mix(spark):
     got = {r.source: r for r in mixing.shares(mixing.mix(sizes, rated), rated).collect()}
     assert abs(got["big"].actual_share - 0.6) < 0.02 and abs(got["small"].actual_share - 0.4) < 0.02 and got["empty"].tokens == 0
     assert sorted(map(str, used)) == sorted(map(str, mixing.mix(sizes.repartition(7), rated).collect()))
+    whole = mixing.mix(mixing.sized(spark.createDataFrame(docs, DOC), target, keep=("text",)), rated).collect()
+    texts = {i: t for i, t, _ in docs}
+    assert sorted((r.doc_id, r["copy"]) for r in whole) == sorted((r.doc_id, r["copy"]) for r in used) and all(r.text == texts[r.doc_id] for r in whole)
     cut = mixing.rates(sizes, target, total=1e9)
     assert {r.source: r.rate for r in cut.collect()} == {"big": 1.0, "small": 3.0, "empty": 0.0}
     assert mixing.mix(sizes.limit(0), mixing.rates(sizes.limit(0), target)).collect() == []

@@ -15,14 +15,15 @@ from tidelog.llm.tokens import BYTE_BPE_50K, count_tokens
 from tidelog.session import checkpoint, small
 
 
-def sized(documents: DataFrame, mix_target: DataFrame, path: str = BYTE_BPE_50K) -> DataFrame:
-    """(doc_id, source, tokens) of the documents whose source has a share; tokenized once and checkpointed.
+def sized(documents: DataFrame, mix_target: DataFrame, path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, *keep, tokens) of the documents whose source has a share; tokenized once and checkpointed. With
+    `keep`, such as the text, the mix holds whole records, else they are joined by doc_id.
 
     The table of shares has a row per source, not per document, and is broadcast if it is small, so that
     texts are not shuffled by source; sources without a row or with a null name have no share.
     """
     named = mix_target.where("source is not null and target_share > 0").select("source").distinct()
-    return checkpoint(count_tokens(documents.join(small(named), "source", "left_semi"), path=path, keep=("doc_id", "source")))
+    return checkpoint(count_tokens(documents.join(small(named), "source", "left_semi"), path=path, keep=("doc_id", "source", *keep)))
 
 
 def rates(sizes: DataFrame, mix_target: DataFrame, total: float | None = None) -> DataFrame:
@@ -44,7 +45,8 @@ def rates(sizes: DataFrame, mix_target: DataFrame, total: float | None = None) -
 
 
 def mix(sizes: DataFrame, rated: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, copy, tokens): each document `copy` = 1.. times. Documents with equal ids are drawn alike.
+    """(doc_id, source, copy, tokens) and what else `sizes` has: each document `copy` = 1.. times. Documents with equal ids
+    are drawn alike.
 
     `rated` has a row per source; if these are few enough to be broadcast, a source that holds most documents needs
     no shuffle.
@@ -53,7 +55,8 @@ def mix(sizes: DataFrame, rated: DataFrame, seed: int = 0) -> DataFrame:
     whole = F.floor("rate")
     copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     used = sizes.join(small(rated.select("source", "rate")), "source").withColumn("_copies", copies).where("_copies > 0")
-    return used.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"), "tokens")
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "tokens")]
+    return used.select("doc_id", "source", *more, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"), "tokens")
 
 
 def shares(mixed: DataFrame, rated: DataFrame) -> DataFrame:
