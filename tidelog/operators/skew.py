@@ -82,6 +82,29 @@ def split_points(df: DataFrame, by: str, order: str, ranges: dict) -> dict:
     return points
 
 
+def range_among(value: Column, points: list, kind: str) -> Column:
+    """As range_of, for points known to the driver. They go into the plan as one text, however many they are."""
+    if not points:
+        return F.lit(0)
+    array = lambda some: F.split(F.lit(",".join(map(str, some))), ",").cast(f"array<{kind}>")
+    step = _step(len(points))
+    coarse = points[step - 1 :: step]
+    return range_of(value, array(points), array(coarse), F.lit(step))
+
+
+def whole_points(df: DataFrame, order: str, n: int) -> list:
+    """Ascending quantiles of `order`, a number, that cut the whole table into n ranges, about."""
+
+    def quantiles(rows: DataFrame, groups: list[str], m: int) -> list:
+        return rows.groupBy(*groups).agg(F.percentile_approx(order, [i / m for i in range(1, m)], 4 * m).alias("_points")).collect()
+
+    points = list(quantiles(df, [], min(n, COARSE))[0][0] or [])
+    if n > COARSE and points:
+        finer = df.withColumn("_r", range_among(F.col(order), points, df.schema[order].dataType.simpleString()))
+        points = sorted(points + [x for r in quantiles(finer, ["_r"], -(-n // COARSE)) for x in r[1] or []])
+    return points
+
+
 def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) -> tuple[DataFrame, bool]:
     """Adds `_part`, a range number that is 0 but for hot keys, and `_hot`. Second: whether there are hot keys.
 
@@ -138,9 +161,8 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, by: list[st
     No task sees more than a range, a shuffle partition's share of the rows: the sums of the ranges are added up (as many
     rows as ranges and groups), then the rows within each range. `order` is a number, not null, and should be unique.
     """
-    by, all_ = by or [], df.withColumn("_all", F.lit(0))
-    points = split_points(all_, "_all", order, {0: max(RUN_PARTS, shuffle_partitions(df))})
-    split = _ranged(all_, "_all", order, points, "_part").drop("_all", "_hot").withColumn("_value", value)
+    by, points = by or [], whole_points(df, order, max(RUN_PARTS, shuffle_partitions(df)))
+    split = df.withColumn("_part", range_among(F.col(order), points, df.schema[order].dataType.simpleString())).withColumn("_value", value)
     sums = split.groupBy(*by, "_part").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))

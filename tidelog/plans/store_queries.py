@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import wire
 from tidelog.functions.segments import ends_after, segment_name
-from tidelog.operators import kv, lsm
+from tidelog.operators import kv, lsm, serve
 from tidelog.operators.skew import running_sum
 from tidelog.operators.wal import decode_files, encode_records, file_status, truncated
 from tidelog.schema import GET, changes, requests
-from tidelog.session import table, work_dir
+from tidelog.session import checkpoint, table, work_dir
 from tidelog.sources.kvwal import KvWal
 from tidelog.streaming.replay import stream_apply, stream_replay
 
@@ -184,6 +184,62 @@ def wire_respond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("seq", F.hex(wire.encode_response(wire.correlation_id(F.col("seq")), F.col("rc"), F.col("payload"))).alias("response"))
 
 
+def _harmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of the log, one in eleven harmed in one of nine ways, told by the seq."""
+    frames = _frames(spark, sf_dir)
+    raw, n = F.hex("frame"), F.pmod(F.col("seq"), F.lit(99))
+    put = lambda at, two: F.concat(F.substring(raw, 1, at), F.lit(two), F.expr(f"substring(hex(frame), {at + len(two) + 1})"))
+    harmed = (
+        F.when(n == 0, put(8, "00"))  # magic
+        .when(n == 11, put(48, "01"))  # version
+        .when(n == 22, put(50, "03"))  # type: a ping
+        .when(n == 33, put(50, "FF"))
+        .when(n == 44, F.expr("substring(hex(frame), 1, length(hex(frame)) - 2)"))  # cut off
+        .when(n == 55, F.concat(raw, F.lit("00")))  # a byte too many
+        .when(n == 66, F.substring(raw, 1, 40))  # no headers
+        .when(n == 77, F.when(F.length("frame") > 36, put(72, "FF")).otherwise(raw))  # first byte of the key
+        .when(n == 88, put(64, "7FFFFFFF"))  # length of the key
+        .otherwise(raw)
+    )
+    return checkpoint(frames.select("seq", F.unhex(harmed).alias("frame")))
+
+
+def wire_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, some of them harmed, to responses."""
+    return serve.respond(_harmed(spark, sf_dir)).select("seq", "corr", "rc", F.hex("response").alias("response"))
+
+
+FILE_BYTES = 4096
+
+
+def _made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The writes of the log as raw files, by ranges of seq: of three, one is as it is, one has the last byte of its
+    record in the middle changed, and one ends in padding."""
+    records = encode_records(changes(table(spark, sf_dir, "kv_log")))
+    of = F.floor((F.col("seq") - BASE) / FILE_BYTES)
+    # a file has some ten records, as many as fit a range of seq
+    files = records.groupBy(of.alias("file")).agg(F.sort_array(F.collect_list(F.struct("seq", "record"))).alias("r"))
+    middle = F.floor(F.size("r") / 2).cast("int")
+    hexed = F.transform("r", lambda x, i: F.when((F.col("file") % 3 == 1) & (i == middle), F.concat(F.substring(F.hex(x["record"]), F.lit(1), F.length(F.hex(x["record"])) - 2), F.lit("5A"))).otherwise(F.hex(x["record"])))
+    return files.select(F.col("file").cast("string").alias("path"), F.unhex(F.concat(F.array_join(hexed, ""), F.when(F.col("file") % 3 == 2, "0000000000").otherwise(""))).alias("content"))
+
+
+def wal_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that can be read from the made files."""
+    return decode_files(_made_files(spark, sf_dir))
+
+
+def wal_damaged_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_status(_made_files(spark, sf_dir))
+
+
+def wal_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made files cut to what can be read, and read again."""
+    cut = checkpoint(truncated(_made_files(spark, sf_dir)))
+    left = cut.select("path", F.length("content").alias("bytes"))
+    return left.join(file_status(cut).select("path", "records", "status"), "path")
+
+
 def kv_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_replay(spark, f"{sf_dir}/kv_log.parquet")
 
@@ -198,7 +254,8 @@ QUERIES = {
         kv_replay, kv_latest, kv_tombstones, kv_prev_value, kv_merge_on_read, kv_multi_get, kv_get, kv_recover_from, kv_recover_prefix,
         wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded, wal_round_trip, wal_repaired,
         sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_containing, sst_compact, sst_level_lookup, sst_highest,
-        wire_encode, wire_decode, wire_respond, kv_stream_replay, kv_stream_apply,
+        wal_damaged, wal_damaged_status, wal_truncated,
+        wire_encode, wire_decode, wire_respond, wire_serve, kv_stream_replay, kv_stream_apply,
     )
 }
 
@@ -221,7 +278,28 @@ _FRAME = f"""
        f AS (SELECT *, printf('%032x', seq) AS h, CASE op WHEN 'D' THEN 0 WHEN 'G' THEN 1 ELSE 2 END AS t, coalesce(k, '') AS kk FROM d)"""
 _CORR = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
 
+_FILES = f"""{_LOG},
+       r AS (SELECT seq, op, k, v, (seq - {BASE}) // {FILE_BYTES} AS file, CASE WHEN op = 'P' THEN 25 + strlen(k) + strlen(v) ELSE 21 + strlen(k) END AS n FROM w),
+       f AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY file) AS c,
+                    CAST(coalesce(sum(n) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS pos FROM r),
+       g AS (SELECT *, file % 3 <> 1 OR i < c // 2 AS good FROM f),
+       st AS (SELECT CAST(file AS varchar) AS path, count_if(good) AS records, CAST(sum(CASE WHEN good THEN n ELSE 0 END) AS bigint) AS readable,
+                     CAST(sum(n) AS bigint) + CASE WHEN file % 3 = 2 THEN 5 ELSE 0 END AS bytes, CASE file % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'corrupted' ELSE 'padding' END AS status FROM g GROUP BY file)"""
+#: The harmed frames' errors, in the order in which they are found; keys that hold letters beyond ASCII have no such first byte.
+_SERVE = f"""{_FRAME},
+       h2 AS (SELECT *, seq % 99 AS m, strlen(kk) AS lk FROM f),
+       er AS (SELECT seq, op, kk AS k, v, {_CORR} AS corr, CASE
+           WHEN m = 66 THEN 7 WHEN m = 0 THEN 255 WHEN m = 11 THEN 10 WHEN m IN (22, 33) THEN 8 WHEN m IN (44, 55, 88) THEN 7
+           WHEN m = 77 AND lk > 0 THEN 4 WHEN m = 77 AND v IS NOT NULL THEN 7 WHEN op = 'P' AND v IS NULL THEN 6 WHEN op <> 'P' AND v IS NOT NULL THEN 7 WHEN op <> '{GET}' AND lk = 0 THEN 4 ELSE 0 END AS e FROM h2),
+       ok AS (SELECT *, max(CASE WHEN op <> '{GET}' THEN seq END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps FROM er WHERE e = 0),
+       an AS (SELECT ok.seq, ok.corr, CASE WHEN ok.op = '{GET}' AND p.v IS NULL THEN 2 ELSE 0 END AS rc, p.v AS payload FROM ok LEFT JOIN ok p ON p.seq = ok.ps AND p.k = ok.k AND p.op <> '{GET}'
+              UNION ALL SELECT seq, CASE WHEN seq % 99 = 66 THEN '00000000-0000-0000-0000-000000000000' ELSE corr END, e, NULL FROM er WHERE e <> 0)"""
+
 SQL = {
+    "wal_damaged": f"{_FILES} SELECT CAST(file AS varchar) AS path, pos, seq, op, k, v FROM g WHERE good",
+    "wal_damaged_status": f"{_FILES} SELECT path, records, readable, bytes, status FROM st",
+    "wal_truncated": f"{_FILES} SELECT path, CASE WHEN status = 'corrupted' THEN readable ELSE bytes END AS bytes, records, CASE WHEN status = 'corrupted' THEN 'clean' ELSE status END AS status FROM st",
+    "wire_serve": f"{_SERVE} SELECT seq, corr, rc, CASE WHEN rc <> 255 THEN upper(replace(corr, '-', '')) || printf('%02X', rc) || hex(coalesce(payload, '')) END AS response FROM an",
     "kv_replay": f"{_REPLAY} SELECT seq, k, op, rc, payload FROM a",
     "kv_stream_replay": f"{_REPLAY} SELECT seq, k, op, rc, payload FROM a",
     "kv_latest": f"{_LOG} SELECT k, v, seq FROM m WHERE v IS NOT NULL",
