@@ -129,6 +129,25 @@ def test_raw_files(spark):
     assert decode_files(table.limit(0)).count() == 0
 
 
+def test_logs_go_on(spark, tmp_path):
+    """Written, opened anew and written further: the logs are as if they had been written at once."""
+    spark.dataSource.register(KvWal)
+    rng, folders = random.Random(1), (f"file://{tmp_path}/twice", f"file://{tmp_path}/once")
+    rows_ = [("P", f"k{i}", "v" * rng.randrange(60)) for i in range(200)]
+
+    def write(some, folder):
+        table = spark.createDataFrame(some, "op string, k string, v string").coalesce(1)
+        table.write.format("kvwal").option("segmentSize", 256).option("resume", "true").mode("append").save(folder)
+
+    for a, b in ((0, 1), (1, 70), (70, 70), (70, 200)):
+        write(rows_[a:b], folders[0])
+    write(rows_, folders[1])
+    read = [rows(spark.read.format("kvwal").option("segmentSize", 256).load(f), "seq", "op", "k", "v") for f in folders]
+    assert read[0] == read[1] and sorted(r[1:] for r in read[0]) == sorted(rows_)
+    logs = [{p.name: p.read_bytes() for p in (tmp_path / x / "part-00000").iterdir()} for x in ("twice", "once")]
+    assert logs[0] == logs[1] and len(logs[0]) > 10
+
+
 def test_levels(spark, tmp_path):
     tree = lsm.Levels(spark, f"file://{tmp_path}/tree")
     assert tree.state().count() == 0 and tree.get("a") is None and tree.highest() is None

@@ -38,8 +38,8 @@ class LogWriter:
         if size <= HEADER or LOG_BYTES % size:
             raise ValueError(f"a segment size must divide {LOG_BYTES}")
         self.size, self.timeline = size, timeline
-        self.base = lsn - lsn % size
         self.now = bytearray(begun or bytes(lsn % size))
+        self.base = lsn - len(self.now)
         self.full: list[tuple[str, bytes]] = []
 
     @property

@@ -115,6 +115,21 @@ def wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("kvwal").option("segmentSize", SEGMENT).load(folder).select("op", "k", "v")
 
 
+def wal_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct writes in log folders that are written in two goes, the second of which goes on where the first
+    stopped, and read back with the log each is in: no log has a sequence number twice."""
+    spark.dataSource.register(KvWal)
+    folder = work_dir(spark, "logs")
+    writes = changes(table(spark, sf_dir, "kv_log")).select("seq", "op", "k", "v").distinct()
+    half = writes.agg((F.min("seq") + F.max("seq")) / 2).first()[0] or 0
+    for part in (writes.where(F.col("seq") < half), writes.where(F.col("seq") >= half)):
+        rows = part.sortWithinPartitions("seq").select("op", "k", "v")
+        rows.write.format("kvwal").option("segmentSize", SMALL_SEGMENT).option("resume", "true").mode("append").save(folder)
+    read = spark.read.format("kvwal").option("segmentSize", SMALL_SEGMENT).load(folder)
+    log = F.regexp_extract("file", "([^/]*)/[^/]*$", 1)
+    return read.groupBy(log.alias("log"), "seq").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("op", "k", "v")]).select("times", "op", "k", "v")
+
+
 def wal_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes that are left of each file when what cannot be read is cut off."""
     return truncated(table(spark, sf_dir, "wal_file")).select("path", F.length("content").alias("bytes"))
@@ -252,7 +267,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kv_replay, kv_latest, kv_tombstones, kv_prev_value, kv_merge_on_read, kv_multi_get, kv_get, kv_recover_from, kv_recover_prefix,
-        wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded, wal_round_trip, wal_repaired,
+        wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded, wal_round_trip, wal_resumed, wal_repaired,
         sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_containing, sst_compact, sst_level_lookup, sst_highest,
         wal_damaged, wal_damaged_status, wal_truncated,
         wire_encode, wire_decode, wire_respond, wire_serve, kv_stream_replay, kv_stream_apply,
@@ -321,6 +336,7 @@ SQL = {
   WITH f AS (SELECT path, octet_length(content) AS size, regexp_extract(path, '([^/]*)$', 1) AS name FROM wal_file)
   SELECT path, size FROM f WHERE regexp_full_match(name, '[0-9a-f]{{24}}\\.wal')
     AND {(1 << 54) + 20_000} < ('0x' || substr(name, 9, 8))::hugeint * 4294967296 + ('0x' || substr(name, 17, 8))::hugeint * 16 + size""",
+    "wal_resumed": f"{_LOG} SELECT CAST(1 AS bigint) AS times, op, k, v FROM w",
     "wal_round_trip": f"{_LOG} SELECT op, k, v FROM w",
     "sst_flush": f"{_LOG} SELECT substr(k, 1, 11) AS sg, {_STATS} FROM m GROUP BY 1",
     "sst_manifest": f"""
