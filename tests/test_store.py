@@ -226,6 +226,11 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     all_ = spark.createDataFrame(log, kinds)
     assert rows(stream_replay(spark, table, folder)) == rows(kv.replay(requests(all_)).select("seq", "k", "op", "rc", "payload"))
     assert rows(stream_apply(spark, table, base, folder + "a")) == rows(apply_changes(base, all_))
+    # a batch rewrites only the buckets it touches, and versions that no bucket is in any more are gone
+    spark.createDataFrame([(99, "P", "k1", "late", 0)], kinds).write.mode("append").parquet(table)
+    assert stream_apply(spark, table, base, folder + "a").where("k = 'k1'").first().v == "late"
+    versions = {p.name: sorted(x.name for x in p.iterdir() if x.name.startswith("b=")) for p in (tmp_path / "runa" / "state").iterdir()}
+    assert "v=2" in versions and len(versions[max(versions)]) == 1
 
 
 def test_stream_answers_late_requests(spark, tmp_path):
@@ -267,19 +272,20 @@ def test_history_in_small_blocks(monkeypatch):
     monkeypatch.setattr(replay, "BLOCK", 3)
     monkeypatch.setattr(replay, "KEPT", 2)
     rng = random.Random(4)
-    for _ in range(60):
-        log = [(s, rng.choice("PGGGD"), f"v{s}") for s in rng.sample(range(300), 80)]
-        log = [(s, op, v if op == "P" else None) for s, op, v in log]
+    for keys in ["k"] * 20 + ["ab", "", "abcde"] * 20:
+        log = [(rng.choice(keys) if keys else "", s, rng.choice("PGGGD"), f"v{s}") for s in rng.sample(range(300), 80)]
+        log = [(k, s, op, v if op == "P" else None) for k, s, op, v in log]
         index, blocks, given = Cell(), Cell(), {}
         for at in range(0, 80, 9):
             history = replay.History(index, blocks)
-            for seq, *answer in history.answers(history.add(sorted({*log[at : at + 9], *log[:3]}, key=lambda r: r[0]))):
-                assert seq not in given or answer[-1] > (-1 if given[seq][-1] is None else given[seq][-1])
-                given[seq] = answer
-        last, want = (None, None), {}
-        for seq, op, v in sorted(log):
-            want[seq] = [op, 2 if op == "G" and last[1] is None else 0, last[1], last[0]]
-            last = (seq, v) if op != "G" else last
+            for k, seq, *answer in history.answers(history.add(sorted({*log[at : at + 9], *log[:3]}, key=lambda r: r[:2]))):
+                assert (k, seq) not in given or answer[-1] > (-1 if given[k, seq][-1] is None else given[k, seq][-1])
+                given[k, seq] = answer
+        last, want = {}, {}
+        for k, seq, op, v in sorted(log, key=lambda r: r[:2]):
+            before, value = last.get(k, (None, None))
+            want[k, seq] = [op, 2 if op == "G" and value is None else 0, value, before]
+            last[k] = (seq, v) if op != "G" else (before, value)
         assert given == want
 
 
