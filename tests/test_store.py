@@ -101,7 +101,7 @@ def test_frames(spark):
         "": (None, None, None, "MalformedPayload"),
     }
     table = spark.createDataFrame([(h, bytes.fromhex(h)) for h in frames], "h string, f binary")
-    got = {r.h: tuple(r.r)[1:] for r in table.select("h", wire.decode_request(F.col("f")).alias("r")).collect()}
+    got = {r.h: (r.op, r.k, r.v, r.error) for r in wire.decode_requests(table.withColumn("op", F.lit("clash")), "f").collect()}
     assert {h: x[3] for h, x in got.items()} == {h: x[3] for h, x in frames.items()}
     assert {h: x[1:3] for h, x in got.items()} == {h: x[1:3] for h, x in frames.items()}
     row = spark.range(1).select(

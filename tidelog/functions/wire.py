@@ -6,7 +6,7 @@ payload; u32 key length, key and, for a put, u32 value length and value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First bytes of a frame, and the types of requests by operation. Fixed values of the format.
@@ -42,38 +42,41 @@ def _int(frame: Column, at: Column, width: int) -> Column:
     return F.when(F.length(frame) >= at + (width - 1), F.conv(F.hex(F.substring(frame, at, F.lit(width))), 16, 10).cast("bigint"))
 
 
-def decode_request(frame: Column) -> Column:
-    """struct(corr, op, k, v, error): error is null or its name; a frame that is too short, or whose
-    lengths run past its end, is a MalformedPayload. Flags are not looked at."""
-    magic = F.hex(F.substring(frame, F.lit(5), F.lit(4))) == MAGIC
-    raw = F.lower(F.hex(F.substring(frame, F.lit(9), F.lit(16))))
-    corr = F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.substring(raw, 13, 4), F.substring(raw, 17, 4), F.substring(raw, 21, 12))
-    version, kind = _int(frame, F.lit(25), 1), _int(frame, F.lit(26), 1)
+def decode_requests(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """`frames` with corr, op, k, v and error, which take the place of columns of these names. error is null or its name; a
+    frame that is too short, or whose lengths run past its end, is a MalformedPayload. Flags are not looked at.
+
+    In steps, each a projection of what the one before found: as one expression it would hold the first ones many times over.
+    """
+    f, kept = F.col(frame), [F.col(c) for c in frames.columns if c not in ("corr", "op", "k", "v", "error")]
+    raw = F.lower(F.hex(F.substring(f, F.lit(9), F.lit(16))))
     payload = F.lit(33)  # after the headers and the payload's own length
-    size = _int(frame, F.lit(29), 4)
-    n = _int(frame, payload, 4)
-    key = F.when(n + 4 <= size, F.substring(frame, payload + 4, n))
-    rest = size - 4 - n
-    m = F.when(rest >= 4, _int(frame, payload + 4 + n, 4))
-    value = F.when(m + 4 == rest, F.substring(frame, payload + 8 + n, m))
-    text_k, text_v = F.try_validate_utf8(key.cast("string")), F.try_validate_utf8(value.cast("string"))
-    put = kind == TYPES["P"]
-    whole = F.coalesce((F.length(frame) == 32 + size) & (n + 4 <= size), F.lit(False))
-    error = (
-        F.when(frame.isNull() | (F.length(frame) < 28), "MalformedPayload")
-        .when(~magic, "WrongMagicBytes")
-        .when(version > 0, "UnsupportedVersion")
-        .when(~kind.isin(*TYPES.values()), "InvalidRequestType")
-        .when(~whole, "MalformedPayload")
-        .when(text_k.isNull(), "InvalidKey")
-        .when(put & (rest == 0), "MissingValue")
-        .when(~put & (rest > 0), "MalformedPayload")
-        .when(put & value.isNull(), "MalformedPayload")
-        .when(put & text_v.isNull(), "InvalidValue")
-    )
-    good = error.isNull()
-    op = F.coalesce(*[F.when(kind == n, o) for o, n in TYPES.items()])
-    return F.struct(F.when(F.length(frame) >= 24, corr).alias("corr"), op.alias("op"), F.when(good, text_k).alias("k"), F.when(good & put, text_v).alias("v"), error.alias("error"))
+    steps = [
+        {"_raw": F.when(F.length(f) >= 24, raw), "_magic": F.hex(F.substring(f, F.lit(5), F.lit(4))) == MAGIC, "_version": _int(f, F.lit(25), 1), "_kind": _int(f, F.lit(26), 1), "_size": _int(f, F.lit(29), 4), "_n": _int(f, payload, 4), "_length": F.length(f)},
+        {"_rest": F.col("_size") - 4 - F.col("_n"), "_whole": F.coalesce((F.col("_length") == 32 + F.col("_size")) & (F.col("_n") + 4 <= F.col("_size")), F.lit(False)), "_put": F.col("_kind") == TYPES["P"]},
+        {"_k": F.when(F.col("_whole"), F.try_validate_utf8(F.substring(f, payload + 4, F.col("_n")).cast("string"))), "_m": F.when(F.col("_whole") & (F.col("_rest") >= 4), _int(f, payload + 4 + F.col("_n"), 4))},
+        {"_v": F.when(F.col("_m") + 4 == F.col("_rest"), F.substring(f, payload + 8 + F.col("_n"), F.col("_m")))},
+        {"_text": F.try_validate_utf8(F.col("_v").cast("string"))},
+        {
+            "error": F.when(f.isNull() | (F.col("_length") < 28), "MalformedPayload")
+            .when(~F.col("_magic"), "WrongMagicBytes")
+            .when(F.col("_version") > 0, "UnsupportedVersion")
+            .when(~F.col("_kind").isin(*TYPES.values()), "InvalidRequestType")
+            .when(~F.col("_whole"), "MalformedPayload")
+            .when(F.col("_k").isNull(), "InvalidKey")
+            .when(F.col("_put") & (F.col("_rest") == 0), "MissingValue")
+            .when(~F.col("_put") & (F.col("_rest") > 0), "MalformedPayload")
+            .when(F.col("_put") & F.col("_v").isNull(), "MalformedPayload")
+            .when(F.col("_put") & F.col("_text").isNull(), "InvalidValue")
+        },
+    ]
+    out = frames
+    for step in steps:
+        out = out.withColumns(step)
+    good, r = F.col("error").isNull(), F.col("_raw")
+    corr = F.concat_ws("-", F.substring(r, 1, 8), F.substring(r, 9, 4), F.substring(r, 13, 4), F.substring(r, 17, 4), F.substring(r, 21, 12))
+    op = F.coalesce(*[F.when(F.col("_kind") == n, o) for o, n in TYPES.items()])
+    return out.select(*kept, F.when(r.isNotNull(), corr).alias("corr"), op.alias("op"), F.when(good, F.col("_k")).alias("k"), F.when(good & F.col("_put"), F.col("_text")).alias("v"), "error")
 
 
 def encode_response(corr: Column, rc: Column, payload: Column) -> Column:

@@ -23,9 +23,8 @@ def respond(frames: DataFrame, total: int | None = None) -> DataFrame:
     without an id has the nil id. After wrong magic bytes there is no response: null. Frames of equal seq and content are
     one delivery; a null frame is malformed; rows without seq come in no order and are left out.
     """
-    parsed = frames.where("seq is not null").select("seq", wire.decode_request(F.col("frame")).alias("r")).distinct()
-    each = parsed.select("seq", F.coalesce("r.corr", F.lit(NIL)).alias("corr"), "r.op", "r.k", "r.v", "r.error")
-    each = each.withColumn("error", F.when(F.col("error").isNull() & (F.col("op") != GET) & (F.length("k") == 0), "InvalidKey").otherwise(F.col("error")))
+    each = wire.decode_requests(frames.where("seq is not null").select("seq", "frame").distinct())
+    each = each.withColumn("corr", F.coalesce("corr", F.lit(NIL))).withColumn("error", F.when(F.col("error").isNull() & (F.col("op") != GET) & (F.length("k") == 0), "InvalidKey").otherwise(F.col("error")))
     # what is no request goes through with a null key, asks nothing and writes nothing: no second pass for it
     ok = F.col("error").isNull()
     rows = each.select("seq", F.when(ok, F.col("op")).alias("op"), F.when(ok, F.col("k")).alias("k"), F.when(ok & (F.col("op") == PUT), F.col("v")).alias("v"), "corr", "error")

@@ -189,8 +189,8 @@ def wire_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wire_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _frames(spark, sf_dir).select("seq", wire.decode_request(F.col("frame")).alias("r"))
-    return parsed.select("seq", "r.corr", "r.op", "r.k", "r.v", kv.return_code(F.col("r.error")).alias("rc"))
+    parsed = wire.decode_requests(_frames(spark, sf_dir))
+    return parsed.select("seq", "corr", "op", "k", "v", kv.return_code(F.col("error")).alias("rc"))
 
 
 def wire_respond(spark: SparkSession, sf_dir: str) -> DataFrame:
