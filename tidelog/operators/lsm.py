@@ -7,12 +7,13 @@ a Parquet file sorted by k, whose row-group statistics and bloom filter serve as
 from __future__ import annotations
 
 import json
+import uuid
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.skew import running_sums
-from tidelog.session import work_dir
+from tidelog.operators.skew import range_of, running_sums
 from tidelog.sources.files import opened, read_whole, write_new
 
 #: Size of the next level, in sizes of the one above.
@@ -102,11 +103,30 @@ def overlaps(manifest: DataFrame) -> DataFrame:
     return answers.groupBy("lvl", "sg").agg(F.sum("x").cast("bigint").alias("n_next"))
 
 
+def intervals(parts: list[dict]) -> list[tuple[str, str]]:
+    """Ranges of keys, in order, that segments cover together: those that overlap are one."""
+    out: list[tuple[str, str]] = []
+    for mn, mx in sorted((p["mn"], p["mx"]) for p in parts):
+        if out and mn <= out[-1][1]:
+            out[-1] = (out[-1][0], max(mx, out[-1][1]))
+        else:
+            out.append((mn, mx))
+    return out
+
+
+def overlapping(parts: list[dict], ranges: list[tuple[str, str]]) -> list[dict]:
+    """The segments that have a part in some range; the ranges are in order and apart."""
+    starts = [r[0] for r in ranges]
+    at = lambda p: bisect_right(starts, p["mx"]) - 1
+    return [p for p in parts if at(p) >= 0 and ranges[at(p)][1] >= p["mn"]]
+
+
 class Levels:
-    """A tree of levels in a folder: Parquet files per level and a numbered manifest of what is live.
+    """A tree of levels in a folder: a Parquet file per segment and a numbered manifest of what is live.
 
-    Readers pin a version by reading its manifest once; a new version is one file that is renamed into
-    place, so a crash leaves the old one. Files that no kept version names can be vacuumed.
+    Segments of level 0 overlap, those of a lower level do not. Readers pin a version by reading its manifest once; a new
+    version is one file that is renamed into place, so a crash leaves the old one. Files that no kept version names can be
+    vacuumed. A manifest has some hundred bytes per segment, not per row: the driver reads it whole.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -120,50 +140,77 @@ class Levels:
         return max((int(f.base_name[:-5]) for f in found if f.base_name.endswith(".json") and not f.base_name.startswith(".")), default=0)
 
     def live(self, version: int | None = None) -> list[dict]:
-        """[{"lvl", "folder", "hi", "bytes"}] of a version; an absent manifest is an empty tree."""
+        """[{"lvl", "file", "mn", "mx", "hi", "bytes", "n", "born"}] of a version, a row per segment; an absent manifest is
+        an empty tree. born: the version in which the segment came."""
         version = self.version() if version is None else version
         return json.loads(read_whole(f"{self.folder}/versions/{version:012d}.json")) if version else []
 
     def _commit(self, parts: list[dict]) -> None:
-        write_new(f"{self.folder}/versions/{self.version() + 1:012d}.json", json.dumps(parts).encode())
+        new = self.version() + 1
+        write_new(f"{self.folder}/versions/{new:012d}.json", json.dumps([{"born": new} | p for p in parts]).encode())
 
-    def entries(self, version: int | None = None) -> DataFrame:
-        parts = self.live(version)
+    def _read(self, parts: list[dict]) -> DataFrame:
         out = self.spark.createDataFrame([], "lvl int, k string, v string, seq bigint")
-        for p in parts:
-            out = out.unionByName(self.spark.read.schema("k string, v string, seq bigint").parquet(p["folder"]).select(F.lit(p["lvl"]).alias("lvl"), "k", "v", "seq"))
+        for lvl in sorted({p["lvl"] for p in parts}):
+            files = [f"{self.folder}/{p['file']}" for p in parts if p["lvl"] == lvl]
+            out = out.unionByName(self.spark.read.schema("k string, v string, seq bigint").parquet(*files).select(F.lit(lvl).alias("lvl"), "k", "v", "seq"))
         return out
 
-    def _write(self, rows: DataFrame, lvl: int) -> dict | None:
-        folder = f"{self.folder}/{work_dir(self.spark, f'level{lvl}').rsplit('/', 1)[1]}"
-        rows.select("k", "v", "seq").repartitionByRange("k").sortWithinPartitions("k").write.option("parquet.bloom.filter.enabled#k", "true").parquet(folder)
-        got = self.spark.read.parquet(folder).agg(F.max("seq"), F.sum(entry_size(F.col("k"), F.col("v"))), F.count("*")).first()
-        return {"lvl": lvl, "folder": folder, "hi": got[0], "bytes": got[1], "n": got[2]} if got[2] else None
+    def entries(self, version: int | None = None) -> DataFrame:
+        return self._read(self.live(version))
+
+    def _write(self, rows: DataFrame, lvl: int, ranges: list[tuple[str, str]] | None = None) -> list[dict]:
+        """The new segments; none goes over the borders of two of `ranges`."""
+        name = f"segments/{uuid.uuid4().hex}"
+        step, starts = max(1, round(len(ranges or []) ** 0.5)), [r[0] for r in ranges or []][1:]
+        text = lambda some: F.from_json(F.lit(json.dumps(some)), "array<string>")
+        part = range_of(F.concat("k", F.lit("\0")), text(starts), text(starts[step - 1 :: step]), F.lit(step)) if starts else F.lit(0)
+        sorted_ = rows.select("k", "v", "seq", part.alias("i")).repartitionByRange("i", "k").sortWithinPartitions("i", "k")
+        sorted_.write.partitionBy("i").option("parquet.bloom.filter.enabled#k", "true").parquet(f"{self.folder}/{name}")
+        written = self.spark.read.schema("k string, v string, seq bigint, i int").parquet(f"{self.folder}/{name}")
+        file = F.concat(F.lit(f"{name}/"), F.substring_index(F.input_file_name(), f"{name}/", -1))
+        stats = written.groupBy(file.alias("file")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.max("seq").alias("hi"), F.sum(entry_size(F.col("k"), F.col("v"))).alias("bytes"), F.count("*").alias("n"))
+        return [{"lvl": lvl} | r.asDict() for r in stats.orderBy("mn", "file").collect()]
 
     def flush(self, state: DataFrame) -> None:
-        """A new part of level 0 from newest rows (k, v, seq), tombstones included."""
-        part = self._write(state, 0)
-        if part:
-            self._commit([*self.live(), part])
+        """New segments of level 0 from newest rows (k, v, seq), tombstones included."""
+        parts = self._write(state, 0)
+        if parts:
+            self._commit([*self.live(), *parts])
 
     def highest(self) -> int | None:
         """The highest seq flushed: recovery of the log starts after it."""
         return max((p["hi"] for p in self.live()), default=None)
 
+    @staticmethod
+    def to_merge(parts: list[dict], lvl: int, most: int) -> list[dict]:
+        """The segments of a level that are to go down, if it exceeds `most` bytes: all of level 0; of a lower one the oldest,
+        until the rest is within it."""
+        own = sorted((p for p in parts if p["lvl"] == lvl), key=lambda p: (p["born"], p["mn"]))
+        left = sum(p["bytes"] for p in own)
+        if left <= most or lvl == 0:
+            return own if left > most else []
+        taken = []
+        while left > most:
+            taken.append(own[len(taken)])
+            left -= taken[-1]["bytes"]
+        return taken
+
     def compact(self, target: int, ratio: int = RATIO) -> None:
-        """Merges each level that exceeds its target into the next, from the top down."""
+        """Merges what exceeds a level's target into the next level, from the top down. Of the next level only segments that
+        overlap with what comes are written anew, by intervals of keys; the others stay as they are."""
         lvl = 0
         while True:
             parts = self.live()
-            over = [p for p in parts if p["lvl"] == lvl]
-            if over and sum(p["bytes"] for p in over) > target * ratio**lvl:
-                taken = [p for p in parts if p["lvl"] in (lvl, lvl + 1)]
-                rest = [p for p in parts if p not in taken]
-                rows = pick_newest(self.entries().where(F.col("lvl").isin(lvl, lvl + 1)))
-                if not any(p["lvl"] > lvl + 1 for p in rest):
+            taken = self.to_merge(parts, lvl, target * ratio**lvl)
+            if taken:
+                met = overlapping([p for p in parts if p["lvl"] == lvl + 1], intervals(taken))
+                gone = {p["file"] for p in [*taken, *met]}
+                rows = pick_newest(self._read([*taken, *met]))
+                if not any(p["lvl"] > lvl + 1 for p in parts):
                     rows = rows.where(F.col("v").isNotNull())
-                part = self._write(rows, lvl + 1)
-                self._commit([*rest, *([part] if part else [])])
+                new = self._write(rows, lvl + 1, intervals([*taken, *met]))
+                self._commit([*(p for p in parts if p["file"] not in gone), *new])
             elif not any(p["lvl"] > lvl for p in parts):
                 return
             lvl += 1
@@ -171,19 +218,24 @@ class Levels:
     def state(self, version: int | None = None) -> DataFrame:
         return pick_newest(self.entries(version))
 
+    def holding(self, key: str, version: int | None = None) -> list[dict]:
+        """The segments whose range holds a key: of a level below 0 at most one."""
+        return [p for p in self.live(version) if p["mn"] <= key <= p["mx"]]
+
     def get(self, key: str) -> str | None:
-        """One key's value; the filter reaches the files' statistics and bloom filters."""
-        row = pick_newest(self.entries().where(F.col("k") == key)).first()
+        """One key's value. Only segments that may hold it are opened; the filter reaches their statistics and bloom filters."""
+        row = pick_newest(self._read(self.holding(key)).where(F.col("k") == key)).first()
         return row and row["v"]
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes the files of no version but the last `keep`; returns how many folders went."""
+        """Deletes the files of no version but the last `keep`; returns how many segments went."""
         from pyarrow import fs
 
         last = self.version()
-        used = {p["folder"] for v in range(max(1, last - keep + 1), last + 1) for p in self.live(v)}
+        used = {p["file"] for v in range(max(1, last - keep + 1), last + 1) for p in self.live(v)}
         system, path = opened(self.folder)
-        gone = [f for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("level") and f"{self.folder}/{f.base_name}" not in used]
+        found = system.get_file_info(fs.FileSelector(f"{path}/segments", recursive=True, allow_not_found=True))
+        gone = [f for f in found if f.is_file and f.base_name.startswith("part-") and f.path[len(path) + 1 :] not in used]
         for f in gone:
-            system.delete_dir(f.path)
+            system.delete_file(f.path)
         return len(gone)

@@ -141,8 +141,21 @@ def _flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sst_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest rows, tombstones included, as segments by ranges of keys: their manifest."""
-    return lsm.segment_stats(_flushed(spark, sf_dir)).drop("lvl")
+    """The newest rows, tombstones included, written as segments of level 0, read back, and described by ranges of keys."""
+    tree = lsm.Levels(spark, work_dir(spark, "tree"))
+    tree.flush(kv.newest(_log(spark, sf_dir)[0]))
+    return lsm.segment_stats(tree.entries().withColumn("sg", F.substring("k", 1, 11))).drop("lvl")
+
+
+def sst_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in four flushes, with compaction after each, down to where it stops: the state read from the levels."""
+    log, tree = _log(spark, sf_dir)[0], lsm.Levels(spark, work_dir(spark, "tree"))
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    borders = [lo + (hi - lo) * i // 4 for i in range(5)] if lo is not None else []
+    for i, (a, b) in enumerate(zip(borders, borders[1:])):
+        tree.flush(kv.newest(log.where((F.col("seq") >= a) & ((F.col("seq") < b) | F.lit(i == 3)))))
+        tree.compact(LEVEL_TARGET)
+    return tree.state().where("v is not null")
 
 
 def sst_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +281,7 @@ QUERIES = {
     for f in (
         kv_replay, kv_latest, kv_tombstones, kv_prev_value, kv_merge_on_read, kv_multi_get, kv_get, kv_recover_from, kv_recover_prefix,
         wal_lsn, wal_segment_name, wal_segment_prune, wal_name_prune, wal_records, wal_status, wal_encoded, wal_round_trip, wal_resumed, wal_repaired,
-        sst_flush, sst_manifest, sst_level_stats, sst_overlap, sst_containing, sst_compact, sst_level_lookup, sst_highest,
+        sst_flush, sst_levels, sst_manifest, sst_level_stats, sst_overlap, sst_containing, sst_compact, sst_level_lookup, sst_highest,
         wal_damaged, wal_damaged_status, wal_truncated,
         wire_encode, wire_decode, wire_respond, wire_serve, kv_stream_replay, kv_stream_apply,
     )
@@ -338,6 +351,7 @@ SQL = {
     AND {(1 << 54) + 20_000} < ('0x' || substr(name, 9, 8))::hugeint * 4294967296 + ('0x' || substr(name, 17, 8))::hugeint * 16 + size""",
     "wal_resumed": f"{_LOG} SELECT CAST(1 AS bigint) AS times, op, k, v FROM w",
     "wal_round_trip": f"{_LOG} SELECT op, k, v FROM w",
+    "sst_levels": f"{_LOG} SELECT k, v, seq FROM m WHERE v IS NOT NULL",
     "sst_flush": f"{_LOG} SELECT substr(k, 1, 11) AS sg, {_STATS} FROM m GROUP BY 1",
     "sst_manifest": f"""
   WITH s AS (SELECT lvl, sg, {_STATS} FROM kv_sst GROUP BY lvl, sg), t AS (SELECT lvl, sg, max(bytes) AS said FROM manifest GROUP BY lvl, sg)
