@@ -64,7 +64,10 @@ def kv_recover_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_recover_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.recover_prefix(_log(spark, sf_dir)[0], F.col("seq") % 4999 == 4998)
+    """The state before the first corrupt record, taken to be the first one in the last tenth of the log."""
+    log = _log(spark, sf_dir)[0]
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    return kv.recover_prefix(log, F.lit(False) if lo is None else F.col("seq") >= lo + (hi - lo) * 9 // 10)
 
 
 def wal_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +341,7 @@ SQL = {
   SELECT q.k, CASE WHEN z.v IS NULL THEN 2 ELSE 0 END AS rc, z.v FROM q LEFT JOIN z ON z.k = q.k""",
     "kv_get": f"{_LOG},{_MERGED} SELECT k, v FROM z WHERE k = (SELECT max(k) FROM kv_state WHERE v IS NOT NULL) AND v IS NOT NULL",
     "kv_recover_from": f"{_LOG} SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w WHERE seq >= {RECOVER_FROM}) x WHERE rn = 1",
-    "kv_recover_prefix": f"""{_LOG}, bad AS (SELECT min(seq) AS b FROM log WHERE seq % 4999 = 4998)
+    "kv_recover_prefix": f"""{_LOG}, bad AS (SELECT min(seq) AS b FROM log WHERE seq >= (SELECT min(seq) + (max(seq) - min(seq)) * 9 // 10 FROM log))
   SELECT k, v, seq FROM (SELECT w.*, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM w, bad WHERE b IS NULL OR seq < b) x WHERE rn = 1""",
     "kv_stream_apply": f"""{_LOG}, u AS (SELECT k, v, seq FROM w UNION ALL SELECT k, v, seq FROM kv_state)
   SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) x WHERE rn = 1 AND v IS NOT NULL""",
