@@ -64,17 +64,17 @@ def _chunk_start(meta: dict) -> int:
 def merge_files(sources: list[str], target: str) -> tuple[int, int, int]:
     """Copies the row groups of `sources` into `target`; (row groups, rows, bytes). Files without rows add nothing."""
     out: dict | None = None
-    groups, rows = [], 0
+    groups, rows, same = [], 0, ""
 
     def pieces() -> Iterator[bytes]:
-        nonlocal out, rows
+        nonlocal out, rows, same
         at = len(MAGIC)
         yield MAGIC
         for uri in sources:
             footer, _ = read_footer(uri)
             if out is None:
-                out = footer
-            elif compatible(footer) != compatible(out):
+                out, same = footer, compatible(footer)
+            elif compatible(footer) != same:
                 raise ValueError(f"{uri}: its schema differs")
             system, path = opened(uri)
             with system.open_input_file(path) as f:
