@@ -287,6 +287,19 @@ def test_order_within_hot_keys(spark):
     assert got == want
 
 
+def test_largest_of_one_place_counts(spark):
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else "a", rng.randrange(120), rng.choice("pqrst")) for _ in range(900)]
+    got = skew.last_before(spark.createDataFrame(rows, "k string, seq int, v string"), "k", "seq", F.col("v"), largest="v").collect()
+    top, want, last = {}, set(), {}
+    for k, s, v in rows:
+        top[k, s] = max(v, top.get((k, s), ""))
+    for (k, s), v in sorted(top.items()):
+        want.add((k, s, v, last.get(k)))
+        last[k] = v
+    assert {(r.k, r.seq, r.v, r._last) for r in got} == want and len(got) == len(want)
+
+
 def test_many_ranges(spark):
     table = spark.createDataFrame([(i * 3, "hot" if i % 3 else f"k{i % 5}", i) for i in range(4000)], "seq bigint, k string, v bigint")
     before = spark.conf.get("spark.sql.shuffle.partitions")

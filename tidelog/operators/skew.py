@@ -121,11 +121,12 @@ def hot_split(df: DataFrame, key: str, order: str, total: int | None = None) ->
     return _ranged(df, key, order, points, "_part"), True
 
 
-def last_before(df: DataFrame, key: str, order: str, what: Column, total: int | None = None, unique: list[str] | None = None) -> DataFrame:
+def last_before(df: DataFrame, key: str, order: str, what: Column, total: int | None = None, unique: list[str] | None = None, largest: str | None = None) -> DataFrame:
     """Adds `_last`: the last non-null `what` of the key's rows before the row, in order of `order` (not null).
 
     `unique`: the columns of the rows, of which only distinct ones are to count; they are made distinct
-    after the split, so that one shuffle serves both. What a range of a hot key hands on to the next one
+    after the split, so that one shuffle serves both. `largest`: a column of which, of the rows of one key and place in the
+    order, only the largest is to count; then there are no other columns, and `what` is made of it. What a range of a hot key hands on to the next one
     goes there as a row of its own, before the others.
     """
     split, hot = hot_split(df, key, order, total)
@@ -133,13 +134,16 @@ def last_before(df: DataFrame, key: str, order: str, what: Column, total: int |
     rows = split.select(*names, "_part")
     if hot:
         some = split.where("_hot").withColumn("_what", what)
-        ends = some.groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("_end"))
+        place = F.struct(order, "_what") if largest else F.col(order)
+        ends = some.groupBy(key, "_part").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), place)).alias("_end"))
         earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(key, "_part", F.last("_end", True).over(earlier).alias("_carried")).where("_carried is not null")
         rows = rows.unionByName(carried, allowMissingColumns=True)
     rows = rows.repartition(F.col(key), F.col("_part"))
     if unique is not None:
         rows = rows.distinct()
+    if largest:
+        rows = rows.groupBy(key, "_part", order).agg(*[F.max(c).alias(c) for c in (largest, *(["_carried"] if hot else []))])
     value = F.when(F.col("_carried").isNotNull(), F.col("_carried")).otherwise(what) if hot else what
     w = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("_what", value).withColumn("_last", F.last("_what", True).over(w))

@@ -49,6 +49,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As `checkpoint`, with a Parquet table in the shared folder: for many rows, which it compresses."""
+    path = f"{work_dir(df.sparkSession, 'table')}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes that every executor can hold beside its work.
 BROADCAST_BYTES = 16 << 20
 
