@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.ranking import ranks
 from tidelog.operators.membership import may_be_among
 from tidelog.operators.skew import last_before
-from tidelog.session import checkpoint, small
+from tidelog.session import small, written
 
 FIELDS = ("hash", "parent", "stamp", "size", "owner")
 #: What says that a value is not known, after trimming and in lower case. Fixed values.
@@ -77,10 +77,12 @@ def long(rows: DataFrame, key: str, time: str, fields: tuple[str, ...]) -> DataF
 def precedence(rows: DataFrame, key: str, time: str, fields: tuple[str, ...], support: int = SUPPORT) -> DataFrame:
     """(fld, a, b): b follows a more often than a follows b, by `support`, in rows of the same key in order of time.
     Of several values at one time the largest counts. All fields are learned in one pass; a key that holds many rows is split."""
-    timed = long(rows, key, time, fields).where("_t is not null").groupBy("_k", "fld", "_t").agg(F.max("val").alias("val"))
-    one = F.concat_ws("/", "fld", F.when(F.col("_k").isNull(), "null").otherwise(F.concat(F.lit("key "), F.col("_k").cast("string"))))
-    timed = checkpoint(timed.select("fld", "_t", "val", one.alias("_one")))  # read for its hot keys, their ranges, and the moves
-    moves = last_before(timed, "_one", "_t", F.col("val")).where(F.col("_last") != F.col("val"))
+    timed = long(rows, key, time, fields).where("_t is not null")
+    number = F.array_position(F.array(*map(F.lit, fields)), F.col("fld")).cast("string")
+    one = F.concat_ws("/", number, F.when(F.col("_k").isNull(), "").otherwise(F.concat(F.lit("k"), F.col("_k").cast("string"))))
+    timed = written(timed.select(one.alias("_one"), "_t", "val"))  # read for its hot keys, their ranges, and the moves
+    moves = last_before(timed, "_one", "_t", F.col("val"), largest="val").where(F.col("_last") != F.col("val"))
+    moves = moves.withColumn("fld", F.element_at(F.array(*map(F.lit, fields)), F.substring_index("_one", "/", 1).cast("int")))
     low, high = F.least("_last", "val"), F.greatest("_last", "val")
     balance = moves.groupBy("fld", low.alias("x"), high.alias("y")).agg(F.sum(F.when(F.col("_last") == low, 1).otherwise(-1)).alias("n"))
     up = F.col("n") > 0
